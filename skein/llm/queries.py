@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing
+from . import ann, bpe, lines, minhash, mixing, pii, quality, topk
 
 QUERIES = {
+    "op1_minhash": minhash.query,
     "op2_byte_bpe": bpe.query,
     "op4_mix_sources": mixing.query,
+    "op6_adaptive_scan": ann.query,
+    "op7_additive_quality": quality.query,
+    "op8_line_runs": lines.query,
+    "op9_disclosure": pii.query,
+    "op10_ball_tree": topk.query,
 }
 
 ORACLE_SQL = {
     "op4_mix_sources": mixing.ORACLE,
+    "op8_line_runs": lines.ORACLE,
 }
