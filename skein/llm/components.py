@@ -38,17 +38,26 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def components(links: DataFrame) -> DataFrame:
+#: Links that one task may join by itself; about 20 MB.
+LOCAL = 100_000
+
+
+def components(links: DataFrame, local: int = LOCAL) -> DataFrame:
     """(id, component) for every id that a link of `links` (u, v: long) names; component is the smallest id reachable.
 
     Union-find inside each partition first leaves a forest; then large-star and small-star steps alternate until
-    nothing changes, which takes a number of rounds logarithmic in the longest chain. Every step is a min per node, combined
+    nothing changes, which takes a number of rounds logarithmic in the longest chain. A forest of at most `local` links is joined by one
+    more union-find in a single task instead. Every step is a min per node, combined
     before the shuffle, and a join whose large keys Spark can split. Null ends and loops are ignored.
     """
     ends = links.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     edges = write_table(ends.mapInArrow(_forest, "u long, v long").distinct(), "links")
     state = None
-    while True:
+    if edges.count() <= local:
+        done, edges = edges, write_table(edges.coalesce(1).mapInArrow(_forest, "u long, v long"), "links")
+        drop_table(done)
+        state = ()
+    while state != ():
         both = edges.select(F.col("u").alias("n"), F.col("v").alias("x")).union(edges.select(F.col("v").alias("n"), F.col("u").alias("x")))
         least = write_table(both.groupBy("n").agg(F.min("x").alias("m")).select("n", F.least("n", "m").alias("m")), "links-large")
         large = write_table(both.where("x > n").join(least, "n").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), "links")

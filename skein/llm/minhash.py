@@ -5,8 +5,9 @@ is j-th in its permutation. Ranks of one shingle thus differ between slots, whic
 hashes, and a document is done once every slot holds less than the next step, after few steps for a long text.
 
 Equal sets form one class and are compared once. A bucket of a band first compares its members with one of them, the
-hub; what the links then join needs no more comparing. Buckets that still hold several components get further hubs, and at last
-all their pairs across components: no link is lost, and a bucket of many copies never makes all its pairs.
+hub; what those links join needs no more comparing. Members of different components then make pairs, in small buckets directly and in large
+ones through the rarest fifth of their shingles, of which two sets so similar share at least one: no link is lost, and a bucket of many copies
+never makes all its pairs.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from .components import components
 SLOTS, ROWS = 128, 4
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _U = np.uint64
-#: Pairs left across components, for each document, at which all of them are compared at last.
-PAIRS_LEFT = 2
+#: Pairs across components that one bucket makes directly; beyond that its members meet by their rare shingles.
+DIRECT = 500
+#: A sketch has 4 bits of each of 128 slots, in columns of 16 slots; at similarity 0.8 slots differ in 24 places, and in more than 48 once in 10**7.
+SKETCH, DIFFER = tuple(f"s{c}" for c in range(8)), 48
 
 
 class _WordHashes(dict):
@@ -100,7 +103,7 @@ def signatures(doc: np.ndarray, s: np.ndarray, n: int, slots: int = SLOTS, block
                     break
                 if not live.all():
                     d, x, perm = d[live], x[live], perm[live]
-            r = _mix(x + _U(j + 1) * _U(0x9E3779B97F4A7C15))
+            r = _mix(x + _U((j + 1) * 0x9E3779B97F4A7C15 % 2**64))
             k = j + (((r & _U(0xFFFFFFFF)) * _U(slots - j)) >> _U(32)).astype(np.int64)
             rows = np.arange(len(x))
             slot = perm[rows, k].astype(np.int64)
@@ -116,7 +119,7 @@ def _sums(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 
 def sign(docs: DataFrame, *, shingle: int, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, rows: int = ROWS) -> DataFrame:
-    """(id, n, f1, f2, keys): set size, 128-bit fingerprint of the set, and one key a band (null for an empty set)."""
+    """(id, n, f1, f2, *SKETCH, keys): set size, 128-bit fingerprint of the set, a sketch of the slots, and one key a band (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches, "text"):
@@ -130,11 +133,13 @@ def sign(docs: DataFrame, *, shingle: int, id_col: str = "doc_id", text_col: str
             offsets = np.arange(count + 1, dtype=np.int32) * np.int32(slots // rows)
             lists = pa.ListArray.from_arrays(pa.array(offsets, mask=None), pa.array(keys.reshape(-1).view(np.int64)))
             lists = pa.array([None], lists.type).take(pa.array([0] * count)) if not n.any() else pc.if_else(pa.array(n > 0), lists, pa.scalar(None, lists.type))
+            four = (_mix(top) & _U(15)).reshape(count, len(SKETCH), -1) << (_U(4) * np.arange(slots // len(SKETCH), dtype=_U))
+            sketch = [pa.array(c) for c in np.bitwise_or.reduce(four, axis=2).view(np.int64).T]
             f1, f2 = (_sums(doc, _mix(s ^ _U(c)), count).view(np.int64) for c in (0x243F6A8885A308D3, 0x13198A2E03707344))
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(n.astype(np.int64)), pa.array(f1), pa.array(f2), lists], ["id", "n", "f1", "f2", "keys"])
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array(n.astype(np.int64)), pa.array(f1), pa.array(f2), *sketch, lists], ["id", "n", "f1", "f2", *SKETCH, "keys"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, "id long, n long, f1 long, f2 long, keys array<long>")
+    return picked.mapInArrow(run, "id long, n long, f1 long, f2 long, " + " long, ".join(SKETCH) + " long, keys array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, *, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -163,10 +168,10 @@ def near_duplicates(
     signed = write_table(sign(docs, shingle=shingle, id_col=id_col, text_col=text_col, slots=slots, rows=rows), "signed")
     own = signed.where("n > 0 and id is not null")
     classes = write_table(own.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), "classes")
-    reps = write_table(own.join(classes, ["f1", "f2", "n"]).where("id = rep").select("rep", "n", "keys").dropDuplicates(["rep"]), "reps")
-    bands = reps.select("rep", "n", F.explode("keys").alias("key"))
+    reps = write_table(own.join(classes, ["f1", "f2", "n"]).where("id = rep").select("rep", "n", *SKETCH, "keys").dropDuplicates(["rep"]), "reps")
+    bands = reps.select("rep", "n", *SKETCH, F.explode("keys").alias("key"))
     shared = write_table(bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", "hub"), "buckets")
-    members = write_table(bands.join(shared, "key").select("key", "rep", "n", "hub"), "members")
+    members = write_table(bands.join(shared, "key").select("key", "rep", "n", *SKETCH, "hub"), "members")
 
     def links(pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) that are similar enough."""
@@ -179,49 +184,41 @@ def near_duplicates(
         drop_table(ids, sets)
         return found
 
-    alike = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    sizes = reps.select(F.col("rep").alias("hub"), F.col("n").alias("m"))
-    tested = write_table(members.where("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct(), "tested")
-    found = links(tested)
-    documents = reps.count()
-    used = shared.select("key", F.col("hub").alias("rep"))
-    stuck = False
-    while True:
-        comp = write_table(components(found), "components")
-        at = members.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).select("key", "rep", "n", "hub", "c")
-        at = write_table(at, "placed")
-        per = at.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key")
-        per = per.agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"), F.min("c").alias("least"))
-        mixed = write_table(per.where("all * all > same").select("key", "least", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs")), "mixed")
-        left = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
-        if not left:
-            break
-        unsettled = write_table(at.join(mixed, "key"), "unsettled")
-        last = stuck or left <= PAIRS_LEFT * max(documents, 10_000)
-        if last:
-            x = unsettled.select("key", F.col("rep").alias("u"), "n", F.col("c").alias("cu"))
-            y = unsettled.select("key", F.col("rep").alias("v"), F.col("n").alias("m"), F.col("c").alias("cv"))
-            pairs = x.join(y, "key").where(f"u > v and cu <> cv and {alike}")
-        else:
-            # the next hub of a bucket is a member outside its first component that has not been its hub
-            open_ = unsettled.where("c <> least").join(used, ["key", "rep"], "left_anti")
-            hubs = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep"), "rep", "c", "n")).alias("h"))
-            hubs = write_table(hubs.select("key", F.col("h.rep").alias("v"), F.col("h.n").alias("m"), F.col("h.c").alias("cv")), "hubs")
-            used = used.union(hubs.select("key", F.col("v").alias("rep")))
-            stuck = hubs.isEmpty()
-            pairs = unsettled.select("key", F.col("rep").alias("u"), "n", F.col("c").alias("cu")).join(hubs, "key").where(f"u <> v and cu <> cv and {alike}")
-        fresh = write_table(pairs.select("u", "v").distinct().join(tested, ["u", "v"], "left_anti"), "fresh")
-        found, old = write_table(found.union(links(fresh)), "similar"), found
-        drop_table(comp, at, mixed, unsettled, old)
-        if last:
-            drop_table(fresh)
-            comp = write_table(components(found), "components")
-            break
-        tested, old = write_table(tested.union(fresh), "tested"), tested
-        drop_table(old, fresh)
+    hubs = write_table(members.where("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct(), "hub-pairs")
+    found = links(hubs)
+    comp = write_table(components(found), "components")
+    at = members.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("hub", "component")
+    at = write_table(at, "placed")
+    per = at.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"))
+    mixed = write_table(per.where("all * all > same").select("key", (F.col("all") * F.col("all") - F.col("same") <= 2 * DIRECT).alias("direct")), "mixed")
+    unsettled = write_table(at.join(mixed, "key"), "unsettled")
+    differ = [f"(({c} ^ t{c}) | shiftrightunsigned({c} ^ t{c}, 1))" for c in SKETCH]  # bits 0 and 2 of 4: whether two of them differ
+    differ = " + ".join(f"bit_count(({d} | shiftrightunsigned({d}, 2)) & 1229782938247303441)" for d in differ)  # 0x1111...
+    alike = f"u > v and cu <> cv and 100 * least(n, m) >= {percent} * greatest(n, m) and {100 + percent} * least(n - rarer, m - rarer_too) >= {percent} * (n + m) and {differ} <= {DIFFER}"
+
+    def across(rows: DataFrame, on: str) -> DataFrame:
+        """Pairs that share `on`; where it is the first they share, none of the `rarer` shingles is common."""
+        here = rows.select(on, F.col("rep").alias("u"), "n", "rarer", *SKETCH, F.col("c").alias("cu"))
+        there = rows.select(on, F.col("rep").alias("v"), F.col("n").alias("m"), F.col("rarer").alias("rarer_too"), *(F.col(c).alias(f"t{c}") for c in SKETCH), F.col("c").alias("cv"))
+        return here.join(there, on).where(alike).select("u", "v")
+
+    # sets this similar share one of their 20 % rarest shingles, whatever the order of shingles is, if only it is one for all sets
+    crowd = write_table(unsettled.where("not direct").select("rep", "n", *SKETCH, "c").distinct(), "crowd")
+    told = full_sets(docs, crowd.select(F.col("rep").alias("id")), shingle=shingle, id_col=id_col, text_col=text_col).dropDuplicates(["id"])
+    told = write_table(told.select(F.col("id").alias("rep"), F.explode("shingles").alias("shingle")), "shingles")
+    often = write_table(told.groupBy("shingle").agg(F.count("*").alias("k")), "often")
+    rare = told.join(often, "shingle").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("k", "shingle"))).alias("all"))
+    first = F.slice("all", 1, F.size("all") - F.floor((F.size("all") * percent + 99) / 100).cast("int") + 1)
+    rare = rare.select("rep", F.posexplode(first).alias("pos", "x")).where("x.k > 1").select("rep", (F.col("pos")).alias("rarer"), "x.shingle")
+    rare = write_table(rare.join(crowd, "rep"), "rare")
+    fresh = across(unsettled.where("direct").withColumn("rarer", F.lit(0)), "key").union(across(rare, "shingle")).distinct().join(hubs, ["u", "v"], "left_anti")
+    fresh = write_table(fresh, "fresh")
+    more = links(fresh)
+    drop_table(comp, at, mixed, unsettled, crowd, told, often, rare, fresh)
+    comp = write_table(components(found.union(more)), "components")
     placed = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id"))
     placed = write_table(placed, "placed")
-    drop_table(reps, shared, members, tested)
+    drop_table(reps, shared, members, hubs, found, more)
     out = signed.select("id", "n", "f1", "f2").join(placed, ["f1", "f2", "n"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(

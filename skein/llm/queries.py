@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, lines, minhash, mixing, pii, quality, topk
+from . import ann, bpe, chat, lines, minhash, mixing, pii, quality, token_counts, topk
 
 QUERIES = {
     "op1_minhash": minhash.query,
     "op2_byte_bpe": bpe.query,
+    "op3_quote_links": chat.query,
     "op4_mix_sources": mixing.query,
+    "op5_trie_token_counts": token_counts.query,
     "op6_adaptive_scan": ann.query,
     "op7_additive_quality": quality.query,
     "op8_line_runs": lines.query,
