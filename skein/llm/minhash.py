@@ -30,6 +30,8 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _U = np.uint64
 #: Pairs across components that one bucket makes directly; beyond that its members meet by their rare shingles.
 DIRECT = 500
+#: Positions by which the frequencies of shingles are counted.
+COUNTED = 1 << 20
 #: A sketch has 4 bits of each of 128 slots, in columns of 16 slots; at similarity 0.8 slots differ in 24 places, and in more than 48 once in 10**7.
 SKETCH, DIFFER = tuple(f"s{c}" for c in range(8)), 48
 
@@ -155,6 +157,40 @@ def full_sets(docs: DataFrame, ids: DataFrame, *, shingle: int, id_col: str, tex
     return picked.join(ids, "id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
 
 
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, rarer, shingle) of sets (id, shingles): the first shingles of each set, as many as one of them must be shared by sets so similar, with their places.
+
+    The order is one for all sets: by how often the shingle's position of COUNTED occurs among the sets, then by the shingle. Counts steer only how
+    many pairs meet; a position that occurs once holds a shingle that no other set has, which is left out.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, n = np.unique(b["shingles"].flatten().to_numpy(zero_copy_only=False).view(_U) % _U(COUNTED), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n.astype(np.int64))], ["at", "n"])
+
+    got = sets.select("shingles").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # COUNTED rows at most
+    counts = np.zeros(COUNTED, dtype=np.int32)
+    counts[got["at"].to_numpy()] = np.minimum(got["n"].to_numpy(), 2**31 - 1)
+    shared = sets.sparkSession.sparkContext.broadcast(counts)  # 4 * COUNTED bytes
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rep, place, shingle = [], [], []
+            for i, x in zip(b["id"].to_pylist(), b["shingles"], strict=True):
+                s = x.values.to_numpy(zero_copy_only=False)
+                k = shared.value[s.view(_U) % _U(COUNTED)]
+                order = np.lexsort((s, k))[: len(s) - (percent * len(s) + 99) // 100 + 1]
+                at = np.flatnonzero(k[order] > 1)
+                rep.append(np.full(len(at), i, dtype=np.int64))
+                place.append(at.astype(np.int32))
+                shingle.append(s[order[at]])
+            if rep:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (rep, place, shingle)], ["rep", "rarer", "shingle"])
+
+    return sets.mapInArrow(first, "rep long, rarer int, shingle long")
+
+
 def near_duplicates(
     docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, rows: int = ROWS
 ) -> DataFrame:
@@ -205,16 +241,13 @@ def near_duplicates(
     # sets this similar share one of their 20 % rarest shingles, whatever the order of shingles is, if only it is one for all sets
     crowd = write_table(unsettled.where("not direct").select("rep", "n", *SKETCH, "c").distinct(), "crowd")
     told = full_sets(docs, crowd.select(F.col("rep").alias("id")), shingle=shingle, id_col=id_col, text_col=text_col).dropDuplicates(["id"])
-    told = write_table(told.select(F.col("id").alias("rep"), F.explode("shingles").alias("shingle")), "shingles")
-    often = write_table(told.groupBy("shingle").agg(F.count("*").alias("k")), "often")
-    rare = told.join(often, "shingle").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("k", "shingle"))).alias("all"))
-    first = F.slice("all", 1, F.size("all") - F.floor((F.size("all") * percent + 99) / 100).cast("int") + 1)
-    rare = rare.select("rep", F.posexplode(first).alias("pos", "x")).where("x.k > 1").select("rep", (F.col("pos")).alias("rarer"), "x.shingle")
+    told = write_table(told, "crowd-sets")
+    rare = rare_shingles(told, percent)
     rare = write_table(rare.join(crowd, "rep"), "rare")
     fresh = across(unsettled.where("direct").withColumn("rarer", F.lit(0)), "key").union(across(rare, "shingle")).distinct().join(hubs, ["u", "v"], "left_anti")
     fresh = write_table(fresh, "fresh")
     more = links(fresh)
-    drop_table(comp, at, mixed, unsettled, crowd, told, often, rare, fresh)
+    drop_table(comp, at, mixed, unsettled, crowd, told, rare, fresh)
     comp = write_table(components(found.union(more)), "components")
     placed = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id"))
     placed = write_table(placed, "placed")
