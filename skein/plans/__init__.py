@@ -1 +1,3 @@
-"""plans."""
+"""Registered queries; importing this package fills the registry."""
+
+from skein.plans import audit, graph, incremental, metrics, rendering, retrieval, sources  # noqa: F401
