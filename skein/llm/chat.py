@@ -33,7 +33,7 @@ def parse(messages: DataFrame, *, conv_col: str, turn_col: str, role_col: str, t
     rows = rows.withColumn("lines", F.filter(announced, lambda x: ~x["intro"]))
     quoting = F.exists("lines", lambda x: x["level"] > 0)
     own = F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n")
-    rows = rows.withColumn("quoting", quoting).withColumn("own", F.when(F.col("quoting"), F.trim(F.regexp_replace(own, r"\n{3,}", "\n\n"))).otherwise(own))
+    rows = rows.withColumn("quoting", quoting).withColumn("own", F.when(F.col("quoting"), F.btrim(F.regexp_replace(own, r"\n{3,}", "\n\n"), F.lit(" \t\r\n"))).otherwise(own))
     # passages: lines in a row of one level; a blank line ends one
     start = F.struct(F.lit(-1).alias("level"), F.lit("").alias("said"), F.expr("array(struct(-1 as level, '' as said))").alias("done"))
     step = lambda s, x: F.when(
