@@ -44,8 +44,8 @@ def kappa_table(judgments: DataFrame) -> DataFrame:
 def cohen_kappa(judgments: DataFrame) -> DataFrame:
     """One row (kappa): agreement of two raters beyond chance; 0 without judgments or where chance agreement is complete."""
     t = kappa_table(judgments).withColumn("n", (F.col("n11") + F.col("n10") + F.col("n01") + F.col("n00")).cast("double"))
-    po = (F.col("n11") + F.col("n00")) / F.col("n")
-    a, b = (F.col("n11") + F.col("n10")) / F.col("n"), (F.col("n11") + F.col("n01")) / F.col("n")
+    po = F.try_divide(F.col("n11") + F.col("n00"), "n")
+    a, b = F.try_divide(F.col("n11") + F.col("n10"), "n"), F.try_divide(F.col("n11") + F.col("n01"), "n")
     pe = a * b + (1 - a) * (1 - b)
     return t.select(F.when((F.col("n") == 0) | (pe >= 1), F.lit(0.0)).otherwise(F.round((po - pe) / (1 - pe), 6)).alias("kappa"))
 
