@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .base import drop_table, table, write_table
 
-_MARKS = r"^(?:[ \t]*>)+"
+_MARKS = r"^[ \t>]*>"  # without groups: Java matches a repeated group by recursion
 _WROTE = r"(?i)^\s*on\b.{1,200}\bwrote:\s*$"
 
 
