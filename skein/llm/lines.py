@@ -21,6 +21,8 @@ from .base import WORD, drop_table, table, write_table
 _DOC = ("d", "th")
 #: Second ranks of one range.
 _RANGE_BITS = 12
+#: Positions by which documents that lose lines are told from the rest; a multiple of 64.
+POSITIONS = 1 << 20
 
 
 def _numbered(pairs: DataFrame) -> DataFrame:
@@ -93,6 +95,15 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return gone
 
 
+def _held(isles: DataFrame) -> DataFrame:
+    """One row (_bits): which of POSITIONS hold the text hash of a document that loses lines. Other documents need no join, and their texts stay where they are."""
+    at = F.pmod("_th", F.lit(POSITIONS))
+    words = isles.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(_th, {POSITIONS}) & 63 as int))")).alias("bits"))
+    every = isles.sparkSession.range(POSITIONS // 64).withColumnRenamed("id", "word").join(words, "word", "left")
+    every = every.agg(F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("all"))
+    return write_table(every.select(F.col("all.bits").alias("_bits")), "held")
+
+
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """docs with its text less the later copies of repeated line runs, and (n_lines, n_removed, words_removed) for every row.
 
@@ -109,7 +120,12 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     drop_table(gone)
     text = F.col(text_col)
     key = docs.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_hash"))
-    out = key.join(isles, (F.col("_id") == F.col("_d")) & (F.col("_hash") == F.col("_th")), "left")
+    key = key.join(F.broadcast(_held(isles)), F.lit(True))  # one row of POSITIONS bits
+    at = F.pmod("_hash", F.lit(POSITIONS))
+    bit = F.element_at("_bits", (F.shiftright(at, 6) + 1).cast("int")).bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod(_hash, {POSITIONS}) & 63 as int))")) != 0
+    touched = key.where(bit).drop("_bits").join(isles, (F.col("_id") == F.col("_d")) & (F.col("_hash") == F.col("_th")), "left")
+    none = {f.name: F.lit(None).cast(f.dataType) for f in isles.schema}
+    out = touched.unionByName(key.where(~bit).drop("_bits").withColumns(none))
     lines = F.split(text, "\n", -1)
     begin = F.concat(F.array(F.lit(0)), F.transform("_isles", lambda x: x["b"] + 1))
     end = F.concat(F.transform("_isles", lambda x: x["a"]), F.array(F.size(lines)))
