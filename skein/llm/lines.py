@@ -8,7 +8,9 @@ that most documents hold is no single task's work.
 
 Suffixes that share their first m lines are an interval of the suffix array, the one whose longest common prefix is at least m. It is named by
 two ranks of known length, of the first 2^k lines and of the 2^k lines that end the m. A suffix is a later copy
-if its interval, for the fewest lines that hold `min_words` words, has an earlier member; overlapping copies merge to maximal runs.
+if its interval, for the fewest lines that hold `min_words` words, has an earlier member. Lines that end a repeated run after such a window
+has closed, fewer than `min_words` words of them, stay, as in the SQL; with `maximal` a suffix also has the intervals of the longer windows that no later start covers, and
+runs go to their last line.
 """
 
 from __future__ import annotations
@@ -35,9 +37,11 @@ def _numbered(pairs: DataFrame) -> DataFrame:
     return p.select("r", "r2", (F.col("r") + F.col("before") + F.col("own")).alias("new"))
 
 
-def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, maximal: bool = False) -> DataFrame:
     """(d, th, pos, words): the lines to delete; d is the id (the largest long for null), th the hash of the text, pos from 0.
 
+    With `maximal`, runs are followed to their last common line; else each start only to the fewest lines that hold min_words words.
+
     Documents come in the order of id and text hash, and lines in the order of their position.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -64,9 +68,14 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # m: the lines that start before min_words words have gone by
     reach = own.orderBy("w").rangeBetween(0, min_words - 1)
     at = at.withColumn("m", F.when(F.col("all") - F.col("w") >= min_words, F.count("*").over(reach)))
-    at = write_table(at.withColumn("rank0", F.col("r")).select(*_DOC, "seg", "i", "pos", "words", "m", "r", "rank0"), "suffixes")
+    lengths = ["m"]
+    if maximal:  # most: the lines up to the last end for which no later start holds min_words words; every longer run is covered by those of later starts
+        left = F.max("i").over(own) - F.col("i") + 1
+        at = at.withColumn("most", F.when(F.col("m").isNotNull(), F.greatest("m", F.coalesce(F.lead("m").over(own.orderBy("i")), left))))
+        lengths.append("most")
+    at = write_table(at.withColumn("rank0", F.col("r")).select(*_DOC, "seg", "i", "pos", "words", *lengths, "r", "rank0"), "suffixes")
     drop_table(lines, often, ranks)
-    longest = at.agg(F.max("m")).first()[0] or 0
+    longest = at.agg(F.max(lengths[-1])).first()[0] or 0
     level = 0
     while 2 ** (level + 1) <= longest:
         ahead = Window.partitionBy(*_DOC, "seg").orderBy("i")
@@ -77,16 +86,21 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         joined = write_table(joined, "suffixes")
         drop_table(at, paired, new)
         at = joined
-    # the interval of a suffix for its m lines: k is the largest level with 2^k <= m
+    # the interval of a suffix for m of its lines: k is the largest level with 2^k <= m
     k = F.floor(F.log2(F.col("m") + F.lit(0.5))).cast("int")
     of_level = F.element_at(F.array(*[F.col(f"rank{j}") for j in range(level + 1)]), F.col("k") + 1)
-    starts = at.where("m is not null").withColumn("k", k)
+    starts = at.where("m is not null")
+    if maximal:
+        starts = starts.withColumn("m", F.explode(F.sequence("m", "most")))
+    starts = starts.withColumn("k", k)
     heads = starts.select(*_DOC, "seg", "i", "m", "k", of_level.alias("a"), (F.col("i") + F.col("m") - F.pow(F.lit(2), "k").cast("int")).alias("j"))
     tails = at.select(*_DOC, F.col("i").alias("j"), F.posexplode(F.array(*[F.col(f"rank{n}") for n in range(level + 1)])).alias("k", "b"))
     runs = write_table(heads.join(tails, [*_DOC, "j", "k"]).select(*_DOC, "i", "m", "a", "b"), "runs")
     first = runs.groupBy("m", "a", "b").agg(F.min(F.struct(*_DOC, "i")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = write_table(first, "intervals")
     copies = runs.join(first, ["m", "a", "b"]).where(F.struct(*_DOC, "i") > F.col("first")).select(*_DOC, "i", "m")
+    if maximal:
+        copies = copies.groupBy(*_DOC, "i").agg(F.max("m").alias("m"))
     marked = at.select(*_DOC, "i", "pos", "words").join(copies, [*_DOC, "i"], "left")
     upto = Window.partitionBy(*_DOC).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = marked.withColumn("end", F.max(F.col("i") + F.col("m")).over(upto)).where("end > i")
@@ -104,15 +118,16 @@ def _held(isles: DataFrame) -> DataFrame:
     return write_table(every.select(F.col("all.bits").alias("_bits")), "held")
 
 
-def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
+def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, maximal: bool = False) -> DataFrame:
     """docs with its text less the later copies of repeated line runs, and (n_lines, n_removed, words_removed) for every row.
 
-    A run is a sequence of lines of at least min_words words that occurs more than once, in one document or several; lines are equal if they are
+    A run is a sequence of lines that occurs more than once, in one document or several: the fewest lines from its first that hold min_words words or,
+    with `maximal`, any number of lines of at least min_words words. The SQL and the pipeline's tests state the former, which can leave the end of a longer run. Lines are equal if they are
     after trimming spaces, and lines without words are neither compared nor deleted. The first copy, by id and position, stays.
     Defined cases: null texts stay null, empty ones empty; rows that repeat an id and its text are one document and come out equal; null ids sort last; an
     empty table gives an empty result; other columns stay, unless they have the names of the three that are added.
     """
-    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, min_words=min_words)
+    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, min_words=min_words, maximal=maximal)
     isle = Window.partitionBy(*_DOC).orderBy("pos")
     isles = gone.withColumn("isle", F.col("pos") - F.row_number().over(isle)).groupBy(*_DOC, "isle").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.sum("words").alias("w"))
     isles = isles.groupBy(*_DOC).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_isles"), F.sum("w").alias("_words"))

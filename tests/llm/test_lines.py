@@ -70,3 +70,42 @@ def test_odd_rows(docs_of):
     compare(docs_of, ODD + [(11, "long " * 60, "a"), (12, "q\n" + "long " * 60 + "\nz", "a")], 50, extra=True)
     assert lines.line_dedup(docs_of([])).collect() == []
     assert [r.text for r in lines.line_dedup(docs_of([(1, None, "a")])).collect()] == [None]
+
+
+def brute_maximal(rows, min_words):
+    """Text of each (id, text) less every line of a run of min_words words or more that stands earlier, by growing the common run of every two positions."""
+    keys = sorted({(i if i is not None else 2**63 - 1, t or "") for i, t, _ in rows})
+    at = []
+    for key in keys:
+        own = [(p, x.strip(" "), len(re.findall(r"[^\x20\x09-\x0D]+", x))) for p, x in enumerate(key[1].split("\n"))]
+        own = [o for o in own if o[2]]
+        at += [(key, own, a) for a in range(len(own))]
+    gone = {key: set() for key in keys}
+    for n, (key, own, a) in enumerate(at):
+        for _, other, b in at[:n]:
+            same = 0
+            while a + same < len(own) and b + same < len(other) and own[a + same][1] == other[b + same][1]:
+                same += 1
+            if sum(o[2] for o in own[a : a + same]) >= min_words:
+                gone[key] |= {o[0] for o in own[a : a + same]}
+    return {(i, t): ("\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i, t]), len(gone[i, t])) for i, t in keys}
+
+
+def test_maximal_runs_go_whole(docs_of):
+    """A shared run of 55 and 20 words loses both lines; on random texts results equal those of comparing every two positions."""
+    run = " ".join(f"a{n}" for n in range(55)) + "\n" + " ".join(f"b{n}" for n in range(20))
+    got = {r.doc_id: r for r in lines.line_dedup(docs_of([(1, f"x\n{run}\ny", "s"), (2, f"p\n{run}\nq", "s")]), maximal=True).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[2].words_removed, got[2].text) == (0, 2, 75, "p\nq")
+    rng = random.Random(9)
+    pool = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(14)]
+    rows = []
+    for i in range(60):
+        body = []
+        for _ in range(rng.randrange(1, 7)):
+            a = rng.randrange(10)
+            body += pool[a : a + rng.randrange(1, 9)] if rng.random() < 0.6 else [rng.choice(["", "  ", f"own line {rng.random()}", rng.choice(pool)])]
+        rows.append((i, "\n".join(body), "s"))
+    for min_words in (1, 7, 16):
+        want = brute_maximal(rows, min_words)
+        assert want != brute(rows, min_words) or min_words == 1
+        assert {(r.doc_id, r.text, r.n_removed) for r in lines.line_dedup(docs_of(rows), min_words=min_words, maximal=True).collect()} == {(i, *v) for (i, _), v in want.items()}
