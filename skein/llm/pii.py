@@ -1,9 +1,9 @@
 """Personal data by pattern, and terms that give it away by information-theoretic sanitisation.
 
-Patterns find the protected entities. Over the whole corpus, the documents that hold a term near an entity are counted against
-those that hold the term and those that hold the entity; a term discloses the share PMI(term, entity) / IC(entity) of what
-there is to know about the entity. Terms that stand near one entity in enough different contexts and disclose more than the
-threshold are marked wherever they stand.
+Patterns find the protected entities. Over the whole corpus, the different contexts of an entity that hold a term are counted against
+the documents that hold the term away from the entity; a term discloses the share PMI(term, entity) / IC(entity) of what
+there is to know about the entity. The chance of the entity given the term is smoothed, so that few observations count for less but
+rare entities can have terms. Terms that disclose more than the threshold are marked wherever they stand.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from .base import drop_table, table, write_table
 from .bpe import _slices
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side that count as near, different contexts needed, and the share of an entity's information that a term may give.
-NEAR, CONTEXTS, DISCLOSED = 6, 3, 0.9
+#: Words on each side that count as near, and the share of an entity's information that a term may give.
+NEAR, DISCLOSED = 6, 0.9
+#: What is added to the observations for and against an entity given a term (Jeffreys' prior).
+PRIOR = 0.5
 #: Positions of the table of word hashes that workers get: 4 MB at most, whatever the corpus.
 POSITIONS = 1 << 22
 
@@ -122,7 +124,7 @@ class _Held(dict):
         return got
 
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", contexts: int = CONTEXTS, disclosed: float = DISCLOSED, redacted: bool = False) -> DataFrame:
+def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", disclosed: float = DISCLOSED, redacted: bool = False) -> DataFrame:
     """(id_col, n_email, n_ip, n_card, n_phone, base, spans[, clean]) for every row.
 
     base and spans are comma-joined kind:start:end; spans adds term:start:end after the others. With `redacted`, clean is the text
@@ -136,7 +138,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", con
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("context", pa.int64())]))
+        pair = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("context", pa.int64()), ("doc", pa.int64())]))
         for b in _slices(batches, "text"):
             counts, bases, nears = [], [], []
             for t in b["text"].to_pylist():
@@ -149,20 +151,19 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", con
                     before, after = _near(t, a, z)
                     context = _hash(" ".join([*before, k, *after])) - (1 << 63)
                     entity = _entity(k, t[a:z])
-                    near.setdefault((entity, ""), context)
-                    for w in (*before, *after):
-                        near.setdefault((entity, w), context)
-                nears.append([{"entity": e, "term": w, "context": c} for (e, w), c in near.items()])
+                    for w in ("", *before, *after):
+                        near.setdefault((entity, w), {})[context] = None
+                nears.append([{"entity": e, "term": w, "context": c, "doc": int(not i)} for (e, w), cs in near.items() for i, c in enumerate(cs)])
             cols = [b["id"], b["th"], *(pa.array([c[i] for c in counts], pa.int64()) for i in range(4)), pa.array(bases), pa.array(nears, pair)]
             yield pa.RecordBatch.from_arrays(cols, ["id", "th", *(f"n_{k}" for k in KINDS), "base", "near"])
 
-    fields = f"id {id_type}, th long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, near array<struct<entity string, term string, context long>>"
+    fields = f"id {id_type}, th long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, near array<struct<entity string, term string, context long, doc long>>"
     found = write_table(rows.mapInArrow(first, fields), "personal")
     total = found.count()
     near = found.where("size(near) > 0").select(F.explode("near").alias("x")).select("x.*")
-    joint = near.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("contexts"))
+    joint = near.groupBy("entity", "term", "context").agg(F.sum("doc").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("contexts"))
     joint = write_table(joint, "near")
-    pairs = joint.where((F.col("term") != "") & (F.col("contexts") >= contexts))
+    pairs = joint.where("term != ''")
     marks = None
     if (held := _positions(pairs)) is not None:
         wide = spark.sparkContext.broadcast(held)  # POSITIONS bytes
@@ -176,7 +177,9 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", con
         terms = write_table(rows.mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("with_term")), "terms")
         entities = joint.where("term = ''").select("entity", F.col("both").alias("with_entity"))
         told = pairs.join(entities, "entity").join(terms, "term").where(F.col("with_entity") < total)
-        pmi = F.log(F.lit(float(total)) * F.col("both") / (F.col("with_term") * F.col("with_entity")))
+        # the entity given the term: different contexts of both (copies are one) against documents with the term away from the entity
+        given = (F.col("contexts") + PRIOR) / (F.col("contexts") + F.col("with_term") - F.col("both") + 2 * PRIOR)
+        pmi = F.log(F.lit(float(total)) * given / F.col("with_entity"))
         told = write_table(told.where(pmi >= disclosed * F.log(F.lit(float(total)) / F.col("with_entity"))).select("term").distinct(), "disclosing")
         if (few := _positions(told)) is not None:
             narrow = spark.sparkContext.broadcast(few)  # POSITIONS bytes

@@ -59,3 +59,20 @@ def test_odd_rows(docs_of):
     assert [tuple(r)[1:5] for r in got if r.doc_id == 20] == [(1, 0, 0, 1)]
     assert pii.find(docs_of([])).collect() == []
     assert hashlib.sha256(b"").hexdigest()[:8] == "e3b0c442"
+
+
+def test_rare_entities_have_terms(spark, docs_of):
+    """Entities of one document have terms; several contexts in one document count; common words and the given tables' clean texts stay."""
+    filler = [f"{' '.join(f'w{chr(97 + i % 26)}{chr(97 + j)}' for j in range(20))} common" for i in range(300)]
+    rows = [(i, t, "s") for i, t in enumerate(filler)]
+    rows += [(500, "common zanthor writes from z.x@corp.example today", "s"), (501, "about zanthor", "s")]
+    rows += [(502, " ".join(f"{a} plumwick at p.w@corp.example {b} " + "pad " * 8 for a, b in zip("xyz", ("one", "two", "three"), strict=True)), "s"), (503, "about plumwick", "s")]
+    got = {r.doc_id: r for r in pii.find(docs_of(rows)).collect()}
+    assert "term:6:14" in got[503].spans  # three contexts in one document, one document without the entity
+    assert "term" not in got[501].spans  # one context is not enough against one document without the entity
+    assert "term:15:21" in got[500].spans and "term:0:6" not in got[500].spans  # writes, common
+    assert got[0].spans == ""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = pii.find(docs).collect()
+    assert any("term:" in r.spans for r in found)
+    assert all(r.spans == r.base or r.spans.startswith(r.base) for r in found)
