@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -17,34 +19,90 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where that is unset, a local master gets a folder of its own (tests); a cluster gets an error, as its executors' folders are not shared.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = os.path.join(tempfile.gettempdir(), "skein-shared")
         os.makedirs(where, exist_ok=True)
         where = f"file://{where}"
     return where.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system and path object of a path."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(context._jsc.hadoopConfiguration()), target
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
+    """Write df as Parquet in the application's folder and read it back.
 
     This cuts lineage: a lost executor costs a reread of files, not a recomputation, and the file sizes give the
-    optimizer true statistics for later joins.
+    optimizer true statistics for later joins. What drop_table does not delete before goes with the application.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skein/{name}-{uuid.uuid4().hex}"
+    own = f"{shared_dir(spark)}/skein/{spark.sparkContext.applicationId}"
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files, target = _file_system(spark, own)
+    files.deleteOnExit(target)
     back = spark.read.schema(df.schema).parquet(path)
     back._skein_path = path
     return back
 
 
+#: Rows and bytes of a batch that goes between Spark and Python, for operators that send texts.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limits for Arrow batches to BATCH.
+
+    With Spark's own limits a batch of long texts takes tens of MB, in the executor's memory outside its heap, which keeps what it once took, and in each Python worker.
+    """
+    for key, most in BATCH.items():
+        now = spark.conf.get(key, None)
+        if now is None or not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def release() -> None:
+    """At the end of a Python task: give memory that it has freed back to the system, as its worker goes on to other tasks beside a JVM that needs it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def drop_table(*tables: DataFrame | None) -> None:
     """Delete tables that write_table made and that no later step reads."""
     for df in tables:
         path = getattr(df, "_skein_path", None)
         if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            files, target = _file_system(df.sparkSession, path)
+            files.delete(target, True)
+
+
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as set it apart from `columns` (case aside)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark's expressions take it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
