@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from odd import ODD
 
 from skein.llm import token_counts as tc
@@ -20,20 +22,34 @@ def viterbi(word, scores, byte):
 def test_counts_equal_viterbi(docs_of, monkeypatch):
     scores, byte = tc.unigram_scores()
     rng = random.Random(3)
-    words = ["".join(rng.choice("abcdeéü中😀thering.") for _ in range(rng.randrange(1, 12))) for _ in range(400)] + ["the", "there", "thereof", "x" * 60]
+    words = ["".join(rng.choice("abcdeéü中😀thering.") for _ in range(rng.randrange(1, 12))) for _ in range(400)] + ["the", "there", "thereof", "x" * 60, "x" * 70]
     known = tc.Forward(scores, byte)
+    known.learn(set(words))
     assert [known[w] for w in words] == [viterbi(w, scores, byte) for w in words]
-    monkeypatch.setattr(tc, "NODES", 30)  # the trie begins anew now and then
+    monkeypatch.setattr(tc, "KEPT", 30)  # the table begins anew now and then
     small = tc.Forward(scores, byte)
-    assert [small[w] for w in words] == [known[w] for w in words]
+    got = []
+    for i in range(0, len(words), 20):
+        small.learn(set(words[i : i + 20]) - small.keys())
+        got += [small[w] for w in words[i : i + 20]]
+        small.forget()
+        assert len(small) <= 30 and "x" * 70 not in small
+    assert got == [known[w] for w in words]
 
 
 def test_prefixes_are_shared():
-    known = tc.Forward(*tc.unigram_scores())
-    known["thereof"]
-    nodes = len(known.best)
-    known["there"]
-    assert len(known.best) == nodes
+    one, both = (tc.Forward(*tc.unigram_scores()) for _ in range(2))
+    one.learn({"thereof"})
+    both.learn({"thereof", "there", "the"})
+    assert one.nodes == both.nodes == len("thereof") + 1
+
+
+def test_states_of_pieces():
+    pieces = tc.Pieces({"a": -1.0, "ab": -2.0, "\U0010ffffz": -3.0})
+    a = pieces.step(np.zeros(3, np.int32), np.array([ord("a"), ord("b"), 0x10FFFF]))
+    assert a[0] and not a[1] and a[2]
+    b = pieces.step(a[[0, 0, 2]], np.array([ord("b"), ord("a"), ord("z")]))
+    assert pieces.final[a[0]] == -1 and pieces.final[b[0]] == -2 and not b[1] and pieces.final[b[2]] == -3
 
 
 def test_odd_rows(docs_of):
