@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from skein.llm import lines
 
 from odd import ODD
@@ -33,11 +35,11 @@ def brute(rows, min_words):
 
 def compare(docs_of, rows, min_words, extra=False):
     want = brute(rows, min_words)
-    got = lines.line_dedup(docs_of(rows, extra), min_words=min_words).collect()
+    got = lines.line_dedup(docs_of(rows, extra), min_words=min_words, maximal=False).collect()
     assert len(got) == len(rows)
     texts = {}
     for r in got:
-        texts.setdefault(r.doc_id if r.doc_id is not None else 2**63 - 1, []).append((r.text, r.n_removed))
+        texts.setdefault(r.doc_id if r.doc_id is not None else 2**63 - 1, []).append((r.text, int(r["_n_removed"] if extra else r.n_removed)))
     for (i, t), (clean, n) in want.items():
         assert (clean, n) in [(x or "", k) for x, k in texts[i]], (i, t[:80])
 
@@ -69,6 +71,10 @@ def test_order_of_suffixes(spark):
 def test_odd_rows(docs_of):
     compare(docs_of, ODD + [(11, "long " * 60, "a"), (12, "q\n" + "long " * 60 + "\nz", "a")], 50, extra=True)
     assert lines.line_dedup(docs_of([])).collect() == []
+    clashing = docs_of(ODD, extra=True)
+    kept = lines.line_dedup(clashing)
+    assert kept.columns == [*clashing.columns, "_n_lines", "_n_removed", "_words_removed"]
+    assert {(r.n_lines, r.words_removed) for r in kept.collect()} == {("n_lines", "words_removed")}
     assert [r.text for r in lines.line_dedup(docs_of([(1, None, "a")])).collect()] == [None]
 
 
@@ -91,6 +97,18 @@ def brute_maximal(rows, min_words):
     return {(i, t): ("\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i, t]), len(gone[i, t])) for i, t in keys}
 
 
+def test_the_filter_holds_every_document_that_loses_lines(spark, monkeypatch):
+    """Whatever its size; one that is full lets all rows pass."""
+    for bits, most in ((8, 1 << 26), (40, 1 << 18), (1, 1 << 16)):
+        monkeypatch.setattr(lines, "BITS", bits)
+        monkeypatch.setattr(lines, "MOST_BITS", most)
+        isles = spark.range(20_000).selectExpr("xxhash64(id) as th")
+        held = lines._held(isles)
+        segment, word, bit = lines._place(F.col("th"), held._size)
+        found = isles.withColumns({"s": segment, "w": word, "b": bit}).join(held, F.col("s") == F.col("segment"))
+        assert held._size <= most and found.where(F.element_at("bits", (F.col("w") + 1).cast("int")).bitwiseAND(F.col("b")) != 0).count() == 20_000
+
+
 def test_maximal_runs_go_whole(docs_of):
     """A shared run of 55 and 20 words loses both lines; on random texts results equal those of comparing every two positions."""
     run = " ".join(f"a{n}" for n in range(55)) + "\n" + " ".join(f"b{n}" for n in range(20))
