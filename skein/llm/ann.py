@@ -22,8 +22,11 @@ from .vectors import best, classes, usable
 
 #: Vectors that fit the lists and the queries' first bounds: a bounded sample, the smallest by hash.
 SAMPLE = 16_384
-LISTS = (16, 1024)
+#: Lists at most; rows of a list at least and of one task's part of a list; queries that meet it at a time.
+LISTS = 1024
 BLOCK, QUERIES, COLUMNS, EPSILON, RECALL = 4096, 512, 16, 2.1, 0.98
+#: Queries that meet one copy of a part of a list.
+SHARE = 16_384
 
 
 def matrix(column) -> np.ndarray:
@@ -44,7 +47,7 @@ def fit(sample: np.ndarray, rows: int, k: int, seed: int = 7) -> dict:
     dims = sample.shape[1]
     turn = np.linalg.qr(rng.normal(size=(dims, dims)))[0]
     x = _unit(sample) @ turn
-    lists = min(len(x), max(LISTS[0], min(LISTS[1], math.isqrt(rows))))
+    lists = max(1, min(len(x), LISTS, math.isqrt(rows), rows // BLOCK))  # of BLOCK rows at least
     centres = x[rng.permutation(len(x))[:lists]]
     for _ in range(8):
         near = np.argmax(x @ centres.T, axis=1)
@@ -61,7 +64,7 @@ def fit(sample: np.ndarray, rows: int, k: int, seed: int = 7) -> dict:
     place = np.argsort(np.argsort(-(q @ centres.T), axis=1), axis=1)  # when each list is probed
     when = np.take_along_axis(place, near[true], axis=1).reshape(-1)
     probes = int(np.quantile(when, RECALL, method="higher")) + 1 if len(when) else lists
-    return {"turn": turn, "centres": centres, "sample": x, "probes": min(lists, max(8, math.ceil(1.5 * probes))), "k": k}
+    return {"turn": turn, "centres": centres, "sample": x, "near": near, "probes": min(lists, max(8, math.ceil(1.5 * probes))), "k": k}
 
 
 def scan(q: np.ndarray, bound: np.ndarray, x: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,8 +106,8 @@ def search(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedd
     """(query_id, rank, vec_id, score): the k nearest found, by cosine, of each row whose id is divisible by `every`.
 
     All rows are indexed; SAMPLE rows fit the lists. Vectors that are null, empty, zero or hold a null or non-finite component
-    take no part, nor do rows without id; vectors are compared with those of their own length; equal rows count once; other
-    columns are ignored; with fewer than k candidates all are found; an empty table gives an empty result.
+    take no part, nor do rows without id; vectors are compared with those of their own length; equal rows count once, and an
+    id with several vectors stands for the greatest of them, component by component; other columns are ignored; with fewer than k candidates all are found; an empty table gives an empty result.
     """
     v = F.transform(F.col("v"), lambda x: x.cast("double"))
     used = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null").where(usable(F.col("v")))
@@ -138,7 +141,7 @@ def _search(reps: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     index = write_table(reps.select("rep", "v").mapInArrow(assign, "list int, rep long, v array<double>"), "lists")
     sizes = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most LISTS rows
     blocks = [math.ceil(sizes.get(i, 0) / BLOCK) for i in range(lists)]
-    shares = max(1, math.ceil(queries * probes / lists / QUERIES))
+    shares = max(1, math.ceil(queries * probes / lists / SHARE))
 
     def probe(batches):
         m = model.value
@@ -146,12 +149,14 @@ def _search(reps: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             for at in range(0, b.num_rows, 256):
                 c = b.slice(at, 256)
                 q = _unit(matrix(c["v"])) @ m["turn"]
-                score = q @ m["sample"].T
+                picks = np.argsort(-(q @ m["centres"].T), axis=1, kind="stable")[:, :probes]
+                probed = np.zeros((len(q), lists), dtype=bool)
+                np.put_along_axis(probed, picks, True, axis=1)
+                score = np.where(probed[:, m["near"]], q @ m["sample"].T, -np.inf)  # a bound that candidates of the probed lists keep
                 score[score > 1 - 1e-12] = -np.inf  # the query itself may be in the sample
                 kth = min(m["k"], score.shape[1]) - 1
                 near = -np.partition(-score, kth, axis=1)[:, kth] if score.shape[1] > m["k"] else np.full(len(q), -1.0)
                 bound = np.where(np.isfinite(near), 2 - 2 * near, 4.0) + 1e-9
-                picks = np.argsort(-(q @ m["centres"].T), axis=1, kind="stable")[:, :probes]
                 out = [(i, int(p), s) for i, row in enumerate(picks) for p in row for s in range(blocks[p])]
                 if out:
                     i = pa.array([o[0] for o in out])

@@ -19,14 +19,15 @@ def classes(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 
     Equal vectors have equal scores, so a search among the distinct ones is a search among all: representatives is (rep, v, ids)
     with the k + 1 smallest ids of each class, which is as many as any query's result can take from it, its own left out;
-    members is (id, rep) for every row. The k + 1 smallest are found before the shuffle, so a vector that a third
-    of all rows share moves k + 1 rows a task.
+    members is (id, rep) for every id. An id is one row: of different vectors under one id the greatest, component by component, counts. The k + 1
+    smallest are found before the shuffle, so a vector that a third of all rows share moves k + 1 rows a task.
     """
+    rows = rows.groupBy("id").agg(F.max("v").alias("v"))
     by = Window.partitionBy("v").orderBy("id")
-    top = rows.distinct().withColumn("r", F.row_number().over(by)).where(F.col("r") <= k + 1)
+    top = rows.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k + 1)
     reps = top.groupBy("v").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids"))
     reps = write_table(reps, "vectors")
-    members = rows.select("id", "v").join(reps.select("v", "rep"), "v").select("id", "rep")
+    members = rows.join(reps.select("v", "rep"), "v").select("id", "rep")
     return reps, members
 
 

@@ -16,7 +16,7 @@ def rows_of(seed=0, n=900, dims=24):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     rows += [(n + i, rows[3][1]) for i in range(40)] + [(0, rows[0][1])]  # copies, and a repeated row
     odd = [None, [], [0.0] * dims, [None] + [1.0] * (dims - 1), [math.nan] + [1.0] * (dims - 1), [math.inf] + [1.0] * (dims - 1)]
-    rows += [(2000 + 50 * i, v) for i, v in enumerate(odd)] + [(None, rows[1][1]), (3000, [1.0, 2.0]), (3001, [2.0, 1.0])]
+    rows += [(10_000 + 50 * i, v) for i, v in enumerate(odd)] + [(None, rows[1][1]), (20_000, [1.0, 2.0]), (20_001, [2.0, 1.0])]
     random.Random(1).shuffle(rows)
     return [(*r, 1, 2) for r in rows]
 
@@ -49,6 +49,24 @@ def test_exact_search(spark):
     assert topk.search(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_one_id_with_two_vectors(spark):
+    """The greatest counts, as query and as candidate."""
+    rows = [(0, [1.0, 0.0], 1, 2), (0, [0.0, 1.0], 1, 2), (0, [0.0, 1.0], 1, 2), (1, [1.0, 0.5], 1, 2), (2, [0.5, 1.0], 1, 2)]
+    for search in (topk.search, ann.search):
+        got = sorted((r["rank"], r.vec_id) for r in search(spark.createDataFrame(rows, SCHEMA)).collect())
+        assert got == [(1, 1), (2, 2)]
+
+
+@pytest.mark.parametrize("lists", [1, 24])
+def test_queries_find_k_where_few_lists_are_probed(spark, lists, monkeypatch):
+    """Clustered vectors, of which the sample's nearest may lie in lists that a query doesn't probe."""
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(24, 8)) * 5, 60, axis=0) + rng.normal(size=(1440, 8))
+    monkeypatch.setattr(ann, "BLOCK", 1440 // lists)
+    got = by_query(ann.search(spark.createDataFrame([(i, v.tolist(), 1, 2) for i, v in enumerate(x.astype(np.float32))], SCHEMA)).collect())
+    assert len(got) == 29 and all(len(hits) == 5 for hits in got.values())
+
+
 def test_products_beyond_doubles():
     q, x = np.array([2.0**40, 3.0]), np.array([[2.0**20, 1.0], [-(2.0**62), 0.0]])
     assert topk.products(q, x).tolist() == [2**60 + 3, -(2**63)]
@@ -76,6 +94,7 @@ def test_recall_and_scores(spark):
         assert all(a[1] > b[1] or (a[1] == b[1] and a[0] < b[0]) for a, b in zip(mine, mine[1:], strict=False))
         found += len({i for i, _ in mine} & set(best))
         total += len(best)
+    print(f"recall {found / total:.4f} over {total} neighbours")
     assert total and found / total >= 0.95
     assert ann.search(spark.createDataFrame([], SCHEMA)).collect() == []
 
