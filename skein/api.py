@@ -39,16 +39,33 @@ def search(query: str, *, postings: DataFrame | None = None, vectors: DataFrame
     if not query.strip():
         return spark.createDataFrame([], "query int, node long, score double, rank long")
     hits = []
+    engines = []
     if engine != "semantic" and postings is not None:
         terms = spark.createDataFrame([(query,)], "q string").select(F.lit(1).alias("query"), F.explode(T.tokens(F.lower("q"))).alias("term"))
-        hits.append(R.bm25(postings, terms, k))
+        engines.append(lambda: R.bm25(postings, terms, k))
     if engine != "text" and vectors is not None and embed is not None:
-        q = spark.createDataFrame([(1, embed(query))], "query int, q array<double>")
-        near = R.neighbours(vectors, q, k if engine == "semantic" else 2 * k)
-        hits.append(near.select("query", "node", (1 - F.col("distance")).alias("score"), "rank"))
+        engines.append(lambda: _semantic(spark, query, vectors, embed, k if engine == "semantic" else 2 * k))
+    for one in engines:
+        try:
+            # a result is k rows; taking it here lets a failing engine drop out alone
+            rows = one()
+            hits.append(spark.createDataFrame(rows.collect(), rows.schema))
+        except Exception:
+            if engine != "hybrid" or one is engines[-1] and not hits:
+                raise
     return hits[0] if engine != "hybrid" else R.fuse(hits, k)
 
 
+def _semantic(spark, query: str, vectors: DataFrame, embed: Embed, k: int) -> DataFrame:
+    q = spark.createDataFrame([(1, embed(query))], "query int, q array<double>")
+    return R.neighbours(vectors, q, k).select("query", "node", (1 - F.col("distance")).alias("score"), "rank")
+
+
+def enriched(hits: DataFrame, nodes: DataFrame, index: DataFrame, source: str) -> DataFrame:
+    """Hits with the name of their node (node, name), its callers and callees, and the engine's name."""
+    return R.tagged(R.enrich(hits.join(nodes.select("node", "name"), "node", "left"), index), source)
+
+
 def dependencies(edges: DataFrame, members: DataFrame, module: str) -> DataFrame:
     return G.dependency_lists(edges, members).where(F.col("module") == module)
 

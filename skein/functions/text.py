@@ -9,6 +9,8 @@ CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
 TOKEN = f"{CJK}+|[A-Za-z0-9]+"
 #: path.ext:line[-line]; the extension starts with a letter.
 CITATION = r"([A-Za-z0-9_./\-]+\.[A-Za-z][A-Za-z0-9]*):([1-9][0-9]*)(?:-([1-9][0-9]*))?"
+#: White space as both Java and Python have it, for splitting at.
+SPACE = r"[ \t\n\x0B\f\r]+"
 RESIDUE = r"\{\{\s*\w[\w\s]*\}\}"
 
 
@@ -17,9 +19,13 @@ def is_cjk(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Keyword tokens in order: runs of ASCII letters and digits as they are, CJK runs as two-character windows (a single character gives none)."""
+    """Keyword tokens in order: runs of ASCII letters and digits as they are, CJK runs as two-character windows (a single character gives none).
+
+    Texts without CJK characters, nearly all, go by one pattern.
+    """
     pair = lambda t: F.when(F.length(t) > 1, F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    return F.flatten(F.transform(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)), lambda t: F.when(is_cjk(t), pair(t)).otherwise(F.array(t))))
+    mixed = F.flatten(F.transform(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)), lambda t: F.when(is_cjk(t), pair(t)).otherwise(F.array(t))))
+    return F.when(is_cjk(c), mixed).otherwise(F.regexp_extract_all(c, F.lit("[A-Za-z0-9]+"), F.lit(0)))
 
 
 def cjk_tokens(*cs: Column) -> Column:

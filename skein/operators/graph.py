@@ -102,13 +102,14 @@ def file_edges(edges: DataFrame, files: DataFrame, weights: dict[str, float]) ->
     return e.where("s <> t and ds = dt").groupBy("s", "t").agg(F.round(F.sum(w), 6).alias("weight"))
 
 
-def neighbor_jaccard(edges: DataFrame) -> DataFrame:
-    """(a, b, jaccard) for pairs a < b that share a neighbour in edges (node, neighbor)."""
+def neighbor_jaccard(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, jaccard) of pairs (a, b): the share of neighbours in edges (node, neighbor) that both have of those that either has; 0 without any."""
     e = edges.select("node", "neighbor").distinct()
     size = e.groupBy("node").agg(F.count("*").alias("k"))
-    both = e.alias("x").join(e.alias("y"), "neighbor").where("x.node < y.node").groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("n"))
-    out = both.join(size.select(F.col("node").alias("a"), F.col("k").alias("ka")), "a").join(size.select(F.col("node").alias("b"), F.col("k").alias("kb")), "b")
-    return out.select("a", "b", F.round(F.col("n") / (F.col("ka") + F.col("kb") - F.col("n")), 6).alias("jaccard"))
+    p = pairs.select("a", "b").distinct()
+    both = p.join(e.select(F.col("node").alias("a"), "neighbor"), "a").join(e.select(F.col("node").alias("b"), "neighbor"), ["b", "neighbor"]).groupBy("a", "b").agg(F.count("*").alias("n"))
+    out = p.join(both, ["a", "b"], "left").join(size.select(F.col("node").alias("a"), F.col("k").alias("ka")), "a", "left").join(size.select(F.col("node").alias("b"), F.col("k").alias("kb")), "b", "left")
+    return out.select("a", "b", F.coalesce(F.round(F.col("n") / (F.col("ka") + F.col("kb") - F.col("n")), 6), F.lit(0.0)).alias("jaccard"))
 
 
 def directory_communities(files: DataFrame, most: int = 20) -> DataFrame:

@@ -14,33 +14,45 @@ def fingerprint_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.where(~F.col("was").eqNullSafe(F.col("now"))).select("path", F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("changed").alias("change"))
 
 
-def full_rebuild(files: DataFrame, few: int = 200, share: float = 0.5, tokens: int = 200_000) -> DataFrame:
-    """One row (changed, total, rebuild) of files (size, changed): below `few` changes never; above `share` of the files or `tokens` (a third of the bytes) yes."""
-    x = files.agg(F.count_if("changed").alias("changed"), F.count("*").alias("total"), F.coalesce(F.sum(F.when(F.col("changed"), F.floor(F.col("size") / 3))), F.lit(0)).alias("t"))
-    return x.select("changed", "total", ((F.col("changed") >= few) & ((F.col("changed") > share * F.col("total")) | (F.col("t") > tokens))).alias("rebuild"))
+def full_rebuild(files: DataFrame, by: list[str] = (), few: int = 200, share: float = 0.5, tokens: int = 200_000) -> DataFrame:
+    """(*by, changed, total, rebuild) of files (*by, size, changed): below `few` changes never; above `share` of the files or `tokens` (a third of each file's bytes) yes."""
+    x = files.groupBy(*by).agg(F.count_if("changed").alias("changed"), F.count("*").alias("total"), F.coalesce(F.sum(F.when(F.col("changed"), F.floor(F.col("size") / 3))), F.lit(0)).alias("t"))
+    return x.select(*by, "changed", "total", ((F.col("changed") >= few) & ((F.col("changed") > share * F.col("total")) | (F.col("t") > tokens))).alias("rebuild"))
 
 
 def entity_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(file, name, place, change) of (file, name, pos, sig, doc, a, b) versions: Added, Removed, SignatureChanged or BodyChanged.
 
-    Entities of one name pair up in their order; what one side has beyond the other is dropped, and the group's change follows from its whole list of
-    signatures without white space; pairs whose range, signature and doc are equal are left out.
+    Entities of one name pair up in their order; what one side has beyond the other is dropped, and the group's change follows from a digest of its signatures without
+    white space in their order; pairs whose range, signature and doc are equal are left out.
     """
     w = Window.partitionBy("file", "name").orderBy("pos")
-    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-    def side(df: DataFrame, tag: str) -> DataFrame:
-        d = df.withColumn("place", F.row_number().over(w)).withColumn("sigs", F.collect_list(T.normal_signature(F.col("sig"))).over(every))
-        return d.select("file", "name", "place", *[F.col(c).alias(f"{tag}_{c}") for c in ("sig", "doc", "a", "b", "sigs")])
-
-    o, n = side(old, "o"), side(new, "n")
-    have_o, have_n = o.select("file", "name").distinct(), n.select("file", "name").distinct()
-    added = n.join(have_o, ["file", "name"], "left_anti").select("file", "name", "place", F.lit("Added").alias("change"))
-    removed = o.join(have_n, ["file", "name"], "left_anti").select("file", "name", "place", F.lit("Removed").alias("change"))
-    both = o.join(n, ["file", "name", "place"])
-    same = F.col("o_sig").eqNullSafe(F.col("n_sig")) & F.col("o_doc").eqNullSafe(F.col("n_doc")) & (F.col("o_a") == F.col("n_a")) & (F.col("o_b") == F.col("n_b"))
-    changed = both.where(~same).select("file", "name", "place", F.when(F.col("o_sigs") != F.col("n_sigs"), "SignatureChanged").otherwise("BodyChanged").alias("change"))
-    return added.union(removed).union(changed)
+    placed = lambda df: df.withColumn("place", F.row_number().over(w))
+
+    def digests(df: DataFrame, tag: str) -> DataFrame:
+        # a sum of hashes of place and signature is the same for equal lists only, and is summed up before the shuffle of rows
+        one = F.xxhash64("place", T.normal_signature(F.col("sig"))).cast("decimal(38,0)")
+        two = F.xxhash64(F.lit(1), "place", T.normal_signature(F.col("sig"))).cast("decimal(38,0)")
+        return df.groupBy("file", "name").agg(F.struct(F.count("*").alias("n"), F.sum(one).alias("x"), F.sum(two).alias("y")).alias(tag))
+
+    o, n = placed(old), placed(new)
+    groups = digests(o, "was").join(digests(n, "now"), ["file", "name"], "full")
+    added = n.join(groups.where("was is null").select("file", "name"), ["file", "name"], "left_semi").select("file", "name", "place", F.lit("Added").alias("change"))
+    removed = o.join(groups.where("now is null").select("file", "name"), ["file", "name"], "left_semi").select("file", "name", "place", F.lit("Removed").alias("change"))
+    fields = ("sig", "doc", "a", "b")
+    side = lambda df, tag: df.select("file", "name", "place", *[F.col(c).alias(f"{tag}_{c}") for c in fields])
+    differ = F.lit(False)
+    for c in fields:
+        differ = differ | ~F.col(f"o_{c}").eqNullSafe(F.col(f"n_{c}"))
+    both = side(o, "o").join(side(n, "n"), ["file", "name", "place"]).where(differ).select("file", "name", "place")
+    told = groups.where("was is not null and now is not null").select("file", "name", F.when(F.col("was") != F.col("now"), "SignatureChanged").otherwise("BodyChanged").alias("change"))
+    return added.union(removed).union(both.join(told, ["file", "name"]).select("file", "name", "place", "change"))
+
+
+def version_diff(old: DataFrame, new: DataFrame, files: DataFrame) -> DataFrame:
+    """entity_diff over the files (file, status) that a history names: modified ones compare, entities of deleted ones are all Removed, those of added ones Added."""
+    of = lambda df, *status: df.join(files.where(F.col("status").isin(*status)).select("file").distinct(), "file", "left_semi")
+    return entity_diff(of(old, "modified", "deleted"), of(new, "modified", "added"))
 
 
 def interface_changed(changes: DataFrame) -> DataFrame:
@@ -97,3 +109,97 @@ def manual_edits(pages: DataFrame, recorded: DataFrame, preview: int = 200) -> D
     """(module, notes) of pages (path, module, content) whose hash is not the recorded one (path, hash): a preview of each in the order of paths."""
     e = pages.join(recorded, "path").where(F.sha2("content", 256) != F.col("hash"))
     return e.groupBy("module").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", F.left("content", F.lit(preview)).alias("t")))), lambda x: x["t"]), "\n").alias("notes"))
+
+
+# Files that describe a project as a whole.
+PROJECT_INPUTS = (
+    "Cargo.toml", "Cargo.lock", "package.json", "pyproject.toml", "requirements.txt", "go.mod",
+    "AGENTS.md", ".editorconfig", "rustfmt.toml", ".rustfmt.toml", "clippy.toml", "CONTRIBUTING.md", "glossary.md",
+)
+
+
+def source_changes(status: DataFrame, output: str, guide: str = "AGENTS.md") -> DataFrame:
+    """Changed paths (path) of a working tree that are sources: neither the guide nor anything in the output folder."""
+    p = T.normal_path(F.col("path"))
+    out = output.strip("/")
+    return status.where((p != guide) & (p != out) & ~p.startswith(f"{out}/"))
+
+
+def no_change(state: dict, head: str | None, has_output: bool, changed: DataFrame) -> bool:
+    """Whether nothing has to be done: a known last commit that is the head, no failed modules, output in place and no changed source (source_changes)."""
+    last = state.get("last_commit_hash")
+    return bool(last) and last == head and not state.get("failed_modules") and has_output and changed.isEmpty()
+
+
+def project_inputs_changed(changed: DataFrame) -> DataFrame:
+    """(path): changes to files that describe the project."""
+    return changed.where(F.regexp_extract(T.normal_path(F.col("path")), "([^/]*)$", 1).isin(*PROJECT_INPUTS)).select("path")
+
+
+def reach(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
+    """(node): nodes within `depth` steps of any start (node), edges (src, dst) taken both ways."""
+    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).union(edges.select("dst", "src")).distinct()
+    seen = front = starts.select("node").distinct()
+    for _ in range(depth):
+        front = front.join(both, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti")
+        seen = seen.union(front)
+    return seen
+
+
+def impact_semantic(changed: DataFrame, changes: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
+    """(module): modules that changed files (change) reach, given entity changes (file, change), nodes (node, path, module) and edges (src, dst, kind).
+
+    A file with a changed interface reaches what lies within `depth` imports and calls either way; any other only the modules of its own nodes. A changed body
+    also reaches its direct callers. Without any entity change at all every file counts as a changed interface.
+    """
+    used = edges.where("kind in ('Imports', 'Calls')")
+    starts = prefix_starts(nodes.where("path is not null"), changed)
+    some = changes.limit(1).select(F.lit(1).alias("one"))  # one row
+    interface = changes.where("change <> 'BodyChanged'").select(F.col("file").alias("change")).distinct()
+    every = starts.join(F.broadcast(some), F.lit(True), "left_anti")
+    wide = starts.join(interface, "change", "left_semi").union(every).select("node")
+    narrow = starts.join(F.broadcast(some), F.lit(True), "left_semi").join(interface, "change", "left_anti").select("node")
+    bodies = changes.where("change = 'BodyChanged'").select(F.col("file").alias("change")).distinct()
+    called = starts.join(bodies, "change", "left_semi").select(F.col("node").alias("dst"))
+    callers = edges.where("kind = 'Calls'").join(called.distinct(), "dst", "left_semi").select(F.col("src").alias("node"))
+    hit = reach(used, wide, depth).union(narrow).union(callers).distinct()
+    return nodes.join(hit, "node", "left_semi").where("module <> ''").select("module").distinct()
+
+
+def module_files(modules: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(path): files of the nodes (path, module) of modules (module)."""
+    return nodes.where("path is not null").join(modules.select("module").distinct(), "module", "left_semi").select("path").distinct()
+
+
+def output_fingerprints(pages: DataFrame) -> DataFrame:
+    """(path, module, hash) of rendered pages (path, module, content)."""
+    return pages.select("path", "module", F.sha2("content", 256).alias("hash"))
+
+
+def survivors(changed: DataFrame, cards: DataFrame, files: DataFrame) -> DataFrame:
+    """(path): files (path) that are left of modules (cards: module, path) of which a changed file is gone; they have to be read again."""
+    gone = changed.select("path").join(files.select("path"), "path", "left_anti").distinct()
+    hit = cards.join(gone, "path", "left_semi").select("module").distinct()
+    return files.select("path").join(cards.join(hit, "module", "left_semi").select("path").distinct(), "path", "left_semi")
+
+
+def update_scope(old: DataFrame, new: DataFrame, changes: DataFrame, nodes: DataFrame, edges: DataFrame, cards: DataFrame, failed: DataFrame, pages: DataFrame, watched: DataFrame, depth: int = 3) -> DataFrame:
+    """(path, reason): what an incremental run has to do again, each path once by its first reason.
+
+    old and new are (path, hash). Reasons: changed (or new, or named by watched: path), removed, failed (files of modules, module, that failed before), impact
+    (files of modules that the changes reach), sibling (files left of modules that lost one), reference (files of modules whose pages, page and text, cite a removed file).
+    """
+    diff = fingerprint_diff(old, new)
+    gone = diff.where("change = 'removed'").select("path")
+    touched = diff.where("change <> 'removed'").select("path").union(watched.select("path")).distinct()
+    here = new.select("path")
+    parts = {"changed": touched, "removed": gone, "failed": cards.join(failed.select("module").distinct(), "module", "left_semi").select("path")}
+    parts["impact"] = module_files(impact_semantic(touched.withColumnRenamed("path", "change"), changes, nodes, edges, depth), nodes)
+    parts["sibling"] = survivors(gone, cards, here)
+    cited = reverse_references(pages, gone).select(F.col("page").alias("module"))
+    parts["reference"] = cards.join(cited, "module", "left_semi").select("path")
+    out = None
+    for place, (reason, p) in enumerate(parts.items()):
+        p = (p if reason == "removed" else p.join(here, "path", "left_semi")).select("path", F.lit(place).alias("place"), F.lit(reason).alias("reason"))
+        out = p if out is None else out.union(p)
+    return out.groupBy("path").agg(F.min_by("reason", "place").alias("reason"))

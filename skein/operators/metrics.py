@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.functions.text import json_slice
+from skein.functions.text import SPACE, json_slice
+from skein.operators.retrieval import word_matches
 
 
 def _share(n: Column, of: Column, empty: float) -> Column:
@@ -13,9 +19,15 @@ def _share(n: Column, of: Column, empty: float) -> Column:
 
 
 def coverage(names: DataFrame, pages: DataFrame) -> DataFrame:
-    """One row (total, found, ratio): distinct names (name) that some page (text) contains; without names the ratio is 1."""
+    """One row (total, found, ratio): distinct names (name) that some page (text) contains; without names the ratio is 1.
+
+    A name without white space lies within one word, so the distinct words of all pages are asked once; other names are looked for on the pages.
+    """
     n = names.select("name").distinct()
-    hit = n.join(pages.select("text"), F.col("text").contains(F.col("name")), "left_semi")
+    odd = F.col("name").rlike(SPACE) | (F.col("name") == "")
+    words = pages.select(F.explode(F.split("text", SPACE)).alias("word")).distinct()
+    hit = word_matches(words, n.where(~odd).withColumnRenamed("name", "keyword")).select(F.col("keyword").alias("name")).distinct()
+    hit = hit.union(n.where(odd).join(pages.select("text"), F.col("text").contains(F.col("name")), "left_semi"))
     return n.agg(F.count("*").alias("total")).join(hit.agg(F.count("*").alias("found")), F.lit(True), "cross").select("total", "found", _share(F.col("found"), F.col("total"), 1.0).alias("ratio"))
 
 
@@ -82,11 +94,19 @@ def module_std(scores: DataFrame, by: str, dims: list[str]) -> DataFrame:
 
 
 def pairwise_agreement(scores: DataFrame, by: str, dims: list[str], within: float = 1.0) -> DataFrame:
-    """(by, pairs, agreement): of all scores of two rounds, every dimension against every other, the share that differ by at most `within`."""
-    long = scores.select(by, "round", F.explode(F.array(*dims)).alias("s"))
-    a, b = long.select(by, F.col("round").alias("ra"), F.col("s").alias("sa")), long.select(by, F.col("round").alias("rb"), F.col("s").alias("sb"))
-    p = a.join(b, by).where("ra < rb")
-    return p.groupBy(by).agg(F.count("*").alias("pairs"), F.round(F.avg((F.abs(F.col("sa") - F.col("sb")) <= within).cast("double")), 6).alias("agreement"))
+    """(by, pairs, agreement): of all scores of two rounds, every dimension against every other, the share that differ by at most `within`.
+
+    Pairs are counted from how often each value occurs: those of all scores less those of one round with itself. Values meet by ranges of length `within`.
+    """
+    d = len(dims)
+    near = lambda x, y: (F.abs(x - y) <= within).cast("long")
+    own = sum((near(F.col(x), F.col(y)) for x in dims for y in dims), F.lit(0))
+    rounds = scores.groupBy(by).agg(F.count("*").alias("rounds"), F.sum(own).alias("own"))
+    values = scores.select(by, F.explode(F.array(*dims)).alias("s")).groupBy(by, "s").agg(F.count("*").alias("n")).withColumn("bin", F.floor(F.col("s") / within))
+    other = values.select(by, F.col("s").alias("t"), F.col("n").alias("m"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    close = values.join(other, [by, "bin"]).where(F.abs(F.col("s") - F.col("t")) <= within).groupBy(by).agg(F.sum(F.col("n") * F.col("m")).alias("close"))
+    x = rounds.join(close, by).withColumn("pairs", ((F.col("rounds") * d) * (F.col("rounds") * d) - F.col("rounds") * d * d) / 2)
+    return x.where("pairs > 0").select(by, F.col("pairs").cast("long").alias("pairs"), F.round((F.col("close") - F.col("own")) / 2 / F.col("pairs"), 6).alias("agreement"))
 
 
 def position_bias(scores: DataFrame, by: str) -> DataFrame:
@@ -120,3 +140,108 @@ def verdict_score(c: Column) -> Column:
     score = F.get_json_object(json_slice(c), "$.score").try_cast("double")
     return F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(10.0), score)))
 
+
+
+def verdict_state(c: Column) -> Column:
+    """judged, uncertain or unparseable: whether a verdict has a score, says that it is not sure, or neither."""
+    sure = F.get_json_object(json_slice(c), "$.uncertain")
+    return F.when(verdict_score(c).isNotNull(), "judged").when(F.lower(sure) == "true", "uncertain").otherwise("unparseable")
+
+
+def judged_mean(verdicts: DataFrame) -> DataFrame:
+    """One row (pages, judged, uncertain, mean) of answers (page, attempt, text): an uncertain answer counts as its next attempt; the mean is over judged pages."""
+    x = verdicts.select("page", "attempt", verdict_state(F.col("text")).alias("state"), verdict_score(F.col("text")).alias("score"))
+    first = x.groupBy("page").agg(F.min_by(F.struct("state", "score"), F.struct((F.col("state") == "uncertain").cast("int"), "attempt")).alias("x"))
+    return first.agg(F.count("*").alias("pages"), F.count_if(F.col("x.state") == "judged").alias("judged"), F.count_if(F.col("x.state") == "uncertain").alias("uncertain"), F.round(F.avg("x.score"), 6).alias("mean"))
+
+
+DIMENSIONS = ("clarity", "readability", "conciseness", "richness", "structure")
+
+
+def score_pairs(c: Column, dims: tuple[str, ...] = DIMENSIONS) -> Column:
+    """struct<a, b: array<double>> of a JSON answer with the scores of two documents A and B on every dimension, between 0 and 10; null where any is missing."""
+
+    def side(name: str) -> Column:
+        return F.array(*[_clamped(F.get_json_object(json_slice(c), f"$.{name}.{d}").try_cast("double")) for d in dims])
+
+    a, b = side("A"), side("B")
+    return F.when(~F.exists(F.concat(a, b), lambda x: x.isNull()), F.struct(a.alias("a"), b.alias("b")))
+
+
+def _clamped(x: Column) -> Column:
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(10.0), x)))
+
+
+def judgment(a: Column, b: Column) -> Column:
+    """1, 0 or -1: which of two lists of scores has the larger sum."""
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    return F.signum(total(a) - total(b)).cast("int")
+
+
+def quality_report(rounds: DataFrame, dims: int = 5) -> DataFrame:
+    """One row (modules, mean_0 …, total, ties, std) of judged rounds (module, round, a_first, a, b: scores): the scores of the old document, that is a where it
+    came first and b where it came second, averaged by module and then over modules; ties is the mean share of rounds without winner."""
+    old = F.when(F.col("a_first"), F.col("a")).otherwise(F.col("b"))
+    x = rounds.withColumn("old", old).withColumn("tie", (judgment(F.col("a"), F.col("b")) == 0).cast("double"))
+    means = [F.avg(F.col("old")[i]).alias(f"mean_{i}") for i in range(dims)]
+    m = x.groupBy("module").agg(*means, F.avg("tie").alias("tie"), *[F.stddev_pop(F.col("old")[i]).alias(f"std_{i}") for i in range(dims)])
+    total = sum((F.col(f"mean_{i}") for i in range(dims)), F.lit(0.0)) / dims
+    spread = sum((F.col(f"std_{i}") for i in range(dims)), F.lit(0.0)) / dims
+    return m.agg(F.count("*").alias("modules"), *[F.round(F.avg(f"mean_{i}"), 6).alias(f"mean_{i}") for i in range(dims)], F.round(F.avg(total), 6).alias("total"), F.round(F.avg("tie"), 6).alias("ties"), F.round(F.avg(spread), 6).alias("std"))
+
+
+def leaf_verdicts(votes: DataFrame) -> DataFrame:
+    """(leaf, verdict, resolved) of votes (leaf, vote: boolean, null abstains): what most say, null for a tie; resolved where there is no tie."""
+    x = votes.groupBy("leaf").agg(F.count_if("vote").alias("t"), F.count_if(~F.col("vote")).alias("f"))
+    return x.select("leaf", F.when(F.col("t") > F.col("f"), True).when(F.col("f") > F.col("t"), False).alias("verdict"), (F.col("t") != F.col("f")).alias("resolved"))
+
+
+def leaves(nodes: DataFrame) -> DataFrame:
+    """(tree, node, place) of the nodes (tree, node, parent, pre: place in pre-order) without children, numbered in their order."""
+    x = nodes.join(nodes.select("tree", F.col("parent").alias("node")).where("node is not null").distinct(), ["tree", "node"], "left_anti")
+    return x.select("tree", "node", F.row_number().over(Window.partitionBy("tree").orderBy("pre")).cast("long").alias("place"))
+
+
+def rubric_nodes(answers: DataFrame) -> DataFrame:
+    """(tree, node, parent, pre, level, weight, requirement) of JSON answers (tree, text): a list of nodes, an object with rubrics, or one node; fences are dropped, and
+    an answer that is none of these gives no rows. Nodes are numbered in pre-order, from 0."""
+    tree_type = answers.schema["tree"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for tree, text in zip(b["tree"].to_pylist(), b["text"].to_pylist(), strict=True):
+                body = re.sub(r"^```(?:json)?|```$", "", (text or "").strip()).strip()
+                try:
+                    found = json.loads(body)
+                except ValueError:
+                    continue
+                found = found if isinstance(found, list) else found.get("rubrics", [found]) if isinstance(found, dict) else []
+                todo, n = [(x, None, 0) for x in reversed(found)], 0
+                while todo:
+                    x, parent, level = todo.pop()
+                    if isinstance(x, dict) and isinstance(x.get("requirement"), str):
+                        out.append((tree, n, parent, n, level, float(x.get("weight") or 1), x["requirement"]))
+                        todo += [(y, n, level + 1) for y in reversed(x.get("sub_tasks") or [])]
+                        n += 1
+            types = (b["tree"].type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], ["tree", "node", "parent", "pre", "level", "weight", "requirement"])
+
+    return answers.select("tree", "text").mapInArrow(run, f"tree {tree_type}, node long, parent long, pre long, level long, weight double, requirement string")
+
+
+def sweep(members: DataFrame) -> DataFrame:
+    """(gamma, communities, singletons, largest, mean, mixed) of members (gamma, community, domain): mixed communities hold more than one domain."""
+    c = members.groupBy("gamma", "community").agg(F.count("*").alias("n"), F.count_distinct("domain").alias("d"))
+    return c.groupBy("gamma").agg(F.count("*").alias("communities"), F.count_if(F.col("n") == 1).alias("singletons"), F.max("n").alias("largest"), F.round(F.avg("n"), 6).alias("mean"), F.count_if(F.col("d") > 1).alias("mixed"))
+
+
+def run_batch(spark: SparkSession, entries: list[dict], run: Callable[[dict], float]) -> DataFrame:
+    """(name, value, error) of a run for each entry; a run that fails is a row with its error, and the others go on."""
+    rows = []
+    for e in entries:
+        try:
+            rows.append((e["name"], float(run(e)), None))
+        except Exception as problem:  # whatever a repository does to its run is part of the report
+            rows.append((e.get("name"), None, f"{type(problem).__name__}: {problem}"))
+    return spark.createDataFrame(rows, "name string, value double, error string")

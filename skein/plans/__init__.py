@@ -1,3 +1,3 @@
 """Registered queries; importing this package fills the registry."""
 
-from skein.plans import audit, graph, incremental, metrics, rendering, retrieval, sources  # noqa: F401
+from skein.plans import audit, codegraph, graph, incremental, metrics, ownership, rendering, retrieval, sources  # noqa: F401

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skein import registry
 from skein.functions import text as T
 from skein.operators import audit as A
 from skein.plans.common import table
 from skein.plans.incremental import _CITED, cited
 from skein.registry import query
 
-_HREF = r"""l as (select page_id as page, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as target from pages), t as (select page, target from l where target <> '')"""
+_HREF = r"""l as (select page_id as page, trim(unnest(regexp_extract_all(html, 'href="([^"]*)"', 1))) as target from pages), t as (select page, target from l where target <> '')"""
 
 
 def _links(spark, d):
-    return table(spark, d, "pages").select(F.col("page_id").alias("page"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target")).where("target <> ''")
+    """The links of the given pages, written as markdown and read back; every third link has a space beside its target, and each page ends in an empty one."""
+    href = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    text = F.concat(F.array_join(F.transform(href, lambda x, i: F.concat(F.lit("see [x]("), F.when(i % 3 == 0, " ").otherwise(""), x, F.lit(") and"))), "\n"), F.lit("\n[no]( )"))
+    return table(spark, d, "pages").select(F.col("page_id").alias("page"), F.explode(T.links(text)).alias("target"))
 
 
 def _urls(spark, d):
@@ -83,9 +87,15 @@ def _view(spark, d):
     return A.lines(_pages(spark, d))
 
 
-@query("fence_ranges", "select p_partkey as page, 5 as start, 7 as \"end\" from part")
+_FENCED = "repeat('a' || chr(10), p_size % 5) || case when p_size % 3 = 0 then '  ```rust' || chr(10) || repeat('b' || chr(10), p_size % 4) || '```' || chr(10) else '' end || 'c' || chr(10) || '```' || chr(10) || repeat('d' || chr(10), p_partkey % 3) || case when p_partkey % 2 = 0 then '```' || chr(10) || 'e' else 'e' end"
+
+
+@query("fence_ranges", f"""with x as (select p_partkey as page, string_split({_FENCED}, chr(10)) as ls from part), l as (select page, unnest(ls) as t, generate_subscripts(ls, 1) as line, len(ls) as n from x),
+m as (select *, row_number() over (partition by page order by line) as k, lead(line) over (partition by page order by line) as next from l where starts_with(ltrim(t), '```'))
+select page, line::int as start, coalesce(next, n)::int as "end" from m where k % 2 = 1""")
 def fence_ranges(spark, d):
-    return A.fence_ranges(_view(spark, d)).select("page", F.col("start").cast("int"), F.col("end").cast("int"))
+    x = A.lines(table(spark, d, "part").select(F.col("p_partkey").alias("page"), F.expr(_FENCED).alias("text")))
+    return A.fence_ranges(x).select("page", F.col("start").cast("int"), F.col("end").cast("int"))
 
 
 @query("template_residue", "select p_partkey as page, 9 as line, left('text {{ name }} ' || p_name || case when p_size % 2 = 0 then ' src/a.rs:' || p_size else '' end, 120) as snippet from part")
@@ -143,19 +153,35 @@ def entity_coverage(spark, d):
     return A.uncovered(c, k)
 
 
-@query("stale_entities", "select distinct p_brand as name from part where p_brand not in (select 'Brand#' || n_nationkey from nation)")
-def stale_entities(spark, d):
-    k = table(spark, d, "nation").select(F.concat(F.lit("Brand#"), "n_nationkey").alias("name"))
-    return table(spark, d, "part").select(F.col("p_brand").alias("name")).distinct().join(k, "name", "left_anti")
-
-
-@query("lint_union_histogram", f"""with {_HREF} select 'broken-link' as kind, count(*) as n from t where target not in (select url from pages) having count(*) > 0
-union all select 'orphan', count(*) from pages where url not in (select target from t) having count(*) > 0 union all select 'residue', count(*) from part""")
-def lint_union_histogram(spark, d):
-    return A.histogram(A.issues(("orphan", "Warning", orphan_pages(spark, d)), ("broken-link", "Error", broken_links(spark, d)), ("residue", "Error", template_residue(spark, d))))
-
-
 @query("signature_names", """select p_partkey, case when p_size % 3 = 0 then 'run' || p_size when p_size % 3 = 1 then 'Part' || p_partkey else null end as name from part""")
 def signature_names(spark, d):
     sig = F.expr("case when p_size % 3 = 0 then 'pub async fn run' || p_size || '(x: i32) -> u8' when p_size % 3 = 1 then '#[derive(Debug)] pub(crate) struct Part' || p_partkey || '<T> where T: Copy' else 'impl Part for X' end")
     return table(spark, d, "part").select("p_partkey", T.signature_name(sig).alias("name"))
+
+
+#: The checks of pages: kind, severity, and the query that finds the pages (its column `kind`, where it has one, names the kind).
+_CHECKS = (
+    ("orphan", "Warning", "orphan_pages"), ("broken-link", "Error", "broken_links"), ("stale", "Warning", "staleness"), ("bad-citation", "Error", "citation_check"), ("bad-context", "Error", "verified_tokens"),
+    ("entity", "Error", "entity_ownership"), ("stale-entity", "Error", "stale_entities"), ("dependency-fabricated", "Error", "fabricated_dependencies"), ("bad-diagram", "Warning", "diagram_problems"), ("residue", "Error", "template_residue"),
+)
+
+
+def _counts():
+    from skein.plans import ownership  # noqa: F401  registers
+
+    for kind, severity, name in _CHECKS:
+        own = "kind, severity" if name == "entity_ownership" else f"'{kind}' as kind, '{severity}' as severity"
+        yield f"select {own}, page::varchar as page from ({registry._SQL[name]})"
+
+
+@query("lint_union_histogram", f"select kind, severity, count(*) as n from ({' union all '.join(_counts())}) group by all")
+def lint_union_histogram(spark, d):
+    """All checks over their pages, counted by kind."""
+    parts = []
+    for kind, severity, name in _CHECKS:
+        df = registry._QUERIES[name](spark, d)
+        if name == "entity_ownership":
+            parts += [(k, s, df.where((F.col("kind") == k) & (F.col("severity") == s))) for k in ("entity-ownership", "entity-coverage") for s in ("Warning", "Error")]
+        else:
+            parts.append((kind, severity, df))
+    return A.issues(*parts).groupBy("kind", "severity").agg(F.count("*").alias("n"))

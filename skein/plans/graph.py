@@ -8,6 +8,7 @@ from skein.functions import text as T
 from skein.operators import graph as G
 from skein.plans.common import CALLS, MEMBERS, PATHS, calls, nations, paths, table
 from skein.registry import query
+from skein.sources.state import checkpoint_folder
 
 _DEPS = f"with {MEMBERS}, {CALLS}, e as (select a.module as a, b.module as b, src, dst from calls join members a on a.node = src join members b on b.node = dst), deps as (select distinct a, b from e where a <> b)"
 
@@ -103,10 +104,11 @@ def impl_edges(spark, d):
 
 
 @query("neighbor_jaccard", """with e as (select distinct l_suppkey as node, l_partkey as neighbor from lineitem), s as (select node, count(*) as k from e group by node),
-b as (select x.node as a, y.node as b, count(*) as n from e x join e y on x.neighbor = y.neighbor and x.node < y.node group by all)
-select a, b, round(n::double / (p.k + q.k - n), 6) as jaccard from b join s p on p.node = a join s q on q.node = b""")
+w as (select distinct s_suppkey as a, s_suppkey * 7 % 1000 + 1 as b from supplier), n as (select a, b, count(*) as n from w join e x on x.node = a join e y on y.node = b and x.neighbor = y.neighbor group by all)
+select w.a, w.b, coalesce(round(n::double / (p.k + q.k - n), 6), 0.0) as jaccard from w left join n on n.a = w.a and n.b = w.b left join s p on p.node = w.a left join s q on q.node = w.b""")
 def neighbor_jaccard(spark, d):
-    return G.neighbor_jaccard(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("neighbor")))
+    w = table(spark, d, "supplier").select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") * 7 % 1000 + 1).alias("b"))
+    return G.neighbor_jaccard(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("neighbor")), w)
 
 
 @query("file_edge_weights", """with f as (select s_suppkey as node, 'f' || s_suppkey % 40 as file, case when s_nationkey < 12 then 'src' else 'lib' end as domain from supplier),
@@ -169,9 +171,6 @@ r as (select src, dst from e where src <> dst union select r.src, e.dst from r j
 p as (select a.src as node, least(min(a.dst), a.src) as cycle from r a join r b on a.src = b.dst and a.dst = b.src where a.src <> a.dst group by a.src) select node, cycle from p""")
 def scc_cycles(spark, d):
     s = table(spark, d, "supplier")
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())  # tests only; a cluster names spark.checkpoint.dir
+    checkpoint_folder(spark)
     e = s.select(F.col("s_suppkey").alias("src"), (F.col("s_suppkey") * 5 % 97).alias("dst")).union(s.select("s_suppkey", F.col("s_suppkey") * 11 % 89))
     return G.cycles(e)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skein.operators import codegraph as C
 from skein.operators import incremental as I
+from skein.operators import index as X
+from skein.plans.codegraph import _EDGES, PARSED, parsed, written_graph
 from skein.plans.common import table
 from skein.registry import query
 
@@ -31,11 +34,7 @@ def fingerprints(spark, d):
 from (select lang, count(*) as n, count(*) filter (source <> 'src1') as c, coalesce(sum(n_chars // 3) filter (source <> 'src1'), 0) as t from documents group by lang)""")
 def full_rebuild_guard(spark, d):
     x = table(spark, d, "documents").select("lang", F.col("n_chars").alias("size"), (F.col("source") != "src1").alias("changed"))
-    out = None
-    for (lang,) in sorted(x.select("lang").distinct().collect()):
-        part = I.full_rebuild(x.where(F.col("lang") == lang)).withColumn("lang", F.lit(lang))
-        out = part if out is None else out.union(part)
-    return out
+    return I.full_rebuild(x, ["lang"])
 
 
 _ENTITIES = """v as (select p_brand as file, 'e' || p_size as name, p_partkey as pos, 'fn e( ' || p_type || ' )' as sig, p_name as doc, p_partkey as a, p_partkey + 3 as b, p_partkey, p_size from part),
@@ -102,9 +101,11 @@ def unchanged_backfill(spark, d):
     return I.backfill(table(spark, d, "documents").select(F.col("doc_id").alias("module"), "lang"), *[marks.where(f"{c} = 1").select(F.col("doc_id").alias("module")) for c in ("quality", "toxic")])
 
 
-@query("stale_outputs", "select doc_id from labels except select doc_id from documents where lang = 'en'")
+@query("stale_outputs", "select '/out/' || doc_id as path from labels where doc_id % 7 <> 0 and doc_id not in (select doc_id from documents where lang = 'en') and quality <> 0")
 def stale_outputs(spark, d):
-    return table(spark, d, "labels").select("doc_id").subtract(table(spark, d, "documents").where("lang = 'en'").select("doc_id"))
+    """A seventh of the recorded paths is relative; documents in English were rendered again, and modules are the labels of quality, of which 0 is kept."""
+    r = table(spark, d, "labels").select(F.expr("case when doc_id % 7 = 0 then '' else '/' end || 'out/' || doc_id").alias("path"), F.col("quality").alias("module"))
+    return X.stale_artefacts(r, table(spark, d, "documents").where("lang = 'en'").selectExpr("'/out/' || doc_id as path"), spark.createDataFrame([(0,)], "module int"))
 
 
 @query("fingerprint_sync", f"with {_VERSIONS}, j as (select coalesce(o.path, n.path) as path, o.hash as was, n.hash as now from o full join n on o.path = n.path), r as (select path, case when path like '%7' then coalesce(was, now) else now end as hash from j) select * from r where hash is not null")
@@ -124,3 +125,100 @@ def manual_edits(spark, d):
     x = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("path"), F.col("lang").alias("module"), "text", "source")
     edited = F.when(F.col("source").isin("src1", "src2"), F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     return I.manual_edits(x.select("path", "module", edited.alias("content")), x.select("path", F.sha2("text", 256).alias("hash")))
+
+
+_TREE = "case p_partkey % 5 when 0 then 'wiki/p' || p_partkey when 1 then 'AGENTS.md' when 2 then 'wiki' when 3 then 'src\\p' || p_partkey || '.rs' else 'wikis/p' || p_partkey end"
+
+
+@query("source_changes", f"select p_partkey as id, {_TREE} as path from part where p_partkey % 5 in (3, 4)")
+def source_changes(spark, d):
+    path = F.expr(_TREE.replace("\\", "\\\\"))
+    return I.source_changes(table(spark, d, "part").select(F.col("p_partkey").alias("id"), path.alias("path")), "wiki/")
+
+
+@query("project_inputs", "select path from (select 'a' || n_nationkey || '/' || (['Cargo.toml', 'cargo.toml', 'go.mod', 'x.rs', 'glossary.md'])[n_nationkey % 5 + 1] as path, n_nationkey from nation) where n_nationkey % 5 in (0, 2, 4)")
+def project_inputs(spark, d):
+    return I.project_inputs_changed(table(spark, d, "nation").selectExpr("'a' || n_nationkey || '/' || element_at(array('Cargo.toml', 'cargo.toml', 'go.mod', 'x.rs', 'glossary.md'), n_nationkey % 5 + 1) as path"))
+
+
+@query("version_diff", f"""with {_ENTITIES}, f as (select distinct p_brand as file, case cast(right(p_brand, 1) as int) % 3 when 0 then 'modified' when 1 then 'deleted' else 'added' end as status from part),
+o2 as (select * from o where file in (select file from f where status <> 'added')), n2 as (select * from n where file in (select file from f where status <> 'deleted')),
+x as (select *, row_number() over w as place, list(regexp_replace(sig, '\\s', '', 'g')) over (partition by file, name order by pos rows between unbounded preceding and unbounded following) as sigs from o2 window w as (partition by file, name order by pos)),
+y as (select *, row_number() over w as place, list(regexp_replace(sig, '\\s', '', 'g')) over (partition by file, name order by pos rows between unbounded preceding and unbounded following) as sigs from n2 window w as (partition by file, name order by pos))
+select file, name, place, 'Added' as change from y where (file, name) not in (select file, name from x) union all select file, name, place, 'Removed' from x where (file, name) not in (select file, name from y)
+union all select x.file, x.name, x.place, case when x.sigs <> y.sigs then 'SignatureChanged' else 'BodyChanged' end from x join y using (file, name, place) where not (x.sig = y.sig and x.doc = y.doc and x.a = y.a and x.b = y.b)""")
+def version_diff(spark, d):
+    status = F.expr("case cast(right(p_brand, 1) as int) % 3 when 0 then 'modified' when 1 then 'deleted' else 'added' end")
+    return I.version_diff(*_entities(spark, d), table(spark, d, "part").select(F.col("p_brand").alias("file"), status.alias("status")).distinct())
+
+
+_CHANGED = "chg as (select path from files where file % 13 = 5), ech as (select path as file, case when file % 2 = 0 then 'BodyChanged' else 'SignatureChanged' end as change from files where file % 13 = 5 and file % 3 <> 0)"
+
+
+def _reach(changed):
+    return f"st as (select c.path as change, n.id as node from nodes n join {changed} c on n.path = c.path)," + _REACH
+
+
+_REACH = """
+bd as (select src as node, dst as next from edges where kind in ('Imports', 'Calls') union select dst, src from edges where kind in ('Imports', 'Calls')),
+w0 as (select distinct node from st where change in (select file from ech where change <> 'BodyChanged') or not exists (select 1 from ech)),
+w1 as (select node from w0 union select next from w0 join bd using (node)), w2 as (select node from w1 union select next from w1 join bd using (node)), w3 as (select node from w2 union select next from w2 join bd using (node)),
+hit as (select node from w3 union select node from st where exists (select 1 from ech) and change not in (select file from ech where change <> 'BodyChanged')
+  union select src from edges where kind = 'Calls' and dst in (select node from st where change in (select file from ech where change = 'BodyChanged'))),
+aff as (select distinct module from nodes where id in (select node from hit) and module <> '')"""
+
+
+def _changed(spark, d):
+    """(changed files, entity changes, nodes, edges) of the code graph."""
+    files, every, edges = written_graph(spark, d)
+    changed = files.where("file % 13 = 5").select(F.col("path").alias("change"))
+    changes = files.where("file % 13 = 5 and file % 3 <> 0").select(F.col("path").alias("file"), F.when(F.col("file") % 2 == 0, "BodyChanged").otherwise("SignatureChanged").alias("change"))
+    return files, changed, changes, every.select(F.col("id").alias("node"), "path", "module"), edges
+
+
+@query("impact_semantic", f"with {PARSED}, {_EDGES}, {_CHANGED}, {_reach('chg')} select module from aff")
+def impact_semantic(spark, d):
+    _, changed, changes, every, edges = _changed(spark, d)
+    return I.impact_semantic(changed, changes, every, edges)
+
+
+@query("module_files", f"with {PARSED} select distinct path from nodes where path is not null and module in (select 'src::m' || n_nationkey from nation where n_nationkey % 3 = 0)")
+def module_files(spark, d):
+    files, entities, _ = parsed(spark, d)
+    return I.module_files(table(spark, d, "nation").where("n_nationkey % 3 = 0").selectExpr("'src::m' || n_nationkey as module"), C.nodes(files, entities))
+
+
+@query("output_fingerprints", "select 'wiki/d' || doc_id as path, source as module, sha256(text) as hash from documents")
+def output_fingerprints(spark, d):
+    return I.output_fingerprints(table(spark, d, "documents").selectExpr("'wiki/d' || doc_id as path", "source as module", "text as content"))
+
+
+_CARDS = "cards as (select 'd' || doc_id as path, source || '-' || lang as module from documents)"
+
+
+@query("surviving_siblings", f"with {_VERSIONS}, {_CARDS}, g as (select path from o where path like '%3' and path not in (select path from n)) select path from n where path in (select path from cards where module in (select module from cards join g using (path)))")
+def surviving_siblings(spark, d):
+    old, new = _versions(spark, d)
+    cards = table(spark, d, "documents").selectExpr("'d' || doc_id as path", "source || '-' || lang as module")
+    return I.survivors(old.where("path like '%3'"), cards, new)
+
+
+@query("update_scope", f"""with {PARSED}, {_EDGES}, {_CHANGED}, op as (select path from files where file % 29 <> 3), np as (select path from files where file % 31 <> 4),
+card as (select path, s_nationkey as module from files join supplier on s_suppkey = file), pg as (select s_nationkey as page, path from supplier, ns, files where file = s_suppkey * 7 % n + 1 and s_suppkey % 6 = 0),
+gone as (select path from op where path not in (select path from np)), t as (select path from files where path in (select path from np) and (path not in (select path from op) or file % 13 = 5 or file % 41 = 7)), {_reach("t")},
+r as (select path, 0 as place, 'changed' as reason from t union all select path, 1, 'removed' from gone union all select path, 2, 'failed' from card where module = 5
+  union all select path, 3, 'impact' from nodes where path is not null and module in (select module from aff) union all select path, 4, 'sibling' from card where module in (select module from card join gone using (path))
+  union all select path, 5, 'reference' from card where module in (select page from pg where path in (select path from gone)))
+select path, arg_min(reason, place) as reason from r where reason = 'removed' or path in (select path from np) group by path""")
+def update_scope(spark, d):
+    files, _, changes, every, edges = _changed(spark, d)
+    old = files.where("file % 29 <> 3").selectExpr("path", "'a' as hash")
+    new = files.where("file % 31 <> 4").selectExpr("path", "case when file % 13 = 5 then 'b' else 'a' end as hash")
+    cards = files.join(table(spark, d, "supplier").selectExpr("s_suppkey as file", "s_nationkey as module"), "file").select("path", "module")
+    return I.update_scope(old, new, changes, every, edges, cards, spark.createDataFrame([(5,)], "module int"), _citing(spark, d, files), files.where("file % 41 = 7"))
+
+
+def _citing(spark, d, files):
+    n = table(spark, d, "supplier").count()
+    s = table(spark, d, "supplier").where("s_suppkey % 6 = 0").select("s_nationkey", ((F.col("s_suppkey") * 7) % n + 1).alias("file"))
+    return s.join(files, "file").select(F.col("s_nationkey").alias("page"), F.concat(F.lit("see "), "path", F.lit(":3")).alias("text"))

@@ -107,3 +107,69 @@ def update_recall(spark, d):
 def verdict_scores(spark, d):
     said = F.expr("case when event_type = 'click' then 'no verdict' else 'so: {\"score\": ' || round(value, 2) || '} ok' end")
     return table(spark, d, "events").select("event_id", M.verdict_score(said).alias("score"))
+
+
+@query("verdict_states", "select event_id, case event_type when 'click' then 'unparseable' when 'view' then 'uncertain' else 'judged' end as state from events")
+def verdict_states(spark, d):
+    said = F.expr("case event_type when 'click' then 'no verdict' when 'view' then '{\"uncertain\": true}' else 'so: {\"score\": ' || round(value, 2) || '} ok' end")
+    return table(spark, d, "events").select("event_id", M.verdict_state(said).alias("state"))
+
+
+@query("judged_mean", """with v as (select user_id as page, event_id as attempt, case event_type when 'click' then 'unparseable' when 'view' then 'uncertain' else 'judged' end as state, case when event_type not in ('click', 'view') then greatest(0.0, least(10.0, round(value, 2))) end as score from events),
+f as (select page, arg_min(state, (state = 'uncertain', attempt)) as state, arg_min(struct_pack(s := score), (state = 'uncertain', attempt)) as x from v group by page)
+select count(*) as pages, count(*) filter (state = 'judged') as judged, count(*) filter (state = 'uncertain') as uncertain, round(avg(x.s), 6) as mean from f""")
+def judged_mean(spark, d):
+    said = F.expr("case event_type when 'click' then 'no verdict' when 'view' then '{\"uncertain\": true}' else 'so: {\"score\": ' || round(value, 2) || '} ok' end")
+    return M.judged_mean(table(spark, d, "events").select(F.col("user_id").alias("page"), F.col("event_id").alias("attempt"), said.alias("text")))
+
+
+_TWO = "[(event_id % 11)::double, (event_id % 7)::double, (user_id % 9)::double, (event_id % 5)::double, (user_id % 6)::double] as a, [(user_id % 11)::double, (event_id % 8)::double, (event_id % 6)::double, (user_id % 5)::double, (event_id % 9)::double] as b"
+
+
+def _scored(spark, d):
+    names = "array('clarity', 'readability', 'conciseness', 'richness', 'structure')"
+    one = lambda xs: "'{' || array_join(zip_with(" + names + ", array(" + ", ".join(xs) + "), (n, x) -> '\"' || n || '\": ' || x), ', ') || '}'"
+    a = one(["event_id % 11 + 0.0", "event_id % 7 + 0.0", "user_id % 9 + 0.0", "event_id % 5 + 0.0", "user_id % 6 + 0.0"])
+    b = one(["user_id % 11 + 0.0", "event_id % 8 + 0.0", "event_id % 6 + 0.0", "user_id % 5 + 0.0", "event_id % 9 + 0.0"])
+    text = f"case when event_id % 10 = 3 then 'A is better' when event_id % 10 = 4 then '{{\"A\": {{\"clarity\": 3}}}}' else 'scores: {{\"A\": ' || {a} || ', \"B\": ' || {b} || '}}' end"
+    return table(spark, d, "events").select("event_id", "user_id", "event_type", M.score_pairs(F.expr(text)).alias("x"))
+
+
+@query("score_pairs", f"with s as (select event_id, {_TWO} from events) select event_id, case when event_id % 10 in (3, 4) then null else sign(list_sum(a) - list_sum(b))::int end as judgment, case when event_id % 10 in (3, 4) then null else list_sum(a) end as total from s")
+def score_pairs(spark, d):
+    x = _scored(spark, d)
+    return x.select("event_id", M.judgment(F.col("x.a"), F.col("x.b")).alias("judgment"), F.aggregate("x.a", F.lit(0.0), lambda s, v: s + v).alias("total"))
+
+
+@query("quality_report", f"""with s as (select event_type as module, event_id % 2 = 0 as a_first, {_TWO} from events where event_id % 10 not in (3, 4)), o as (select module, case when a_first then a else b end as old, (list_sum(a) = list_sum(b))::int as tie from s),
+m as (select module, avg(old[1]) as m0, avg(old[2]) as m1, avg(old[3]) as m2, avg(old[4]) as m3, avg(old[5]) as m4, avg(tie) as tie, (stddev_pop(old[1]) + stddev_pop(old[2]) + stddev_pop(old[3]) + stddev_pop(old[4]) + stddev_pop(old[5])) / 5 as std from o group by module)
+select count(*) as modules, round(avg(m0), 6) as mean_0, round(avg(m1), 6) as mean_1, round(avg(m2), 6) as mean_2, round(avg(m3), 6) as mean_3, round(avg(m4), 6) as mean_4, round(avg((m0 + m1 + m2 + m3 + m4) / 5), 6) as total, round(avg(tie), 6) as ties, round(avg(std), 6) as std from m""")
+def quality_report(spark, d):
+    x = _scored(spark, d).where("x is not null").select(F.col("event_type").alias("module"), F.col("event_id").alias("round"), (F.col("event_id") % 2 == 0).alias("a_first"), "x.a", "x.b")
+    return M.quality_report(x)
+
+
+@query("leaf_verdicts", """with v as (select user_id as leaf, case event_type when 'click' then true when 'view' then false end as vote from events), x as (select leaf, count(*) filter (vote) as t, count(*) filter (not vote) as f from v group by leaf)
+select leaf, case when t > f then true when f > t then false end as verdict, t <> f as resolved from x""")
+def leaf_verdicts(spark, d):
+    return M.leaf_verdicts(table(spark, d, "events").select(F.col("user_id").alias("leaf"), F.when(F.col("event_type") == "click", True).when(F.col("event_type") == "view", False).alias("vote")))
+
+
+@query("rubric_leaves", """with n as (select c_nationkey as tree, c_custkey, row_number() over (partition by c_nationkey order by c_custkey) as i, c_custkey % 3 as kids from customer),
+x as (select *, 1 + coalesce(sum(1 + kids) over (partition by tree order by i rows between unbounded preceding and 1 preceding), 0) as pre from n),
+l as (select tree, pre::bigint as node from x where kids = 0 union all select tree, (pre + k)::bigint from x, (select unnest([1, 2]) as k) where k <= kids)
+select tree, node, row_number() over (partition by tree order by node) as place from l""")
+def rubric_leaves(spark, d):
+    """A rubric for each nation, as a judge writes it: one requirement, its customers below it, up to two below each of these."""
+    kid = "case c_custkey % 3 when 0 then '' when 1 then '{\"requirement\": \"k1\"}' else '{\"requirement\": \"k1\"}, {\"requirement\": \"k2\", \"weight\": 2}' end"
+    one = f"'{{\"requirement\": \"c\", \"weight\": 3, \"sub_tasks\": [' || {kid} || ']}}'"
+    c = table(spark, d, "customer").selectExpr("c_nationkey as tree", "c_custkey", f"{one} as t").groupBy("tree").agg(F.sort_array(F.collect_list(F.struct("c_custkey", "t"))).alias("x"))
+    text = F.concat(F.lit("```json\n{\"rubrics\": [{\"requirement\": \"root\", \"sub_tasks\": ["), F.array_join(F.transform("x", lambda r: r["t"]), ","), F.lit("]}]}\n```"))
+    return M.leaves(M.rubric_nodes(c.select("tree", text.alias("text"))))
+
+
+@query("gamma_sweep", """with m as (select r_regionkey as gamma, p_partkey % (10 * (r_regionkey + 1)) as community, p_brand as domain from part, region where p_partkey < 500 and p_partkey % 7 > r_regionkey), c as (select gamma, community, count(*) as n, count(distinct domain) as d from m group by all)
+select gamma, count(*) as communities, count(*) filter (n = 1) as singletons, max(n) as largest, round(avg(n), 6) as mean, count(*) filter (d > 1) as mixed from c group by gamma""")
+def gamma_sweep(spark, d):
+    x = table(spark, d, "part").where("p_partkey < 500").crossJoin(F.broadcast(table(spark, d, "region"))).where("p_partkey % 7 > r_regionkey")  # five regions
+    return M.sweep(x.selectExpr("r_regionkey as gamma", "p_partkey % (10 * (r_regionkey + 1)) as community", "p_brand as domain"))

@@ -60,3 +60,135 @@ def link_rewrite(spark, d):
 @query("rolling_hash", "select n_nationkey, list_reduce(list_prepend(0::bigint, [ascii(c)::bigint for c in string_split(n_name, '')]), lambda h, x: (h * 31 + x) % 4294967296) as h from nation")
 def rolling_hash(spark, d):
     return table(spark, d, "nation").select("n_nationkey", T.rolling_hash(F.col("n_name")).alias("h"))
+
+
+@query("wiki_pages", """with r as (select n_regionkey as k, string_agg('- [`' || n_name || '`](wiki/' || n_nationkey || '.md) — ' || case n_nationkey % 4 when 0 then 'depends on' when 1 then 'used by' when 2 then 'related' else 'odd' end || chr(10), '' order by n_nationkey) as refs from nation where n_regionkey > 1 group by 1)
+select r_name as title, '# ' || r_name || chr(10) || chr(10) || '> Last updated: day' || chr(10) || chr(10) || case when r_regionkey % 2 = 0 then '> Based on commit: c' || r_regionkey || chr(10) || chr(10) else '' end || 'body' || coalesce(chr(10) || chr(10) || '## References' || chr(10) || chr(10) || refs, '') as body from region left join r on r_regionkey = k""")
+def wiki_pages(spark, d):
+    g, n = table(spark, d, "region"), table(spark, d, "nation")
+    docs = g.selectExpr("r_name as title", "'day' as updated", "case when r_regionkey % 2 = 0 then 'c' || r_regionkey end as commit", "'body' as content")
+    refs = n.where("n_regionkey > 1").join(g, F.col("n_regionkey") == F.col("r_regionkey")).selectExpr("r_name as title", "n_nationkey as pos", "n_name as target", "'wiki/' || n_nationkey || '.md' as path", "element_at(array('depends_on', 'used_by', 'related', 'odd'), n_nationkey % 4 + 1) as relation")
+    return R.wiki_pages(docs, refs)
+
+
+@query("knowledge_cards", r"""with k as (select n_name as module, case n_nationkey % 3 when 0 then 'module' when 1 then 'spec' else 'tech-stack' end as kind, n_nationkey as i, n_regionkey as g from nation)
+select module, '---' || chr(10) || 'module_name: ' || module || chr(10) || 'module_type: lib' || chr(10) || 'card_kind: ' || kind || chr(10) || case when g > 2 then 'dependencies: [a, b' || g || ']' || chr(10) else '' end || case when kind <> 'module' then 'tech_stack: [k' || i || ']' || chr(10) else '' end || '---' || chr(10)
+ || '# ' || module || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10) || 'about' || chr(10) || chr(10)
+ || case when kind = 'module' then '## Key entities' || chr(10) || chr(10) || '- e' || i || ' fn (pub)' || case when i % 2 = 0 then ' — f.rs:' || i else '' end || ' — doc' || chr(10) || chr(10) else '## Entries' || chr(10) || chr(10) || '- k' || i || chr(10) || chr(10) end
+ || '## Related files' || chr(10) || chr(10) || '- `f' || i || '.rs`' || chr(10) || chr(10) || case when i % 5 = 0 then '## Manual edits to take over' || chr(10) || chr(10) || '- note' || chr(10) || chr(10) else '' end as body from k""")
+def knowledge_cards(spark, d):
+    e = "array(named_struct('name', 'e' || n_nationkey, 'kind', 'fn', 'visibility', 'pub', 'source', case when n_nationkey % 2 = 0 then 'f.rs:' || n_nationkey end, 'doc', 'doc')) as entities"
+    none = "cast(array() as array<string>)"
+    return R.cards(table(spark, d, "nation").selectExpr("n_name as module", "'lib' as type", "element_at(array('module', 'spec', 'tech-stack'), n_nationkey % 3 + 1) as kind", f"case when n_regionkey > 2 then array('a', 'b' || n_regionkey) else {none} end as dependencies", f"{none} as dependents", f"{none} as patterns",
+                                                        f"case when n_nationkey % 3 <> 0 then array('k' || n_nationkey) else {none} end as stack", "array('f' || n_nationkey || '.rs') as files", f"case when n_nationkey % 5 = 0 then array('note') else {none} end as notes", "'about' as summary", e))
+
+
+@query("agent_index", """with l as (select unnest(['de', 'en']) as lang), p as (select 'src::' || n_name as title from nation)
+select 1 as part, lang || '/' || title as place, '- [' || title || '](wiki/' || lang || '/' || replace(title, '::', '_') || '.md)' as line from p, l
+union all select 2, lang || '/' || name, '- [' || name || '](wiki/' || lang || '/' || name || '.md)' from l, (select unnest(['api', 'overview', 'architecture', 'index']) as name)
+union all select 3, 'm::' || r_name, '- [m::' || r_name || '](cards/de/' || case when r_regionkey < 3 then 'm_' || r_name || '.md' else 'project/spec.md' end || ')' from region""")
+def agent_index(spark, d):
+    return R.agent_index(table(spark, d, "nation").selectExpr("'src::' || n_name as title"), table(spark, d, "region").selectExpr("'m::' || r_name as module", "case when r_regionkey < 3 then 'module' else 'spec' end as kind"), ["de", "en"])
+
+
+_ENTRIES = """en as (select p_brand as module, p_name || p_partkey as name, case when p_size % 3 = 0 then 'constant' else 'fn' end as kind, 'pub' as visibility, case when p_size % 4 > 0 then 'f.rs:' || p_partkey end as source, case when p_size % 5 = 0 then p_type end as doc from part),
+cd as (select distinct p_brand as module, p_brand || ' does' || chr(10) || 'more' as summary from part),
+lv as (select module, 0 as level, string_agg('- ' || name || ' ' || kind || ' (pub)' || coalesce(' — at ' || source, '') || coalesce(' — ' || doc, '') || chr(10), '' order by name, coalesce(source, '')) as t from en group by module
+ union all select module, 1, string_agg('- ' || name || ' ' || kind || ' (pub)' || coalesce(' — at ' || source, '') || coalesce(' — ' || doc, '') || chr(10), '' order by name, coalesce(source, '')) from en where kind <> 'constant' group by module
+ union all select module, 2, string_agg('- ' || name || ' ' || kind || ' (pub)' || coalesce(' — at ' || source, '') || coalesce(' — ' || doc, '') || chr(10), '' order by name, coalesce(source, '')) from en where kind <> 'constant' and source is not null group by module
+ union all select module, 3, string_agg('- ' || name || ' ' || kind || chr(10), '' order by name, coalesce(source, '')) from en where kind <> 'constant' and source is not null group by module),
+se as (select cd.module, n.level, '## ' || cd.module || chr(10) || chr(10) || cd.module || ' does' || chr(10) || chr(10) || coalesce(t, '') as text from cd, (select unnest([0, 1, 2, 3]) as level) n left join lv on lv.module = cd.module and lv.level = n.level)"""
+
+
+def _sections(spark, d):
+    e = table(spark, d, "part").selectExpr("p_brand as module", "p_name || p_partkey as name", "case when p_size % 3 = 0 then 'constant' else 'fn' end as kind", "'pub' as visibility", "case when p_size % 4 > 0 then 'f.rs:' || p_partkey end as source", "case when p_size % 5 = 0 then p_type end as doc")
+    return R.module_sections(e.select("module").distinct().withColumn("summary", F.concat("module", F.lit(" does\nmore"))), e)
+
+
+@query("module_sections", f"with {_ENTRIES} select module, level, md5(text) as text from se")
+def module_sections(spark, d):
+    return _sections(spark, d).withColumn("text", F.md5("text"))
+
+
+def _fitting(share):
+    """Which sections stay within a share of the shortest level's tokens, the longest first."""
+    return f"""with recursive {_ENTRIES}, z as (select (sum(length(text)) // 4 * {share})::bigint as budget from se where level = 3), s as (select level, sum(length(text)) // 4 as tokens from se group by level), c as (select min(level) filter (tokens + 10 <= budget) as chosen from s, z),
+o as (select module, length(text) // 4 as tokens, row_number() over (order by strlen(text) desc, module) as i from se where level = 3),
+g(i, remaining, module, kept) as (select 0::bigint, greatest(0, budget - 10)::bigint, '', false from z union all select o.i, case when o.tokens <= g.remaining then g.remaining - o.tokens else g.remaining end, o.module, o.tokens <= g.remaining from g join o on o.i = g.i + 1)
+select se.module, case when chosen is not null or kept then level else 4 end as level, case when chosen is not null or kept then md5(text) end as text from se, c, g where g.module = se.module and level = coalesce(chosen, 3)"""
+
+
+def _budget(spark, d, share):
+    s = _sections(spark, d)
+    whole = s.where("level = 3").agg(F.floor(F.sum(F.length("text")) / 4)).first()[0]
+    return R.full_index(s, int(whole * share), 10).withColumn("text", F.md5("text"))
+
+
+@query("full_index", _fitting(0.5))
+def full_index(spark, d):
+    return _budget(spark, d, 0.5)
+
+
+@query("full_index_by_level", _fitting(1.5))
+def full_index_by_level(spark, d):
+    return _budget(spark, d, 1.5)
+
+
+@query("dependency_diagram", f"""with {MEMBERS}, {CALLS}, e as (select a.module as a, b.module as b, min(substring(src, 2)::bigint * 100000 + substring(dst, 2)::bigint) as id from calls join members a on a.node = src join members b on b.node = dst where a.module <> b.module group by all),
+m as (select a as module from e union select b from e)
+select 1 as part, module as place, '    ' || replace(module, ' ', '_') || '["' || module || '"]' as line from m union all select 2, lpad(id::varchar, 20, '0'), '    ' || replace(a, ' ', '_') || ' --> ' || replace(b, ' ', '_') from e
+union all select 3, module, '    style ' || replace(module, ' ', '_') || ' fill:#ffcccc,stroke:#ff0000' from m join nation on n_name = module where n_nationkey % 4 = 0""")
+def dependency_diagram(spark, d):
+    e = G._ends(calls(spark, d).withColumn("id", F.expr("cast(substring(src, 2) as long) * 100000 + cast(substring(dst, 2) as long)")), nations(spark, d))
+    return R.dependency_diagram(e.select("id", "a", "b"), table(spark, d, "nation").where("n_nationkey % 4 = 0").select(F.col("n_name").alias("module")))
+
+
+@query("sections_under_budget", """with l as (select doc_id as page, generate_subscripts(string_split(text, chr(10)), 1) as pos, unnest(string_split(text, chr(10))) as text from documents),
+c as (select *, sum(ceil(length(text)::double / 3)) over w as cost, row_number() over w as n from l where text <> '' window w as (partition by page order by pos rows unbounded preceding)) select page, md5(string_agg(text, '' order by pos)) as text from c where cost <= 250 or n = 1 group by page""")
+def sections_under_budget(spark, d):
+    x = table(spark, d, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
+    return R.join_under_budget(x, "page", 250).withColumn("text", F.md5("text"))
+
+
+_GUIDE = "'see [src::' || n_name || '](wiki/en/x_y.md), [ made::up ](wiki/en/z.md) [a](b.md) [src::' || n_name || '](wiki/de/q.md) [open' || case when n_nationkey % 2 = 0 then ' ](' else '' end"
+
+
+@query("canonical_links", f"select n_nationkey as page, replace(replace({_GUIDE}, '[src::' || n_name || '](wiki/en/x_y.md)', case when n_nationkey % 3 = 0 then '[src::' || n_name || '](wiki/en/src_' || n_name || '.md)' else 'src::' || n_name end), '[ made::up ](wiki/en/z.md)', 'made::up') as text from nation")
+def canonical_links(spark, d):
+    n = table(spark, d, "nation")
+    return R.canonical_links(n.select(F.col("n_nationkey").alias("page"), F.expr(_GUIDE).alias("text")), n.where("n_nationkey % 3 = 0").selectExpr("'src::' || n_name as module"), "en")
+
+
+@query("stack_card", """with e as (select p_brand as category, 'k' || p_partkey as name, case when p_size % 2 = 0 then '' else '1.' || p_size end as version, 'm' || p_size % 4 as manifest from part where p_partkey <= 300)
+select '' as place, count(*) || ' dependencies in ' || count(distinct manifest) || ' manifests' as line from e having count(*) > 0 union all select category || '/' || name, name || case when version = '' then '' else '@' || version end || ' (' || category || ', ' || manifest || ')' from e""")
+def stack_card(spark, d):
+    return R.stack_card(table(spark, d, "part").where("p_partkey <= 300").selectExpr("p_brand as category", "'k' || p_partkey as name", "case when p_size % 2 = 0 then '' else '1.' || p_size end as version", "'m' || p_size % 4 as manifest"))
+
+
+@query("parsed_cards", "select case when s_suppkey % 3 = 0 then s_name else 'm' || s_suppkey end as module, case when s_suppkey % 3 = 0 then 'lib' else 'module' end as type, case when s_suppkey % 3 = 2 then '' else 'about' end as summary, case when s_suppkey % 3 = 1 then 2 else 0 end as dependencies, case when s_suppkey % 3 = 0 then 'e' || s_nationkey || '/' end as entities from supplier")
+def parsed_cards(spark, d):
+    t = """case s_suppkey % 3 when 0 then 'here: {"module_name": "' || s_name || '", "module_type": "lib", "summary": "about", "key_entities": [{"name": "e' || s_nationkey || '"}]} done' when 1 then '{"summary": "about", "dependencies": ["a", "b"]}' else 'nothing' end"""
+    x = R.parsed_cards(table(spark, d, "supplier").select(F.expr("'m' || s_suppkey").alias("module"), F.expr(t).alias("text")))
+    return x.select("module", "type", "summary", F.size("dependencies").alias("dependencies"), F.when(F.size("entities") > 0, F.concat(F.col("entities")[0]["name"], F.lit("/"), F.col("entities")[0]["kind"])).alias("entities"))
+
+
+@query("entity_sources", """with c as (select p_brand as module, 'e' || p_size as name, min(('f' || p_partkey % 3, p_partkey, p_partkey + 2)) as spot from part where p_size > 3 group by all)
+select e.module, e.name, coalesce(source, spot[1] || ':' || spot[2] || '-' || spot[3]) as source from (select distinct p_brand as module, 'e' || p_size as name, case when p_size % 7 = 0 then 'known' end as source from part) e left join c on e.module = c.module and e.name = c.name""")
+def entity_sources(spark, d):
+    p = table(spark, d, "part")
+    e = p.selectExpr("p_brand as module", "'e' || p_size as name", "case when p_size % 7 = 0 then 'known' end as source").distinct()
+    return R.entity_sources(e, p.where("p_size > 3").selectExpr("p_brand as module", "'e' || p_size as name", "'f' || p_partkey % 3 as path", "p_partkey as line_start", "p_partkey + 2 as line_end"))
+
+
+@query("files_to_write", "select 'd' || doc_id as path, md5(text) as content from documents where doc_id not in (select doc_id from labels where quality = 1)")
+def files_to_write(spark, d):
+    x = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("path"), F.md5("text").alias("content"))
+    return R.without_protected(x, table(spark, d, "labels").where("quality = 1").select(F.concat(F.lit("d"), "doc_id").alias("path")))
+
+
+@query("forced_orphans", """with t as (select 'wiki/' || case when doc_id % 50 = 0 then 'index' else 'd' || doc_id end || '.md' as path, case when doc_id % 50 = 0 then 'index' else 'd' || doc_id end as stem, lang as module, case when doc_id % 3 = 0 then 'made by hand' else text || ' made by tool' end as content, doc_id from documents)
+select path from t where contains(content, 'made by tool') and stem <> 'index' and 'd' || doc_id not in (select 'd' || doc_id from labels) and module <> 'fr'""")
+def forced_orphans(spark, d):
+    stem = "case when doc_id % 50 = 0 then 'index' else 'd' || doc_id end"
+    t = table(spark, d, "documents").selectExpr(f"'wiki/' || {stem} || '.md' as path", f"{stem} as stem", "lang as module", "case when doc_id % 3 = 0 then 'made by hand' else text || ' made by tool' end as content")
+    return R.forced_orphans(t, table(spark, d, "labels").selectExpr("'wiki/d' || doc_id || '.md' as path"), spark.createDataFrame([("fr",)], "module string"), "made by tool")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
@@ -35,7 +36,7 @@ def _items(spark, d):
 
 @query("bm25_topk", f"with {_DOCS}, {_BM25} select * from text_hits")
 def bm25_topk(spark, d):
-    return R.bm25(R.postings(table(spark, d, "documents"), "doc_id", {"text": 1}), _items(spark, d))
+    return R.text_search(table(spark, d, "documents"), "doc_id", {"text": 1}, _items(spark, d))
 
 
 @query("bm25_field_weighted", f"""with t as (select p_partkey as node, regexp_extract_all(lower(p_name), '[a-z0-9]+') as a, regexp_extract_all(lower(p_type), '[a-z0-9]+') as b, regexp_extract_all(lower(p_brand), '[a-z0-9]+') as c from part),
@@ -44,7 +45,7 @@ p as (select x.node, len(a) + len(b) + len(c) as length, term, sum(w)::double as
 q as (select distinct n_nationkey as query, unnest(['steel', 'brand', 'part', n_nationkey::varchar]) as term from nation), {_BM25} select * from text_hits""")
 def bm25_field_weighted(spark, d):
     q = table(spark, d, "nation").select(F.col("n_nationkey").alias("query"), F.explode(F.array(F.lit("steel"), F.lit("brand"), F.lit("part"), F.col("n_nationkey").cast("string"))).alias("term"))
-    return R.bm25(R.postings(table(spark, d, "part"), "p_partkey", {"p_name": 5, "p_type": 3, "p_brand": 1}), q)
+    return R.text_search(table(spark, d, "part"), "p_partkey", {"p_name": 5, "p_type": 3, "p_brand": 1}, q)
 
 
 _NEAR = """v as (select vec_id as node, [x::double for x in embedding] as v from embeddings), k as (select node as query, v as q from v where node % 20 = 0),
@@ -72,7 +73,7 @@ _FUSE = "f as (select query, node, round(sum(20.0::double / (20 + rank - 1)), 6)
 
 @query("rrf_fusion", f"with {_DOCS}, {_BM25}, {_NEAR}, {_FUSE} select * from fused")
 def rrf_fusion(spark, d):
-    return R.fuse([R.bm25(R.postings(table(spark, d, "documents"), "doc_id", {"text": 1}), _items(spark, d)), _near(spark, d)])
+    return R.fuse([R.text_search(table(spark, d, "documents"), "doc_id", {"text": 1}, _items(spark, d)), _near(spark, d)])
 
 
 @query("hybrid_search", f"with {_DOCS}, {_BM25}, {_NEAR}, {_FUSE} select query, node, score, fused.rank, source, lang from fused left join documents on doc_id = node")
@@ -94,7 +95,7 @@ def call_chain_enrichment(spark, d):
 @query("symbol_lookup", "select p_brand as file, min(p_partkey) as line, arg_min(p_type, p_partkey) as kind from part where p_size = 7 group by p_brand")
 def symbol_lookup(spark, d):
     e = table(spark, d, "part").select(F.col("p_brand").alias("file"), F.concat(F.lit("s"), "p_size").alias("name"), F.col("p_type").alias("kind"), F.col("p_partkey").alias("line"))
-    return R.symbol(e, "s7", [r[0] for r in e.select("kind").distinct().collect()])
+    return R.symbol(e, "s7")
 
 
 @query("definition_names", "select distinct p_name as name from part")
@@ -102,11 +103,12 @@ def definition_names(spark, d):
     return table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
 
 
-@query("page_keyword_retrieval", """with q as (select distinct item_id as query, w as keyword from (select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from benchmark) where length(w) >= 8),
-h as (select query, doc_id as page, sum((length(lower(text)) - length(replace(lower(text), keyword, ''))) // length(keyword))::bigint as hits, any_value(left(text, 3000)) as snippet from documents, q where contains(lower(text), keyword) group by all)
-select * from (select query, page, hits, row_number() over (partition by query order by hits desc, page) as rank, md5(snippet) as snippet from h) where rank <= 10""")
+@query("page_keyword_retrieval", """with q as (select item_id as query, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) as keyword from benchmark), k as (select distinct keyword from q),
+c as (select doc_id as page, keyword, ((length(text) - length(replace(text, keyword, ''))) // length(keyword))::bigint as n from documents, k where contains(text, keyword)),
+h as (select query, page, sum(n)::bigint as hits from c join q using (keyword) group by all)
+select query, page, hits, rank, md5(left(text, 3000)) as snippet from (select query, page, hits, row_number() over (partition by query order by hits desc, page) as rank from h) join documents on doc_id = page where rank <= 10""")
 def page_keyword_retrieval(spark, d):
-    q = _items(spark, d).where("length(term) >= 8").select("query", F.col("term").alias("keyword")).distinct()
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(T.tokens(F.col("text"))).alias("keyword"))
     return R.page_hits(table(spark, d, "documents").select(F.col("doc_id").alias("page"), "text"), q).withColumn("snippet", F.md5("snippet"))
 
 
@@ -132,9 +134,62 @@ def embedding_text(spark, d):
     return table(spark, d, "part").select("p_partkey", R.embedding_text(F.lit("fn"), F.col("p_name"), F.col("p_brand"), sig, F.col("p_name"), F.col("p_type")).alias("template"))
 
 
-@query("cosine_pairs", """with v as (select vec_id, label, [x::double for x in embedding] as v from embeddings)
-select a.vec_id as a, b.vec_id as b, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) as score from v a join v b on a.label = b.label and a.vec_id < b.vec_id""")
+@query("cosine_pairs", """with v as (select vec_id, label, [x::double for x in embedding] as v from embeddings), w as (select *, lag(vec_id) over (partition by label order by vec_id) as b from v)
+select w.vec_id as a, w.b, round(list_dot_product(w.v, v.v) / (sqrt(list_dot_product(w.v, w.v)) * sqrt(list_dot_product(v.v, v.v))), 6) as score from w join v on w.b = v.vec_id""")
 def cosine_pairs(spark, d):
+    """Each vector and the one before it of the same label."""
     v = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    a, b = v.alias("a"), v.alias("b")
-    return a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id"))).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.round(R.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("score"))
+    w = v.withColumn("before", F.lag(F.struct("vec_id", "embedding")).over(Window.partitionBy("label").orderBy("vec_id"))).where("before is not null")
+    return w.select(F.col("vec_id").alias("a"), F.col("before.vec_id").alias("b"), F.round(R.cosine(F.col("embedding"), F.col("before.embedding")), 6).alias("score"))
+
+
+_DEFS = """ent as (select 'f' || p_partkey % 40 || '.rs' as path, p_partkey as pos, p_name as name, p_type as kind, p_brand as signature, p_partkey // 3 as line_start, p_partkey // 3 + p_size // 5 as line_end from part),
+fs as (select 'f' || s_suppkey || '.rs' as path, s_suppkey % 90 as lines from supplier union select 'f' || r_regionkey || '.txt', r_regionkey from region),
+r as (select *, max(line_end) over (partition by path order by line_start, line_end desc, pos rows between unbounded preceding and 1 preceding) as reach from ent),
+t as (select path, name, kind, signature, line_start as ba, line_end as bb from r where reach is null or reach < line_start),
+b as (select path || '#' || ba || '-' || bb as block, * from t union all select path || '#1-' || greatest(1, lines), path, path, 'file', '', 1, greatest(1, lines)::int from fs where path not in (select path from t))"""
+
+
+def _definitions(spark, d):
+    e = table(spark, d, "part").selectExpr("'f' || p_partkey % 40 || '.rs' as path", "p_partkey as pos", "p_name as name", "p_type as kind", "p_brand as signature", "cast(p_partkey div 3 as int) as line_start", "cast(p_partkey div 3 + p_size div 5 as int) as line_end")
+    f = table(spark, d, "supplier").selectExpr("'f' || s_suppkey || '.rs' as path", "s_suppkey % 90 as lines").union(table(spark, d, "region").selectExpr("'f' || r_regionkey || '.txt'", "r_regionkey"))
+    return f, e
+
+
+@query("top_blocks", f"with {_DEFS} select * from b")
+def top_blocks(spark, d):
+    return R.top_blocks(*_definitions(spark, d))
+
+
+@query("index_items", f"""with {_DEFS}, i as (select e.pos as node, arg_min(block, (bb - ba, block)) as block from ent e join b on e.path = b.path and ba <= line_start and bb >= line_end where e.pos % 5 <> 0 group by e.pos),
+n as (select pos + case when pos % 5 = 0 then 1000000 else 0 end as node, case when pos % 5 = 0 then 'gone.rs' else path end as path, line_start as a, line_end as b_ from ent),
+p as (select coalesce(i.block, n.path || '#' || n.a || '-' || n.b_) as block, n.node, coalesce(n.a = ba, true) as starts from n left join i using (node) left join b on b.block = i.block)
+select block, arg_min(node, (not starts, node)) as node from p group by block""")
+def index_items(spark, d):
+    f, e = _definitions(spark, d)
+    n = e.selectExpr("pos + case when pos % 5 = 0 then 1000000 else 0 end as node", "case when pos % 5 = 0 then 'gone.rs' else path end as path", "line_start as a", "line_end as b")
+    return R.index_items(n, R.top_blocks(f, e))
+
+
+@query("block_headers", r"""with x as (select p_partkey, case p_size % 4 when 0 then 'pub fn ' || p_name || ' {' || chr(10) || 'a }' when 1 then 'export class ' || p_name when 2 then 'fn x()' || chr(10) || 'public y' else 'public int ' || p_name || ' { }' end as t, p_size, p_name from part)
+select p_partkey, case p_size % 4 when 0 then 'pub fn ' || p_name when 1 then 'export class ' || p_name when 2 then 'fn x()' else 'public int ' || p_name end as header, case p_size % 4 when 0 then 'pub' when 1 then 'export' when 3 then 'public' end as visibility from x""")
+def block_headers(spark, d):
+    t = F.expr("case p_size % 4 when 0 then 'pub fn ' || p_name || ' {' || chr(10) || 'a }' when 1 then 'export class ' || p_name when 2 then 'fn x()' || chr(10) || 'public y' else 'public int ' || p_name || ' { }' end")
+    return table(spark, d, "part").select("p_partkey", R.header(t).alias("header"), R.header_visibility(t).alias("visibility"))
+
+
+@query("semantic_search", f"""with {_NEAR}, x as (select query, node, distance, 'b' || node // 4 as block from near), y as (select *, row_number() over (partition by query, block order by distance, node) as r from x)
+select query, block, node, round(1 - distance, 6) + 0.0 as score, row_number() over (partition by query order by distance, node) as rank from y where r = 1""")
+def semantic_search(spark, d):
+    return R.nearest_blocks(_near(spark, d), table(spark, d, "embeddings").selectExpr("vec_id as node", "'b' || vec_id div 4 as block"))
+
+
+@query("embedding_batches")
+def embedding_batches(spark, d):
+    """Vectors of an embedder without a model have no SQL; tests hold them against one call a text."""
+    return R.embed(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), R.hashed_vector, 64).select("id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+
+
+@query("tagged_hits", f"with {_DOCS}, {_BM25}, {_NEAR} select query, node, rank, 'text' as source from text_hits union all select query, node, rank, 'semantic' from near")
+def tagged_hits(spark, d):
+    return R.tagged(bm25_topk(spark, d).select("query", "node", "rank"), "text").union(R.tagged(_near(spark, d).select("query", "node", "rank"), "semantic"))

@@ -6,13 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.sources.output import Folder
 
-# Limits, extensions and directory names that scans go by.
+# Limits, extensions and directory names that scans go by. Noise is left out at any depth, root noise only right below the root.
 MOST_FILES, MOST_BYTES = 100_000, 5 * 1024 * 1024
-BINARY = ("png", "jpg", "jpeg", "gif", "ico", "pdf", "zip", "gz", "tar", "exe", "dll", "so", "dylib", "wasm", "woff", "woff2", "ttf", "class", "jar", "o", "a", "bin")
+BINARY = (
+    "exe", "dll", "bin", "png", "jpg", "jpeg", "gif", "ico", "svg", "pdf", "ttf", "woff", "woff2", "eot", "zip", "tar",
+    "gz", "7z", "rar", "mp3", "mp4", "avi", "mov", "wasm", "o", "obj", "lib", "a", "so", "dylib", "pyc", "class",
+)
 LANGUAGES = {"rs": "rust", "py": "python", "go": "go", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "cs": "csharp"}
-NOISE = ("target", "node_modules", ".git", ".hg", ".svn", "__pycache__", ".venv", "venv", "dist", ".idea", ".vscode", ".cache", ".tox", ".mypy_cache", ".pytest_cache", ".gradle", ".next", ".nuxt")
-ROOT_NOISE = ("build", "out", "bin", "obj", "vendor", "coverage", "tmp", "logs")
+NOISE = (
+    "node_modules", ".venv", "venv", "vendor", "Pods", "Library", "target", ".next", ".nuxt", ".output",
+    "coverage", ".cache", "__pycache__", ".pytest_cache", ".mypy_cache", "bower_components", "fixtures", ".git",
+)
+ROOT_NOISE = ("dist", "build", "out", "bin", "obj", "Packages", "Temp", "Logs")
 
 
 def language(path: Column) -> Column:
@@ -56,20 +63,89 @@ def in_scope(path: Column, include: list[str], exclude: list[str]) -> Column:
     return ok & ~path.rlike("|".join(map(glob_regex, exclude))) if exclude else ok
 
 
-def scan(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = (), ignored: list[str] = ()) -> DataFrame:
-    """(path, language, length, source, sha256) of the supported source files below a root; oversized ones are left out, too many are an error."""
+def _listing(spark: SparkSession, root: str, include: list[str], exclude: list[str]) -> DataFrame:
+    """(path, language, length, content) of source files below a root, of any size; paths are relative."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("://", 1)[-1]
     path = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", "^[a-z]+:(//)?", ""), "^/+", "/"), "^" + "".join("\\" + c if not c.isalnum() and c not in "/_-" else c for c in base) + "/*", "")
     files = raw.select(T.normal_path(path).alias("path"), "length", "content").withColumn("language", language(F.col("path")))
-    files = files.where(F.col("language").isNotNull() & ~is_binary(F.col("path")) & ~is_noise(F.col("path")) & in_scope(F.col("path"), list(include), [*exclude, *ignored]))
-    files = files.where(F.col("length") <= MOST_BYTES)
+    return files.where(F.col("language").isNotNull() & ~is_binary(F.col("path")) & ~is_noise(F.col("path")) & in_scope(F.col("path"), list(include), exclude))
+
+
+def ignored_patterns(spark: SparkSession, root: str) -> list[str]:
+    """The patterns of the root's .gitignore, comments, blanks and exceptions left out."""
+    lines = (Folder(spark, root).get(".gitignore") or "").splitlines()  # Spark's readers pass over names that begin with a dot
+    return [x.strip() for x in lines if x.strip() and x.strip()[0] not in "#!"]
+
+
+def scan(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = (), ignored: list[str] | None = None) -> DataFrame:
+    """(path, language, length, source, sha256) of the supported source files below a root; ignored paths, oversized files and those that are no text are left
+    out (skipped() has the latter), and too many files are an error."""
+    ignored = ignored_patterns(spark, root) if ignored is None else ignored
+    files = _listing(spark, root, include, [*exclude, *ignored]).where(F.col("length") <= MOST_BYTES)
     if (n := files.select("path").count()) > MOST_FILES:
         raise ValueError(f"{n} source files; at most {MOST_FILES} are read")
     source = F.expr("try_validate_utf8(content)")
     return files.select("path", "language", "length", source.alias("source"), F.sha2("content", 256).alias("sha256")).where("source is not null")
 
 
+def skipped(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = (), ignored: list[str] | None = None) -> DataFrame:
+    """(path, reason) of source files that a scan leaves out: oversized, or no UTF-8 text. They count as failed."""
+    ignored = ignored_patterns(spark, root) if ignored is None else ignored
+    files = _listing(spark, root, include, [*exclude, *ignored])
+    reason = F.when(F.col("length") > MOST_BYTES, "oversized").when(F.expr("try_validate_utf8(content)").isNull(), "no text")
+    return files.select("path", reason.alias("reason")).where("reason is not null")
+
+
+def sql_files(paths: DataFrame) -> DataFrame:
+    """(path) of SQL files, of any case, outside noise and directories that begin with a dot."""
+    dirs = F.slice(F.split("path", "/"), 1, F.greatest(F.lit(0), F.size(F.split("path", "/")) - 1))
+    return paths.where((F.lower(T.extension(F.col("path"))) == "sql") & ~is_noise(F.col("path")) & ~F.exists(dirs, lambda x: x.startswith("."))).select("path")
+
+
+# Files with a project's conventions; of two for one slot the later one counts.
+CONVENTIONS = (("AGENTS.md", 0), (".editorconfig", 1), ("rustfmt.toml", 2), (".rustfmt.toml", 2), ("clippy.toml", 3), ("CONTRIBUTING.md", 4), ("docs/glossary.md", 5))
+CONVENTION_BYTES = 32 * 1024
+
+
+def convention_files(files: DataFrame) -> DataFrame:
+    """(slot, path, text) of a project's convention files among files (path, text): the last of each slot that is not blank, up to CONVENTION_BYTES of whole characters."""
+    known = F.create_map(*[F.lit(x) for place, (name, slot) in enumerate(CONVENTIONS) for x in (name, slot * 100 + place)])
+    x = files.withColumn("at", F.try_element_at(known, F.col("path"))).where(F.col("at").isNotNull() & (F.trim("text") != ""))
+    x = x.withColumn("slot", F.floor(F.col("at") / 100)).groupBy("slot").agg(F.max_by(F.struct("path", "text"), "at").alias("x"))
+    cut = F.expr(f"left(x.text, {CONVENTION_BYTES})")  # a character has a byte at least
+    # lengths in bytes of the beginnings: the longest that fits
+    sizes = F.transform(F.split(cut, ""), lambda c: F.octet_length(c))
+    full = F.lit(CONVENTION_BYTES)
+    step = lambda s, b: F.when(s["b"] + b <= full, F.struct((s["n"] + 1).alias("n"), (s["b"] + b).alias("b"))).otherwise(F.struct(s["n"].alias("n"), (full + 1).alias("b")))
+    whole = F.expr("left(cut, fits)")
+    x = x.withColumn("cut", cut).withColumn("fits", F.aggregate(sizes, F.struct(F.lit(0).alias("n"), F.lit(0).alias("b")), step, lambda s: s["n"]))
+    return x.select("slot", F.col("x.path").alias("path"), F.when(F.octet_length("cut") <= CONVENTION_BYTES, F.col("cut")).otherwise(whole).alias("text"))
+
+
+def path_names(paths: DataFrame) -> DataFrame:
+    """(name): directory names and file stems of relative paths (path)."""
+    p = T.normal_path(F.col("path"))
+    s = F.split(p, "/")
+    return paths.select(F.explode(F.array_append(F.slice(s, 1, F.size(s) - 1), T.file_stem(p))).alias("name")).where("name <> ''").distinct()
+
+
+def lint_sources(entities: DataFrame, imports: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
+    """What checks of pages need of entities (path, name, line_start, line_end), imports (path, source) and files (path): ranges, names, path_names, name_files and import_heads."""
+    return {
+        "ranges": entities.select("path", F.col("line_start").alias("start"), F.col("line_end").alias("end")),
+        "names": entities.select("name").distinct(),
+        "path_names": path_names(files),
+        "name_files": entities.select("name", "path").distinct(),
+        "import_heads": files.select("path").join(imports.select("path", F.element_at(F.split("source", "::"), 1).alias("head")).distinct(), "path", "left"),
+    }
+
+
+def every_file(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length) of all files below a root, whatever they are; contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+
+
 def cached(files: DataFrame, cache: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(reused, to_parse): cache rows (path, sha256, …) of unchanged files, and the files to parse; a path in changed (path) is parsed whatever its hash."""
     same = cache.join(files.select("path", "sha256"), ["path", "sha256"], "left_semi").join(changed.select("path"), "path", "left_anti")

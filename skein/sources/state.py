@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
+import re
+import tempfile
 import tomllib
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -20,10 +23,17 @@ def save_state(path: str, state: dict) -> None:
     target = Path(path)
     target.parent.mkdir(parents=True, exist_ok=True)
     draft = target.with_suffix(".tmp")
-    draft.write_text(json.dumps(state, sort_keys=True, indent=1))
+    with draft.open("w") as f:
+        f.write(as_json(state))
+        f.flush()
+        os.fsync(f.fileno())
     draft.replace(target)
 
 
+def as_json(state: dict) -> str:
+    return json.dumps(state, sort_keys=True, indent=1)
+
+
 def load_state(path: str) -> dict:
     """The state, empty where there is none or it cannot be read."""
     try:
@@ -97,3 +107,11 @@ def load_plan(path: str) -> Plan | None:
             raise ValueError(f"scope pattern {p!r}")
         glob_regex(p)
     return Plan(1, raw.get("notes") or [], raw.get("documents") or [], raw.get("templates") or {}, scope.get("include") or [], scope.get("exclude") or [])
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """The session's folder for checkpoints: spark.checkpoint.dir; where it is unset a local master gets one of its own (tests), and a cluster an error."""
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from skein.functions import text as T
+from skein.sources.files import NOISE, ROOT_NOISE, language
 
 QUIET_MS, DEADLINE_MS = 2000, 5000
 
@@ -15,6 +19,40 @@ def kind_of(raw: Column) -> Column:
     return F.when(raw == "create", "Created").when(raw == "remove", "Deleted").otherwise("Modified")
 
 
+def ignored(path: Column, output: str | None = None) -> Column:
+    """Whether a path is not watched: in the output folder, in noise at any depth, or in root noise right below the watched folder, which is the path's first name."""
+    p = F.regexp_replace(T.normal_path(path), "^([A-Za-z]:)?/+", "")
+    s = F.filter(F.split(p, "/"), lambda x: ~x.isin("", "."))
+    noise = F.exists(s, lambda x: x.isin(*NOISE)) | F.coalesce(F.get(s, F.lit(1)).isin(*ROOT_NOISE), F.lit(False))
+    if output is None:
+        return noise
+    out = output.replace("\\", "/").rstrip("/")
+    return noise | (T.normal_path(path) == out) | T.normal_path(path).startswith(f"{out}/")
+
+
+def reported(events: DataFrame, output: str | None = None) -> DataFrame:
+    """Events (path, …) of source files that are not ignored."""
+    return events.where(~ignored(F.col("path"), output) & language(F.col("path")).isNotNull())
+
+
+def batch_groups(events: DataFrame, output: str | None = None) -> DataFrame:
+    """(kind, n, paths) of a batch of raw events (path, raw): reported paths by kind, each once, sorted."""
+    x = reported(events, output).select(kind_of(F.col("raw")).alias("kind"), "path").distinct()
+    return x.groupBy("kind").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("path")).alias("paths"))
+
+
+def run(events: DataFrame, update: Callable[[DataFrame], None], full: Callable[[], None], checkpoint: str, output: str | None = None) -> StreamingQuery:
+    """Watch a stream of events (stream, path, raw): a full run first, then one update for each batch of changes (kind, paths) that a quiet gap or the deadline releases."""
+    full()
+    held = hold(reported(events, output).select("stream", "path", kind_of(F.col("raw")).alias("kind")))
+
+    def step(batch: DataFrame, _: int) -> None:
+        if not batch.isEmpty():
+            update(batch.select("kind", "paths"))
+
+    return held.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()
+
+
 def fold(events: DataFrame) -> DataFrame:
     """(path, kind, first): the last kind of each path of events (path, kind, seq), and where it was first seen."""
     return events.groupBy("path").agg(F.max_by("kind", "seq").alias("kind"), F.min("seq").alias("first"))
