@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_quote_links": chat.ORACLE,
     "op4_mix_sources": mixing.ORACLE,
     "op8_line_runs": lines.ORACLE,
 }
