@@ -9,8 +9,10 @@ rare entities can have terms. Terms that disclose more than the threshold are ma
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import drop_table, table, write_table
+from .base import drop_table, release, small_batches, table, write_table
 from .bpe import _slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -80,14 +82,10 @@ def _entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else _OTHER.sub('', value)}"
 
 
-def _near(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
-    """Up to NEAR words before and after a span, of those wholly within 200 characters."""
-    a, b = max(0, start - 200), min(len(text), end + 200)
-    while a < start and a and text[a - 1].isalpha():
-        a += 1
-    while b > end and b < len(text) and text[b].isalpha():
-        b -= 1
-    return [w.lower() for w in _TERM.findall(text, a, start)[-NEAR:]], [w.lower() for w in _TERM.findall(text, end, b)[:NEAR]]
+def _near(words: list[tuple[int, int, str]], start: int, end: int) -> tuple[list[str], list[str]]:
+    """Up to NEAR words before and after a span, of a text's words in their order; a word that the span cuts is neither."""
+    a, b = bisect_right(words, start, key=itemgetter(1)), bisect_left(words, end, key=itemgetter(0))
+    return [w for _, _, w in words[max(0, a - NEAR) : a]], [w for _, _, w in words[b : b + NEAR]]
 
 
 def _hash(word: str) -> int:
@@ -133,6 +131,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dis
     every document holds is no secret; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -147,8 +146,9 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dis
                 counts.append([n[k] for k in KINDS])
                 bases.append(_joined(spans))
                 near = {}
+                words = [(*m.span(), m[0].lower()) for m in _TERM.finditer(t)] if spans else []
                 for k, a, z in spans:
-                    before, after = _near(t, a, z)
+                    before, after = _near(words, a, z)
                     context = _hash(" ".join([*before, k, *after])) - (1 << 63)
                     entity = _entity(k, t[a:z])
                     for w in ("", *before, *after):
@@ -156,6 +156,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dis
                 nears.append([{"entity": e, "term": w, "context": c, "doc": int(not i)} for (e, w), cs in near.items() for i, c in enumerate(cs)])
             cols = [b["id"], b["th"], *(pa.array([c[i] for c in counts], pa.int64()) for i in range(4)), pa.array(bases), pa.array(nears, pair)]
             yield pa.RecordBatch.from_arrays(cols, ["id", "th", *(f"n_{k}" for k in KINDS), "base", "near"])
+        release()
 
     fields = f"id {id_type}, th long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, near array<struct<entity string, term string, context long, doc long>>"
     found = write_table(rows.mapInArrow(first, fields), "personal")
