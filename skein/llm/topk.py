@@ -11,15 +11,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ann import matrix
-from .base import table, write_table
+from .base import drop_table, table, write_table
 from .vectors import best, classes, usable
 
-#: Vectors of a shard, shards at least, vectors of a leaf, queries of a task, and the share of shards of the first wave.
-SHARD, SHARDS, LEAF, QUERIES, WAVE = 8192, 64, 32, 512, 8
+#: Vectors of a shard, shards at least, vectors of a leaf, queries that meet one copy of a shard's tree, those of them that are searched at a time, and the share of shards of the first wave.
+SHARD, SHARDS, LEAF, QUERIES, BATCH, WAVE = 16_384, 16, 32, 16_384, 512, 8
 
 
 class BallTree:
@@ -68,9 +68,9 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.array([max(-(2**63), min(2**63 - 1, sum(u * int(c) for u, c in zip(a, row, strict=True)))) for row in x], dtype=np.int64)
 
 
-def branch_and_bound(q: np.ndarray, kth: np.ndarray, x: np.ndarray, names: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+def branch_and_bound(q: np.ndarray, kth: np.ndarray, x: np.ndarray, names: np.ndarray, k: int, tree: BallTree | None = None) -> list[list[tuple[int, int]]]:
     """For each query its k best (score, name), ties to smaller names, among those not below its kth score so far."""
-    tree = BallTree(x)
+    tree = tree or BallTree(x)
     reach = tree.bounds(q, kth)
     order = np.argsort(-reach, axis=1, kind="stable")
     out = []
@@ -97,7 +97,7 @@ def search(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedd
     """(query_id, rank, vec_id, score): the k highest integer inner products of floor(scale * x) for each row whose id is divisible by `every`.
 
     Exact. Vectors that are null, empty or hold a null or non-finite component take no part, nor do rows without id; vectors are compared
-    with those of their own length; equal rows count once; scores beyond 64 bits stop at their ends; other columns are ignored; with
+    with those of their own length; equal rows count once, and an id with several vectors stands for the greatest of them, component by component; scores beyond 64 bits stop at their ends; other columns are ignored; with
     fewer than k candidates all are given; an empty table gives an empty result.
     """
     used = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null").where(usable(F.col("v")))
@@ -106,13 +106,10 @@ def search(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedd
     reps, members = classes(used, k)
     asked = members.where(F.col("id") % every == 0)
     wanted = write_table(asked.select("rep").distinct().join(reps.select("rep", "v"), "rep"), "queries")
-    found = None
-    for (dims,) in reps.select(F.size("v")).distinct().collect():
-        part = _search(reps.where(F.size("v") == dims), wanted.where(F.size("v") == dims), k)
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = rows.sparkSession.createDataFrame([], "rep long, hit long, score long")
-    return best(found, asked, reps, k)
+    found, left = _search(reps, wanted, k)
+    out = best(found, asked, reps, k)
+    drop_table(wanted, *left)
+    return out
 
 
 def _floor(x):
@@ -120,17 +117,23 @@ def _floor(x):
     return F.when(F.abs(x) < F.lit(2.0**52), F.floor(x).cast("double")).otherwise(x)
 
 
-def _search(reps: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+def _search(reps: DataFrame, wanted: DataFrame, k: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(rep, hit, score), and written tables of which it is made."""
     rows, queries = reps.count(), wanted.count()
     shards, shares = max(SHARDS, math.ceil(rows / SHARD)), max(1, math.ceil(queries / QUERIES))
-    dealt = reps.select("rep", "v", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"))
+    keys = ("dims", "shard", "share")
+    dealt = reps.select("rep", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"))
 
     def task(asked: pa.Table, held: pa.Table) -> pa.Table:
         out = []
         if asked.num_rows and held.num_rows:
             who, q, kth = asked["rep"].to_numpy(), matrix(asked["v"]), asked["kth"].to_numpy()
-            best_of = branch_and_bound(q, kth, matrix(held["v"]), held["rep"].to_numpy(), k + 1)
-            out = [(int(w), name, score) for w, hits in zip(who, best_of, strict=True) for score, name in hits]
+            x, names = matrix(held["v"]), held["rep"].to_numpy()
+            tree = BallTree(x)
+            for at in range(0, len(q), BATCH):
+                some = slice(at, at + BATCH)
+                best_of = branch_and_bound(q[some], kth[some], x, names, k + 1, tree)
+                out += [(int(w), name, score) for w, hits in zip(who[some], best_of, strict=True) for score, name in hits]
         return pa.table({n: pa.array([o[c] for o in out], pa.int64()) for c, n in enumerate(("rep", "hit", "score"))})
 
     def wave(queries_: DataFrame, first: bool) -> DataFrame:
@@ -138,14 +141,17 @@ def _search(reps: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             return (shard % WAVE == 0) if first else (shard % WAVE != 0)
 
         share = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(shares)).cast("int")
-        asks = queries_.withColumn("share", share).withColumn("shard", F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), now)))
+        asks = queries_.withColumn("dims", F.size("v")).withColumn("share", share).withColumn("shard", F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), now)))
         held = dealt.where(now(F.col("shard"))).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-        return asks.groupBy("shard", "share").cogroup(held.groupBy("shard", "share")).applyInArrow(task, "rep long, hit long, score long")
+        return asks.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(task, "rep long, hit long, score long")
 
     start = write_table(wave(wanted.select("rep", "v", F.lit(float("-inf")).alias("kth")), True), "first-wave")
-    kth = start.groupBy("rep").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))  # (k + 1) scores a shard of the first wave
-    kth = kth.select("rep", F.when(F.size("s") > k, F.element_at("s", k + 1).cast("double")).otherwise(F.lit(float("-inf"))).alias("kth"))
-    return start.union(wave(wanted.join(kth, "rep", "left").select("rep", "v", F.coalesce("kth", F.lit(float("-inf"))).alias("kth")), False))
+    # the (k + 1)th score so far, by a count of the better ones that stops at k + 1 before the shuffle
+    order = Window.partitionBy("rep").orderBy(F.col("score").desc(), "hit")
+    kth = start.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).groupBy("rep").agg(F.min("score").alias("s"), F.count("*").alias("n"))
+    kth = kth.select("rep", F.when(F.col("n") > k, F.col("s").cast("double")).otherwise(F.lit(float("-inf"))).alias("kth"))
+    rest = write_table(wave(wanted.join(kth, "rep", "left").select("rep", "v", F.coalesce("kth", F.lit(float("-inf"))).alias("kth")), False), "second-wave")
+    return start.union(rest), [start, rest]
 
 
 def query(spark, sf_dir):
