@@ -84,12 +84,15 @@ def release() -> None:
 
 
 def drop_table(*tables: DataFrame | None) -> None:
-    """Delete tables that write_table made and that no later step reads."""
+    """Delete tables that write_table made and that no later step reads, and with them the shuffle files that only they needed: Spark's cleaner deletes those once the
+    driver's garbage is collected."""
     for df in tables:
         path = getattr(df, "_skein_path", None)
         if path:
             files, target = _file_system(df.sparkSession, path)
             files.delete(target, True)
+    for context in {df.sparkSession.sparkContext for df in tables if getattr(df, "_skein_path", None)}:
+        context._jvm.System.gc()
 
 
 def free(columns: list[str], *names: str) -> list[str]:

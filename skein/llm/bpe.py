@@ -17,11 +17,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VOCABULARY = "byte_bpe_50k.json"
+from .base import release, small_batches, table
+
+VOCABULARY = "byte_bpe_50k.tiktoken"
 #: White space as the vocabulary's own pattern knows it; Python's \s has four more control characters.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Matches kept in a worker's table, and the longest that is kept.
-KEPT, LONGEST = 500_000, 48
+#: Matches and chunks kept in a worker's table (about 40 MB), the longest that is kept, and the bytes of text that are read at a time.
+KEPT, LONGEST, SLICE = 200_000, 48, 1_000_000
+#: Matches that are merged in one call, whose result holds their tokens as strings too.
+MERGED = 16_384
 
 
 def _path(vocabulary: str | None) -> str:
@@ -49,16 +53,39 @@ def _patterns():
     return regex.compile(p).findall, re.compile(f" [{_SPACE}]|[{_SPACE}] |\0").search
 
 
+def _from_ranks(path: str):
+    """A tokenizer of a file of ranks: a token's merge joins the two parts that merges of lower ranks make of its bytes."""
+    import base64
+
+    from tokenizers import Tokenizer, models
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    chars = {b: c for c, b in byte_characters().items()}
+    named = {t: "".join([chars[b] for b in t]) for t in ranks}
+    merges = []
+    for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            pairs = [ranks.get(a + b, rank) for a, b in zip(parts, parts[1:], strict=False)]
+            at = pairs.index(min(pairs))
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if len(parts) == 2:
+            merges.append((named[parts[0]], named[parts[1]]))
+    return Tokenizer(models.BPE(vocab={named[t]: r for t, r in ranks.items()}, merges=merges))
+
+
 class Coder:
-    """Encodes and decodes with one vocabulary file."""
+    """Encodes and decodes with one vocabulary file, of ranks (.tiktoken) or of the tokenizers library (.json)."""
 
     def __init__(self, vocabulary: str | None = None):
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(_path(vocabulary))
+        path = _path(vocabulary)
+        t = _from_ranks(path) if path.endswith(".tiktoken") else Tokenizer.from_file(path)
         self.merge = Tokenizer(t.model)  # words come already cut and mapped to byte characters
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # ids of matches and of chunks; a match is a chunk of its own
+        self.again: set[str] = set()  # those of them that a later slice has met
         back = byte_characters()
         self.chars = {b: c for c, b in back.items()}
         special = {k for k, v in t.get_added_tokens_decoder().items() if v.special}
@@ -72,20 +99,28 @@ class Coder:
         self.begun = np.array([sum(c & 0xC0 != 0x80 for c in b) for b in tokens], dtype=np.int64)
         self.inside = np.array([bool(b) and b[0] & 0xC0 == 0x80 for b in tokens])
 
-    def _learn_pieces(self, new: list[str]) -> None:
-        if not new:
-            return
-        chars = self.chars
-        bytes_of = [p.encode() for p in new]
-        words = ["".join([chars[b] for b in x]) for x in bytes_of]
-        ids = np.array(self.merge.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype="<u4")
-        raw = ids.tobytes()
-        # a word ends at the token at which as many bytes have gone by
-        ends = ((np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(x) for x in bytes_of])) + 1) * 4).tolist()
-        at = 0
-        for p, end in zip(new, ends, strict=True):
-            self.pieces[p] = raw[at:end]
-            at = end
+    def _learn(self, new: list[str]) -> None:
+        """Ids of matches, each merged on its own."""
+        for start in range(0, len(new), MERGED):
+            some = new[start : start + MERGED]
+            chars = self.chars
+            bytes_of = [p.encode() for p in some]
+            words = ["".join([chars[b] for b in x]) for x in bytes_of]
+            ids = np.array(self.merge.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype="<u4")
+            raw = ids.tobytes()
+            # a word ends at the token at which as many bytes have gone by
+            ends = ((np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(x) for x in bytes_of])) + 1) * 4).tolist()
+            at = 0
+            for p, end in zip(some, ends, strict=True):
+                self.known[p] = raw[at:end]
+                at = end
+
+    def _forget(self, met: dict[str, None]) -> None:
+        """Beyond KEPT, strings stay that were met again; where these are too many, those of the last slice."""
+        if len(self.known) > KEPT:
+            stay = self.again if len(self.again) <= KEPT // 2 else self.again & met.keys()
+            self.known = {c: self.known[c] for c in stay if c in self.known} if len(stay) <= KEPT // 2 else {}
+            self.again = set()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null as the empty text.
@@ -98,22 +133,21 @@ class Coder:
         for text in texts:
             text = text or ""
             split.append([text] if odd(text) else text.replace(" ", "\0 ").split("\0"))
-        chunks, pieces = self.chunks, self.pieces
-        new = [c for c in dict.fromkeys(x for row in split for x in row) if c not in chunks]
+        known, met = self.known, dict.fromkeys(x for row in split for x in row)
+        self.again |= met.keys() & known.keys()
+        new = [c for c in met if c not in known]
         parts = [cut(c) for c in new]
-        self._learn_pieces([p for p in dict.fromkeys(x for row in parts for x in row) if p not in pieces])
+        self._learn([p for p in dict.fromkeys(x for row in parts for x in row) if p not in known])
         for c, row in zip(new, parts, strict=True):
-            chunks[c] = b"".join([pieces[p] for p in row])
-        out = [b"".join([chunks[c] for c in row]) for row in split]
+            if len(row) != 1:
+                known[c] = b"".join([known[p] for p in row])
+        out = [b"".join([known[c] for c in row]) for row in split]
         for c, row in zip(new, parts, strict=True):
             if len(c) > LONGEST:
-                del chunks[c]
-                for p in row:
+                for p in (c, *row):
                     if len(p) > LONGEST:
-                        pieces.pop(p, None)
-        for known in (chunks, pieces):
-            if len(known) > KEPT:
-                known.clear()
+                        known.pop(p, None)
+        self._forget(met)
         return out
 
     def decode(self, many: list[bytes]) -> list[bytes]:
@@ -145,7 +179,7 @@ def _coder(vocabulary: str | None) -> Coder:
     return Coder(vocabulary)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Batches of about `most` bytes of the column, so that memory does not follow the length of the texts."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy()
@@ -174,7 +208,9 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
                 cols += [pa.array([s[k] for s in spans], pa.list_(pa.int64())) for k in (0, 1)]
                 names += ["starts", "ends"]
             yield pa.RecordBatch.from_arrays(cols, names)
+        release()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
@@ -188,6 +224,7 @@ def decode(encoded: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids_le
             raw = coder.decode([x or b"" for x in b["ids"].to_pylist()])
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(raw, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in raw])], ["id", "decoded", "text"])
 
+    small_batches(encoded.sparkSession)
     rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     return rows.mapInArrow(run, f"id {id_type}, decoded binary, text string").withColumnRenamed("id", id_col)
 
@@ -202,7 +239,9 @@ def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             ids = coder.encode(b["text"].to_pylist())
             cols = [b["id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(coder.decode(ids), pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["id", "n_tokens", "ids_le", "decoded"])
+        release()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {id_type}, n_tokens long, ids_le binary, decoded binary").withColumnRenamed("id", id_col)
 
@@ -213,6 +252,4 @@ def digests(docs: DataFrame, **options) -> DataFrame:
 
 
 def query(spark, sf_dir):
-    from .base import table
-
     return digests(table(spark, sf_dir, "documents"))

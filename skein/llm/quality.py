@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import table, write_table
+from .base import quoted, release, small_batches, table, write_table
 from .bpe import _slices
 
 #: Labelled rows that fit the model: at most so many, the smallest by hash.
@@ -177,10 +177,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     marks = write_table(marks.orderBy(F.xxhash64("id"), "id", "y").limit(most), "labelled")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, "text"):
             rows = [features(t) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["id"], b["y"], pa.array(rows, pa.list_(pa.float64()))], ["id", "y", "x"])
 
+    small_batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "id")  # at most `most` ids
     id_type = docs.schema[id_col].dataType.simpleString()
     got = picked.mapInArrow(run, f"id {id_type}, y double, x array<double>").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
@@ -189,20 +190,21 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return Additive().fit(rows[order], got["y"].to_numpy()[order])
 
 
-def classify(docs: DataFrame, model: Additive, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id_col, *keep, score, predicted) for every row. Null and empty texts get the score of a row of zeros; only the text counts."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
+def classify(docs: DataFrame, model: Additive, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: tuple[str, ...] = (), names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """(id_col, *keep, *names) for every row; names are those of the score and of whether it reaches the threshold. Null and empty texts get the score of a row of zeros; only the text counts."""
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"), *[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(keep)])
     types = [docs.schema[c].dataType.simpleString() for c in (id_col, *keep)]
-    names = ["_id", *[f"_{i}" for i in range(len(keep))]]
+    own = ["id", *[f"c{i}" for i in range(len(keep))]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches, "text"):
             x = np.array([features(t) for t in b["text"].to_pylist()], dtype=float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*[b[n] for n in names], pa.array(model.score(x))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*[b[n] for n in own], pa.array(model.score(x))], [*own, "score"])
+        release()
 
-    scored = rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True)) + ", score double")
-    back = dict(zip(names, (id_col, *keep), strict=True))
-    return scored.select(*[F.col(n).alias(c) for n, c in back.items()], "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    small_batches(docs.sparkSession)
+    scored = rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(own, types, strict=True)) + ", score double")
+    return scored.select(*[F.col(n).alias(c) for n, c in zip(own, (id_col, *keep), strict=True)], F.col("score").alias(names[0]), (F.col("score") >= threshold).cast("int").alias(names[1]))
 
 
 def query(spark, sf_dir):

@@ -39,7 +39,20 @@ def test_the_table_of_matches_is_bounded(library, monkeypatch):
     coder = bpe.Coder()
     for text in ("some words that fill the table", "and others", "some words again"):
         assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == library.encode_ordinary(text)
-    assert len(coder.chunks) <= 3
+    assert len(coder.known) <= 3 and len(coder.again) <= 3
+
+
+def test_every_document_as_the_library_encodes_it(spark, library):
+    """Ids of all texts of a given table by the file of ranks, and by the same vocabulary as JSON."""
+    import public_tokenizers
+
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for coder in (bpe.Coder(), bpe.Coder(public_tokenizers.path("byte_bpe_50k.json"))):
+        for at in range(0, len(texts), 100):
+            some = texts[at : at + 100]
+            ids = coder.encode(some)
+            assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [library.encode_ordinary(t or "") for t in some]
+            assert coder.decode(ids) == [(t or "").encode() for t in some]
 
 
 def test_digests_of_odd_rows(docs_of, library):
