@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import WORD, write_table
+from .base import WORD, drop_table, free, quoted, write_table
 
 
 def word_count(text: Column) -> Column:
@@ -59,8 +59,45 @@ def mix(
     the empty string; equal rows get equal keys and are taken one after the other; an empty table gives an empty result; other
     columns are ignored. The same rows and seed give the same mix, whatever the partitioning.
     """
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    base = write_table(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key")), "mix")
+    rows, _ = _placed(docs, id_col, text_col, source_col, weights, max_repeats, digits, seed)
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
+
+
+def take(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = (5, 2, 1),
+    max_repeats: int = 3,
+    digits: int = 2,
+    seed: str = "",
+) -> DataFrame:
+    """The rows of docs, with all their columns and whatever these are named, as often as the mix takes them.
+
+    In key order the documents that fill up a source's budget are its first ones, so the last of them tells for every row whether it is taken: rows meet
+    one row of their source and texts stay where they are. Rows that repeat an id and a size are taken alike. Cases are those of mix.
+    """
+    rows, done = _placed(docs, id_col, text_col, source_col, weights, max_repeats, digits, seed)
+    size_, key_, of, whole, last, times = free(docs.columns, "size", "key", "of", "whole", "last", "times")
+    cuts = rows.groupBy("sid").agg(F.max("whole").alias(whole), F.max(F.when(F.col("extra") == 1, F.struct("key", "id", "size"))).alias(last))
+    cuts = write_table(done[1].select("sid", F.col("source").alias(of)).join(cuts, "sid").drop("sid"), "mix-cuts")
+    drop_table(*done)
+    out = docs.withColumns({size_: word_count(F.col(quoted(text_col))), key_: _key(id_col, seed)}).join(cuts, F.col(quoted(source_col)).eqNullSafe(F.col(of)))
+    extra = F.coalesce(F.struct(F.col(key_).alias("key"), F.col(quoted(id_col)).alias("id"), F.col(size_).alias("size")) <= F.col(last), F.lit(False))
+    repeats = F.when(F.col(size_) > 0, F.col(whole) + extra.cast("long")).otherwise(0)
+    out = out.withColumn(times, repeats.cast("int")).where(F.col(times) > 0).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return out.select(*map(quoted, docs.columns))
+
+
+def _key(id_col: str, seed: str) -> Column:
+    return F.md5(F.concat(F.lit(seed), F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit(""))))
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], max_repeats: int, digits: int, seed: str) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows with their place in the mix, and written tables of which they are made, the plan of the sources last."""
+    base = write_table(docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(source_col)).alias("source"), word_count(F.col(quoted(text_col))).alias("size"), _key(id_col, seed).alias("key")), "mix")
     plan = write_table(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats), "mix-targets")
     rows = base.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(
         "id", "size", "key", "sid", "source_size", "target", F.substring("key", 1, digits).alias("hi"), F.substring("key", digits + 1, digits).alias("lo")
@@ -80,8 +117,8 @@ def mix(
     rows = rows.withColumn("whole", whole)
     rest = F.col("target") - F.col("whole") * F.col("source_size")
     extra = ((F.col("size") > 0) & (2 * F.col("before") + F.col("size") <= 2 * rest)).cast("long")
-    rows = rows.withColumn("repeats", F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(F.lit(0).cast("long")))
-    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
+    rows = rows.withColumn("extra", extra).withColumn("repeats", F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(F.lit(0).cast("long")))
+    return rows, [base, plan]
 
 
 #: DuckDB's words of a text.

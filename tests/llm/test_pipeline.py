@@ -1,8 +1,9 @@
 from collections import Counter
 
 import corpus_pipeline as cp
+from odd import ODD
 from test_bpe import library  # noqa: F401  a fixture
-from test_lines import brute as clean_lines
+from test_lines import brute_maximal as clean_lines
 from test_minhash import brute as groups
 
 from skein.llm import mixing, quality
@@ -43,6 +44,19 @@ def test_stages_on_small_tables(spark, library):  # noqa: F811
     assert sorted(map(tuple, cp.run(spark, SF).collect())) == sorted(map(tuple, coded))
 
 
+def test_stages_with_odd_rows_and_clashing_names(spark, docs_of):
+    """Every stage but the last gives the columns it got, the caller's values in them."""
+    rows = [*ODD, *((100 + i, f"{i % 7} " + "a line that many hold " * 12 + f"\nand one of its own {i}", "bcd"[i % 3]) for i in range(30))]
+    docs = docs_of(rows, extra=True)
+    values = {c: docs.first()[c] for c in docs.columns[5:]}
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(r[c] == v for r in got for c, v in values.items()), name
+    assert len(cp.STAGES[-1][1](spark, docs, SF).collect()) == len(rows)
+
+
 def test_empty_documents(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
