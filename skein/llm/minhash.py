@@ -21,13 +21,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import drop_table, table, write_table
+from .base import drop_table, release, small_batches, table, write_table
 from .bpe import _slices
 from .components import components
 
 SLOTS, ROWS = 128, 4
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _U = np.uint64
+#: Words whose hashes a task keeps, about 35 MB.
+KEPT = 200_000
 #: Pairs across components that one bucket makes directly; beyond that its members meet by their rare shingles.
 DIRECT = 500
 #: Positions by which the frequencies of shingles are counted.
@@ -64,7 +66,7 @@ def shingle_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarra
     A-Z count as a-z. A text of fewer than k words has its whole sequence as its one shingle; one without words has none.
     """
     known = _hashes()
-    if len(known) > 500_000:
+    if len(known) > KEPT:
         known.clear()
     parts, lengths = [], np.zeros(len(texts), dtype=np.int64)
     for i, text in enumerate(texts):
@@ -90,7 +92,7 @@ def shingle_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarra
     return doc[first], s[first]
 
 
-def signatures(doc: np.ndarray, s: np.ndarray, n: int, slots: int = SLOTS, block: int = 200_000) -> np.ndarray:
+def signatures(doc: np.ndarray, s: np.ndarray, n: int, slots: int = SLOTS, block: int = 65_536) -> np.ndarray:
     """SuperMinHash of n sets given as (set, element hash): an (n, slots) array whose upper 32 bits are steps."""
     top = np.full((n, slots), np.iinfo(np.uint64).max, dtype=_U)
     flat = top.reshape(-1)
@@ -139,6 +141,8 @@ def sign(docs: DataFrame, *, shingle: int, id_col: str = "doc_id", text_col: str
             sketch = [pa.array(c) for c in np.bitwise_or.reduce(four, axis=2).view(np.int64).T]
             f1, f2 = (_sums(doc, _mix(s ^ _U(c)), count).view(np.int64) for c in (0x243F6A8885A308D3, 0x13198A2E03707344))
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(n.astype(np.int64)), pa.array(f1), pa.array(f2), *sketch, lists], ["id", "n", "f1", "f2", *SKETCH, "keys"])
+        _hashes().clear()  # workers go on to other tasks
+        release()
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return picked.mapInArrow(run, "id long, n long, f1 long, f2 long, " + " long, ".join(SKETCH) + " long, keys array<long>")
@@ -152,6 +156,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, *, shingle: int, id_col: str, tex
             doc, s = shingle_sets(b["text"].to_pylist(), shingle)
             offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b.num_rows))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b["id"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(s.view(np.int64)))], ["id", "shingles"])
+        _hashes().clear()
+        release()
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return picked.join(ids, "id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
@@ -201,13 +207,17 @@ def near_duplicates(
     Defined cases: null and empty texts have no shingles and link with nothing; ids name documents, rows repeated with one
     id are one document; a row without id links with nothing and is kept; an empty table gives an empty result; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     signed = write_table(sign(docs, shingle=shingle, id_col=id_col, text_col=text_col, slots=slots, rows=rows), "signed")
     own = signed.where("n > 0 and id is not null")
     classes = write_table(own.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), "classes")
     reps = write_table(own.join(classes, ["f1", "f2", "n"]).where("id = rep").select("rep", "n", *SKETCH, "keys").dropDuplicates(["rep"]), "reps")
+    slim = write_table(signed.select("id", "n", "f1", "f2"), "fingerprints")
+    drop_table(signed)
     bands = reps.select("rep", "n", *SKETCH, F.explode("keys").alias("key"))
     shared = write_table(bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", "hub"), "buckets")
     members = write_table(bands.join(shared, "key").select("key", "rep", "n", *SKETCH, "hub"), "members")
+    drop_table(reps, shared)
 
     def links(pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) that are similar enough."""
@@ -225,9 +235,11 @@ def near_duplicates(
     comp = write_table(components(found), "components")
     at = members.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("hub", "component")
     at = write_table(at, "placed")
+    drop_table(members, comp)
     per = at.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"))
     mixed = write_table(per.where("all * all > same").select("key", (F.col("all") * F.col("all") - F.col("same") <= 2 * DIRECT).alias("direct")), "mixed")
     unsettled = write_table(at.join(mixed, "key"), "unsettled")
+    drop_table(at, mixed)
     differ = [f"(({c} ^ t{c}) | shiftrightunsigned({c} ^ t{c}, 1))" for c in SKETCH]  # bits 0 and 2 of 4: whether two of them differ
     differ = " + ".join(f"bit_count(({d} | shiftrightunsigned({d}, 2)) & 1229782938247303441)" for d in differ)  # 0x1111...
     alike = f"u > v and cu <> cv and 100 * least(n, m) >= {percent} * greatest(n, m) and {100 + percent} * least(n - rarer, m - rarer_too) >= {percent} * (n + m) and {differ} <= {DIFFER}"
@@ -244,15 +256,16 @@ def near_duplicates(
     told = write_table(told, "crowd-sets")
     rare = rare_shingles(told, percent)
     rare = write_table(rare.join(crowd, "rep"), "rare")
+    drop_table(told, crowd)
     fresh = across(unsettled.where("direct").withColumn("rarer", F.lit(0)), "key").union(across(rare, "shingle")).distinct().join(hubs, ["u", "v"], "left_anti")
     fresh = write_table(fresh, "fresh")
     more = links(fresh)
-    drop_table(comp, at, mixed, unsettled, crowd, told, rare, fresh)
+    drop_table(unsettled, rare, fresh)
     comp = write_table(components(found.union(more)), "components")
     placed = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id"))
     placed = write_table(placed, "placed")
-    drop_table(reps, shared, members, hubs, found, more)
-    out = signed.select("id", "n", "f1", "f2").join(placed, ["f1", "f2", "n"], "left")
+    drop_table(hubs, found, more, classes, comp)
+    out = slim.join(placed, ["f1", "f2", "n"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))
