@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, lines, minhash, mixing, pii, quality, token_counts, topk
+from . import ann, bpe, chat, lines, minhash, mixing, pii, quality, token_counts, topk, validtime
 
 QUERIES = {
     "op1_minhash": minhash.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_line_runs": lines.query,
     "op9_disclosure": pii.query,
     "op10_ball_tree": topk.query,
+    "op12_bucket_state": validtime.query,
 }
 
 ORACLE_SQL = {
     "op3_quote_links": chat.ORACLE,
     "op4_mix_sources": mixing.ORACLE,
     "op8_line_runs": lines.ORACLE,
+    "op12_bucket_state": validtime.ORACLE,
 }
