@@ -7,8 +7,11 @@ import os
 import re
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What counts as a word, in the syntax that Java, Python and RE2 share.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -109,3 +112,30 @@ def free(columns: list[str], *names: str) -> list[str]:
 def quoted(name: str) -> str:
     """A column's name as Spark's expressions take it, whatever characters it has."""
     return "`" + name.replace("`", "``") + "`"
+
+
+#: Keys that hold more than one in so many rows are joined by broadcast.
+HOT_SHARE = 1024
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFrame:
+    """`rows` with the other columns of `table`, which has at most one row a key; null keys match null keys; rows without a match get nulls.
+
+    A key with more than one in `share` of the rows is a hot one, so there are fewer than `share` of them, whatever the tables' sizes: those meet their row of `table` by broadcast
+    and don't move. The others, of which none is large, meet by a shuffled join.
+    """
+    most = rows.count() / share
+    hot = write_table(rows.groupBy(*map(quoted, keys)).agg(F.count("*").alias("_n_rows")).where(F.col("_n_rows") > most).drop("_n_rows"), "hot-keys")
+    own = [f"_key{i}" for i in range(len(keys))]
+    columns = [*rows.columns, *(c for c in table.columns if c not in keys)]
+
+    def joined(a: DataFrame, b: DataFrame, how: str, small: bool) -> DataFrame:
+        b = b.select(*(F.col(quoted(k)).alias(n) for k, n in zip(keys, own, strict=True)), *(F.col(quoted(c)) for c in b.columns if c not in keys))
+        on = reduce(and_, (F.col(quoted(k)).eqNullSafe(F.col(n)) for k, n in zip(keys, own, strict=True)))
+        return a.join(F.broadcast(b) if small else b, on, how)
+
+    if hot.isEmpty():
+        return joined(rows, table, "left", False).select(*map(quoted, columns))
+    busy = joined(joined(rows, hot, "left_semi", True), joined(table, hot, "left_semi", True), "left", True)
+    rest = joined(joined(rows, hot, "left_anti", True), table, "left", False)
+    return busy.select(*map(quoted, columns)).union(rest.select(*map(quoted, columns)))

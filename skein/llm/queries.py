@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, lines, minhash, mixing, pii, quality, token_counts, topk, validtime
+from . import ann, bpe, chat, codes, lines, minhash, mixing, pii, quality, token_counts, topk, validtime
 
 QUERIES = {
     "op1_minhash": minhash.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_disclosure": pii.query,
     "op10_ball_tree": topk.query,
     "op12_bucket_state": validtime.query,
+    "op13_annular_codes": codes.query,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op4_mix_sources": mixing.ORACLE,
     "op8_line_runs": lines.ORACLE,
     "op12_bucket_state": validtime.ORACLE,
+    "op13_annular_codes": codes.ORACLE,
 }

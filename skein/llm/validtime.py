@@ -29,6 +29,14 @@ ID, SEQ, KEY, AT, SLICED, LAST = 1, 2, 8, 16, 32, 64
 FEED = "kind int, bucket long, id long, key long, part int, at long, seq long, flags int, payload string, batch int"
 #: rec is `fact`, `late`, or `slice` for a summary. `old`: the version that the last pruning left. n: versions of the key, or of the slice.
 FOUND = "rec string, id long, batch long, key long, part int, sliced boolean, timed boolean, n long, olds long, old boolean, hit boolean, version_id long, payload string"
+#: A start runs one batch, so a store is closed after it and leaves no files; logs aren't preallocated, and a commit writes what changed.
+STORE = {
+    "stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "stateStore.unloadOnCommit": "true",
+    "stateStore.rocksdb.allowFAllocate": "false",
+    "stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "minBatchesToRetain": "2",
+}
 _COLUMNS = {"id": pa.int64(), "key": pa.int64(), "part": pa.int32(), "at": pa.int64(), "seq": pa.int64(), "flags": pa.int32(), "payload": pa.string()}
 
 
@@ -258,7 +266,7 @@ def _stream(spark: SparkSession, feed: DataFrame, batches: int) -> DataFrame:
     files.deleteOnExit(target)
     path = lambda *at: _file_system(spark, "/".join((own, *at)))[1]
     files.mkdirs(path("feed"))
-    conf = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.minBatchesToRetain": "2"}
+    conf = {f"spark.sql.streaming.{k}": v for k, v in STORE.items()}
     before = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
