@@ -125,8 +125,8 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], share: int = HOT_
     and don't move. The others, of which none is large, meet by a shuffled join.
     """
     most = rows.count() / share
-    hot = write_table(rows.groupBy(*map(quoted, keys)).agg(F.count("*").alias("_n_rows")).where(F.col("_n_rows") > most).drop("_n_rows"), "hot-keys")
-    own = [f"_key{i}" for i in range(len(keys))]
+    n, *own = free([*rows.columns, *table.columns], "n_rows", *(f"key{i}" for i in range(len(keys))))
+    hot = write_table(rows.groupBy(*map(quoted, keys)).agg(F.count("*").alias(n)).where(F.col(n) > most).drop(n), "hot-keys")
     columns = [*rows.columns, *(c for c in table.columns if c not in keys)]
 
     def joined(a: DataFrame, b: DataFrame, how: str, small: bool) -> DataFrame:

@@ -164,7 +164,8 @@ def compress(
     done = write_table(done, "codes")
     drop_table(kept)
     labels = done.groupBy("label").agg(F.sum(F.col("error").cast("decimal(38,0)")).alias("s"))
-    return lookup(done, labels.select("label", F.least("s", F.lit(_MOST).cast("decimal(38,0)")).cast("long").alias("label_error")), ["label"]), books
+    capped = F.when(F.col("s") > _MOST, F.lit(_MOST)).otherwise(F.col("s").cast("long"))
+    return lookup(done, labels.select("label", capped.alias("label_error")), ["label"]), books
 
 
 def digest(books: list[np.ndarray]) -> str:
