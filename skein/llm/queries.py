@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, codes, lines, minhash, mixing, pii, quality, token_counts, topk, validtime
+from . import ann, bpe, chat, codes, lines, minhash, mixing, pii, quality, token_counts, topk, urls, validtime
 
 QUERIES = {
     "op1_minhash": minhash.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_runs": lines.query,
     "op9_disclosure": pii.query,
     "op10_ball_tree": topk.query,
+    "op11_path_templates": urls.query,
     "op12_bucket_state": validtime.query,
     "op13_annular_codes": codes.query,
 }
@@ -23,6 +24,7 @@ ORACLE_SQL = {
     "op3_quote_links": chat.ORACLE,
     "op4_mix_sources": mixing.ORACLE,
     "op8_line_runs": lines.ORACLE,
+    "op11_path_templates": urls.ORACLE,
     "op12_bucket_state": validtime.ORACLE,
     "op13_annular_codes": codes.ORACLE,
 }
