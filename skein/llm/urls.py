@@ -51,12 +51,13 @@ def shape_of(path: Column, depth: int) -> Column:
 
 def _apart(a: str) -> Column:
     """Squared deviate of the difference between this branch's share a / n and that of the one beside it."""
-    p, n, q, m = F.col(a).cast("double"), F.col("n").cast("double"), F.lag(a).over(_BESIDE).cast("double"), F.lag("n").over(_BESIDE).cast("double")
+    p, n, q, m = F.col(a).cast("double"), F.col("n").cast("double"), F.lag(a).over(_beside()).cast("double"), F.lag("n").over(_beside()).cast("double")
     share = (p + q) / (n + m)
     return F.when((share > 0) & (share < 1), F.pow(p / n - q / m, 2.0) / (share * (1 - share) * (1 / n + 1 / m))).otherwise(0.0)
 
 
-_BESIDE = Window.partitionBy("host", "template").orderBy((F.col("bad") / F.col("n")), (F.col("good") / F.col("n")), "seg")
+def _beside():
+    return Window.partitionBy("host", "template").orderBy((F.col("bad") / F.col("n")), (F.col("good") / F.col("n")), "seg")
 
 
 def templates(shapes: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -71,8 +72,8 @@ def templates(shapes: DataFrame, depth: int = DEPTH) -> DataFrame:
         above = children.groupBy("host", "template").agg(F.count("*").alias("k"), F.sum("n").alias("total"))
         few = above.where(~((F.col("k") > MOST) | ((F.col("k") >= FEW) & (F.col("total") < EACH * F.col("k"))))).select("host", "template")
         kept = children.join(few, ["host", "template"], "left_semi")
-        cut = (F.lag("n").over(_BESIDE).isNull() | (F.greatest(_apart("bad"), _apart("good")) > DIFFER)).cast("int")
-        groups = kept.withColumn("cut", cut).withColumn("g", F.sum("cut").over(_BESIDE)).groupBy("host", "template", "g").agg(F.sort_array(F.collect_list("seg")).alias("segs"))
+        cut = (F.lag("n").over(_beside()).isNull() | (F.greatest(_apart("bad"), _apart("good")) > DIFFER)).cast("int")
+        groups = kept.withColumn("cut", cut).withColumn("g", F.sum("cut").over(_beside())).groupBy("host", "template", "g").agg(F.sort_array(F.collect_list("seg")).alias("segs"))
         name = F.when(F.size("segs") == 1, F.col("segs")[0]).otherwise(F.concat(F.lit("{"), F.array_join("segs", "|"), F.lit("}")))
         names = groups.withColumn("name", name).select("host", "template", F.explode("segs").alias("seg"), "name")
         names = write_table(names.groupBy("host", "template").agg(F.map_from_entries(F.collect_list(F.struct("seg", "name"))).alias("names")), "url-names")
