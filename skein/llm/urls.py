@@ -20,8 +20,8 @@ RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 DEPTH = 4
 #: A branch with more children than MOST, or with at least FEW that have fewer than EACH pages on average, gets a wildcard for them.
 MOST, FEW, EACH = 64, 8, 4
-#: Squared deviates beyond which two shares differ (5 % level); pages that the overall share of blocked ones counts for in each template; purity from which one is rejected.
-DIFFER, PRIOR, PURITY = 3.84, 4.0, 0.5
+#: Squared deviates beyond which two shares differ (5 % level); pages that stand in each template beforehand, and how many of them blocked, so that one without listed pages is not rejected; purity from which one is.
+DIFFER, PRIOR, BAD, PURITY = 3.84, 4.0, 1.0, 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -87,7 +87,7 @@ def templates(shapes: DataFrame, depth: int = DEPTH) -> DataFrame:
 def judge(pages: DataFrame, *, url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES, depth: int = DEPTH) -> DataFrame:
     """All columns of pages with host, path, rule, template, purity and verdict; of those names, pages' own columns come first and the new ones have underscores before.
 
-    `purity` is the share of blocked pages among those of the template that rules fit, smoothed by PRIOR pages with the share of the whole table; the verdict is the rule's, or else block
+    `purity` is the share of blocked pages among those of the template that rules fit, smoothed by PRIOR pages of which BAD are blocked; the verdict is the rule's, or else block
     where the template's purity reaches PURITY. Defined cases: null URLs and those without `://` have an empty host and path, and a template of their own; an empty path fits no rule
     that has one; repeated rows all count; an empty table gives an empty result; without any page that a rule fits all are allowed.
     """
@@ -100,11 +100,9 @@ def judge(pages: DataFrame, *, url_col: str = "url", rules: tuple[tuple[str, str
     rows = rows.withColumns({r: found[0], v: found[1], s: shape_of(F.col(p), depth)})
     count = lambda what: F.count(F.when(F.col(v) == what, 1))
     shapes = write_table(rows.groupBy(F.col(h).alias("host"), F.col(s).alias("shape")).agg(F.count("*").alias("n"), count("block").alias("bad"), count("allow").alias("good")), "url-shapes")
-    bad, labelled = shapes.agg(F.sum("bad"), F.sum(F.col("bad") + F.col("good"))).first()
-    prior = PRIOR * (bad or 0) / (labelled or 1)
     grown = templates(shapes, depth)
     sums = grown.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    pure = lookup(grown.select("host", "shape", "template"), sums.select("host", "template", ((F.col("bad") + prior) / (F.col("bad") + F.col("good") + PRIOR)).alias("purity")), ["host", "template"])
+    pure = lookup(grown.select("host", "shape", "template"), sums.select("host", "template", ((F.col("bad") + BAD) / (F.col("bad") + F.col("good") + PRIOR)).alias("purity")), ["host", "template"])
     pure = write_table(pure.select(F.col("host").alias(h), F.col("shape").alias(s), F.col("template").alias(template), F.col("purity").alias(purity)), "url-purity")
     drop_table(shapes, grown)
     out = lookup(rows, pure, [h, s])
@@ -138,8 +136,7 @@ h as (select page_id, translate(coalesce(regexp_extract(rest, '^([^/?#]*)([^?#]*
 r as (select *, {case(0)} as rule, {case(1)} as v, array_to_string(string_split(regexp_replace(regexp_replace(substr(path, 2), '/$', ''), '[0-9]+', '#', 'g'), '/')[:{DEPTH}], '/') as shape from h),
 t0 as (select host, shape, count(*) as n, count(*) filter (v = 'block') as bad, count(*) filter (v = 'allow') as good, '' as t from r group by host, shape),
 {", ".join(levels)},
-a as (select coalesce({PRIOR} * sum(bad) / nullif(sum(bad + good), 0), 0) as prior from t0),
-p as (select host, t, (sum(bad) + max(prior)) / (sum(bad + good) + {PRIOR}) as purity from t{DEPTH} cross join a group by host, t)
+p as (select host, t, (sum(bad) + {BAD}) / (sum(bad + good) + {PRIOR}) as purity from t{DEPTH} group by host, t)
 select page_id, r.host, path, rule, coalesce(v, case when purity >= {PURITY} then 'block' else 'allow' end) as verdict
 from r join t{DEPTH} x on x.host = r.host and x.shape = r.shape join p on p.host = x.host and p.t = x.t"""
 

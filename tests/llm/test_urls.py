@@ -22,8 +22,6 @@ def listed(host, path, rules):
 def plain(rows, rules, depth):
     """Host by host, branch by branch."""
     pages = [(i, *(hp := split(u)), *listed(*hp, rules)) for i, u in rows]
-    marked = [v for *_, v in pages if v]
-    prior = urls.PRIOR * marked.count("block") / max(len(marked), 1)
     segs = [re.sub("[0-9]+", "#", re.sub("/$", "", p[2][1:])).split("/")[:depth] for p in pages]
     at = [""] * len(pages)
     for level in range(depth):
@@ -51,7 +49,7 @@ def plain(rows, rules, depth):
     votes = defaultdict(Counter)
     for p, t in zip(pages, at, strict=True):
         votes[p[1], t][p[4]] += 1
-    purity = {k: (c["block"] + prior) / (c["block"] + c["allow"] + urls.PRIOR) for k, c in votes.items()}
+    purity = {k: (c["block"] + urls.BAD) / (c["block"] + c["allow"] + urls.PRIOR) for k, c in votes.items()}
     return sorted(((i, h, p, r, t, round(purity[h, t], 9), v or ("block" if purity[h, t] >= urls.PURITY else "allow")) for (i, h, p, r, v), t in zip(pages, at, strict=True)), key=str)
 
 
