@@ -172,7 +172,7 @@ def _cut(feed: DataFrame, most: int, grain: int) -> DataFrame | None:
     if busy.isEmpty():
         drop_table(busy)
         return None
-    grains = feed.join(busy, "key", "left_semi").groupBy("key", "grain_no").agg(F.count("*").alias("n_rows"))
+    grains = feed.join(busy.hint("merge"), "key", "left_semi").groupBy("key", "grain_no").agg(F.count("*").alias("n_rows"))
     before = F.sum("n_rows").over(Window.partitionBy("key").orderBy("grain_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_rows")
     parts = write_table(grains.select("key", "grain_no", F.floor(before / most).cast("int").alias("part")), "slices")
     drop_table(busy)
@@ -191,7 +191,7 @@ def enrich(
     number `batches`. `rec` is `fact` or `late`; `payload` maps the names of columns of the versions that facts take to expressions.
 
     A key with more than `most` rows is cut into slices of about as many, at grains of `grain_s` seconds. No watermark, count or cut but what is bounded by
-    `batches` reaches the driver, and nothing is broadcast. Batches are written once, below spark.checkpoint.dir, and moved into the folder that the stream reads one at a time.
+    `batches` reaches the driver, and nothing is broadcast: all joins are hinted to sort and merge. Batches are written once, below spark.checkpoint.dir, and moved into the folder that the stream reads one at a time.
     Defined cases: batch numbers below 0 count as 0, null ones and those beyond the last as the last. Versions without time are ignored; those without key can be late, but no fact takes them. Facts
     without key or time take nothing; repeated rows of either table each count (drop repeats before); a null sequence or id orders first; empty tables and batches give
     what the rest gives; other columns are ignored, whatever their names.
@@ -214,7 +214,7 @@ def enrich(
         before = until
         seen = {k: max([x for x in (t, largest.get((k, b), (None, 0))[0]) if x is not None], default=None) for k, t in seen.items()}
     cuts = _cut(rows, most, grain_s)
-    dealt = rows.join(cuts, ["key", "grain_no"], "left") if cuts else rows.withColumn("part", none("int"))
+    dealt = rows.join(cuts.hint("merge"), ["key", "grain_no"], "left") if cuts else rows.withColumn("part", none("int"))
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(n for _, n in largest.values()) // most))
     flags = sum((F.when(F.col(c).isNotNull(), bit).otherwise(0) for c, bit in (("id", ID), ("seq", SEQ), ("key", KEY), ("at", AT), ("part", SLICED))), F.lit(0))
     zero = lambda c, t: F.coalesce(F.col(c), F.lit(0)).cast(t).alias(c)
@@ -248,12 +248,12 @@ def _joined(found: DataFrame) -> DataFrame:
     spots = facts.select("key", "batch", "part").distinct()
     whole = Window.partitionBy("key", "batch")
     before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    seen = spots.join(slices, ["key", "batch", "part"], "full")
+    seen = spots.join(slices.hint("merge"), ["key", "batch", "part"], "full")
     seen = seen.withColumn("latest", F.max(F.when(F.col("olds") > 0, F.col("part"))).over(whole))
     seen = seen.withColumn("held", F.coalesce(F.sum("n").over(whole), F.lit(0)) - F.greatest(F.coalesce(F.sum("olds").over(whole), F.lit(0)) - 1, F.lit(0)))
     lives = F.col("last").isNotNull() & ~(F.col("old") & (F.col("part") < F.col("latest")))
     seen = seen.withColumn("earlier", F.last(F.when(lives, F.col("last")), True).over(before)).select("key", "batch", "part", "latest", "held", "earlier")
-    both = facts.join(seen, ["key", "batch", "part"])
+    both = facts.join(seen.hint("merge"), ["key", "batch", "part"])
     here = F.col("hit") & ~(F.col("old") & (F.col("part") < F.coalesce("latest", F.lit(-1))))
     return both.select("rec", "id", "batch", F.col("held").alias("n"), F.when(here, F.col("version_id")).otherwise(F.when(F.col("timed"), F.col("earlier.version_id"))).alias("version_id"), F.when(here, F.col("payload")).otherwise(F.when(F.col("timed"), F.col("earlier.payload"))).alias("payload"))
 
