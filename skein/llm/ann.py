@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import table, write_table
-from .vectors import best, classes, usable
+from .vectors import best, classes, first_of, usable
 
 #: Vectors that fit the lists and the queries' first bounds: a bounded sample, the smallest by hash.
 SAMPLE = 16_384
@@ -67,8 +67,8 @@ def fit(sample: np.ndarray, rows: int, k: int, seed: int = 7) -> dict:
     return {"turn": turn, "centres": centres, "sample": x, "near": near, "probes": min(lists, max(8, math.ceil(1.5 * probes))), "k": k}
 
 
-def scan(q: np.ndarray, bound: np.ndarray, x: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, candidate, cosine): for each query the k best candidates that its bound on the squared distance doesn't rule out."""
+def scan(q: np.ndarray, bound: np.ndarray, x: np.ndarray, turn: np.ndarray, k: int, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, cosine): for each query the k best candidates, of each owner the best, that its bound on the squared distance doesn't rule out."""
     a, b = _unit(q) @ turn, _unit(x) @ turn
     dims = a.shape[1]
     limit = bound * (1 + 1e-9) + 1e-12
@@ -83,6 +83,7 @@ def scan(q: np.ndarray, bound: np.ndarray, x: np.ndarray, turn: np.ndarray, k: i
         i, j, far, d = i[keep], j[keep], far[keep], e
     score = cosine(q, x, i, j)
     order = np.lexsort((j, -score, i))
+    order = order if owner is None else first_of(owner[j], order, i)
     i, j, score = i[order], j[order], score[order]
     rank = np.arange(len(i)) - np.searchsorted(i, i)
     return i[rank < k], j[rank < k], score[rank < k]
@@ -106,29 +107,29 @@ def search(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedd
     """(query_id, rank, vec_id, score): the k nearest found, by cosine, of each row whose id is divisible by `every`.
 
     All rows are indexed; SAMPLE rows fit the lists. Vectors that are null, empty, zero or hold a null or non-finite component
-    take no part, nor do rows without id; vectors are compared with those of their own length; equal rows count once, and an
-    id with several vectors stands for the greatest of them, component by component; other columns are ignored; with fewer than k candidates all are found; an empty table gives an empty result.
+    take no part, nor do rows without id; vectors are compared with those of their own length; equal rows count once; of an
+    id with several vectors the best pair counts, as query and as candidate, and it is found once; other columns are ignored; with fewer than k candidates all are found; an empty table gives an empty result.
     """
     v = F.transform(F.col("v"), lambda x: x.cast("double"))
     used = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null").where(usable(F.col("v")))
     used = used.where(F.exists("v", lambda x: x != 0)).select("id", v.alias("v"))
-    reps, members = classes(used, k)
+    reps, members, odd = classes(used, k)
     asked = members.where(F.col("id") % every == 0)
     wanted = write_table(asked.select("rep").distinct().join(reps.select("rep", "v"), "rep"), "queries")
     found = None
     for (dims,) in reps.select(F.size("v")).distinct().collect():
-        part = _search(reps.where(F.size("v") == dims), wanted.where(F.size("v") == dims), k)
+        part = _search(reps.where(F.size("v") == dims), wanted.where(F.size("v") == dims), k, odd)
         found = part if found is None else found.union(part)
     if found is None:
         found = rows.sparkSession.createDataFrame([], "rep long, hit long, score double")
-    return best(found, asked, reps, k)
+    return best(found, asked, reps, k, odd)
 
 
-def _search(reps: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+def _search(reps: DataFrame, wanted: DataFrame, k: int, odd: bool) -> DataFrame:
     spark = reps.sparkSession
     rows, queries = reps.count(), wanted.count()
-    sample = matrix(reps.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toArrow()["v"])
-    model = spark.sparkContext.broadcast(fit(sample, rows, k))  # at most SAMPLE + 1024 vectors
+    sample = matrix(reps.where("main").select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toArrow()["v"])
+    model = spark.sparkContext.broadcast(fit(sample, rows, k + odd))  # at most SAMPLE + 1024 vectors
     lists, probes = len(model.value["centres"]), model.value["probes"]
 
     def assign(batches):
@@ -136,9 +137,9 @@ def _search(reps: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 near = np.argmax(_unit(matrix(b["v"])) @ m["turn"] @ m["centres"].T, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), b["rep"], b["v"]], ["list", "rep", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), b["rep"], b["owner"], b["v"]], ["list", "rep", "owner", "v"])
 
-    index = write_table(reps.select("rep", "v").mapInArrow(assign, "list int, rep long, v array<double>"), "lists")
+    index = write_table(reps.select("rep", "owner", "v").mapInArrow(assign, "list int, rep long, owner long, v array<double>"), "lists")
     sizes = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most LISTS rows
     blocks = [math.ceil(sizes.get(i, 0) / BLOCK) for i in range(lists)]
     shares = max(1, math.ceil(queries * probes / lists / SHARE))
@@ -171,11 +172,11 @@ def _search(reps: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         m = model.value
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if asked.num_rows and held.num_rows:
-            held = held.sort_by("rep")  # ties go to the smaller id
+            held = held.sort_by("owner")  # ties go to the smaller id
             x, names, who = matrix(held["v"]), held["rep"].to_numpy(), asked["rep"].to_numpy()
             q, bound = matrix(asked["v"]), asked["bound"].to_numpy()
             for at in range(0, len(q), QUERIES):
-                i, j, score = scan(q[at : at + QUERIES], bound[at : at + QUERIES], x, m["turn"], k + 1)
+                i, j, score = scan(q[at : at + QUERIES], bound[at : at + QUERIES], x, m["turn"], k + 1, held["owner"].to_numpy() if odd else None)
                 out.append((who[at + i], names[j], score))
         return pa.table({"rep": np.concatenate([o[0] for o in out]), "hit": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
 

@@ -24,6 +24,7 @@ ORACLE_SQL = {
     "op3_quote_links": chat.ORACLE,
     "op4_mix_sources": mixing.ORACLE,
     "op8_line_runs": lines.ORACLE,
+    "op10_ball_tree": topk.ORACLE,
     "op11_path_templates": urls.ORACLE,
     "op12_bucket_state": validtime.ORACLE,
     "op13_annular_codes": codes.ORACLE,

@@ -21,6 +21,20 @@ def rows_of(seed=0, n=900, dims=24):
     return [(*r, 1, 2) for r in rows]
 
 
+def test_recall_where_few_lists_are_probed(spark, monkeypatch):
+    """Clustered vectors, 48 lists of which a part is probed; all pairs tell the true neighbours."""
+    rng = np.random.default_rng(9)
+    x = (np.repeat(rng.normal(size=(48, 16)), 80, axis=0) + rng.normal(scale=0.35, size=(3840, 16))).astype(np.float32)
+    probed, fit = [], ann.fit
+    monkeypatch.setattr(ann, "BLOCK", 80)
+    monkeypatch.setattr(ann, "fit", lambda *a, **b: (probed.append(m := fit(*a, **b)), m)[1])
+    got = by_query(ann.search(spark.createDataFrame([(i, v.tolist(), 1, 2) for i, v in enumerate(x)], SCHEMA)).collect())
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    found = sum(len({i for i, _ in hits} & set(np.argsort(-np.where(np.arange(len(x)) == q, -2, unit @ unit[q]))[:5].tolist())) for q, hits in got.items())
+    print(f"recall {found / (5 * len(got)):.4f} with {probed[0]['probes']} of {len(probed[0]['centres'])} lists probed")
+    assert probed[0]["probes"] < len(probed[0]["centres"]) and found >= 0.95 * 5 * len(got)
+
+
 def usable(rows, zero):
     out = {}
     for i, v, *_ in rows:
@@ -49,12 +63,29 @@ def test_exact_search(spark):
     assert topk.search(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_one_id_with_two_vectors(spark):
-    """The greatest counts, as query and as candidate."""
-    rows = [(0, [1.0, 0.0], 1, 2), (0, [0.0, 1.0], 1, 2), (0, [0.0, 1.0], 1, 2), (1, [1.0, 0.5], 1, 2), (2, [0.5, 1.0], 1, 2)]
-    for search in (topk.search, ann.search):
-        got = sorted((r["rank"], r.vec_id) for r in search(spark.createDataFrame(rows, SCHEMA)).collect())
-        assert got == [(1, 1), (2, 2)]
+def test_one_id_with_several_vectors(spark):
+    """The best pair of vectors counts, as query and as candidate, whatever the order of rows; many vectors of one id don't push others out."""
+    rows = [(1, [0.9, 0.0]), (1, [0.0, 9.0]), (100, [0.0, 1.0])]
+    for order in (rows, rows[::-1]):
+        got = topk.search(spark.createDataFrame([(*r, 1, 2) for r in order], SCHEMA)).collect()
+        assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(100, 1, 1, 589_824)]
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 6)).astype(np.float32)
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.integers(0, 130, 400), x, strict=True)]
+    rows += [(7, (x[3] + e).tolist()) for e in rng.normal(scale=0.01, size=(60, 6)).astype(np.float32)] + rows[:20] + [(200 + i, rows[5][1]) for i in range(9)]
+    cosine = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    for search, score, as_v in ((topk.search, lambda a, b: int(a @ b), lambda v: np.floor(v * 256)), (ann.search, cosine, lambda v: v)):
+        pairs = {}
+        vectors = [(i, as_v(np.array(v, dtype=np.float32).astype(float))) for i, v in rows]
+        for i, a in vectors:
+            for j, b in vectors if i % 50 == 0 else ():
+                if i != j:
+                    pairs.setdefault(i, {})[j] = max(pairs.get(i, {}).get(j, -(2**62)), score(a, b))
+        got = by_query(search(spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA)).collect())
+        assert set(got) == set(pairs)
+        for q, hits in got.items():
+            want = sorted(pairs[q].items(), key=lambda h: (-round(h[1], 9), h[0]))[:5]
+            assert [h[0] for h in hits] == [h[0] for h in want] and np.allclose([h[1] for h in hits], [h[1] for h in want])
 
 
 @pytest.mark.parametrize("lists", [1, 24])
@@ -78,6 +109,9 @@ def test_no_ball_is_cut_wrongly():
     for q in np.floor(rng.normal(size=(20, 16)) * 256):
         got = topk.branch_and_bound(q[None], np.array([-np.inf]), x, np.arange(700), 6)[0]
         assert got == [(-s, i) for s, i in sorted((-int(q @ v), i) for i, v in enumerate(x))[:6]]
+        names = np.arange(700) // 7
+        got = topk.branch_and_bound(q[None], np.array([-np.inf]), x, names, 6, shared=True)[0]
+        assert [(s, names[i]) for s, i in got] == [(-s, i) for s, i in sorted((-int((x[7 * i : 7 * i + 7] @ q).max()), i) for i in range(100))[:6]]
 
 
 def test_recall_and_scores(spark):
