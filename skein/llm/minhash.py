@@ -6,8 +6,8 @@ hashes, and a document is done once every slot holds less than the next step, af
 
 Equal sets form one class and are compared once. A bucket of a band first compares its members with one of them, the
 hub; what those links join needs no more comparing. Members of different components then make pairs, in small buckets directly and in large
-ones through the rarest fifth of their shingles, of which two sets so similar share at least one: no link is lost, and a bucket of many copies
-never makes all its pairs.
+ones through the rarest fifth of their shingles, of which two sets so similar share at least one: of the pairs that share a band, one in 10**7 at similarity 0.8 is lost by the sketch that
+precedes the check, no other, and a bucket of many copies never makes all its pairs.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .base import drop_table, release, small_batches, table, write_table
 from .bpe import _slices
 from .components import components
+from .vectors import unused
 
 SLOTS, ROWS = 128, 4
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -122,6 +123,11 @@ def _sums(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _fingerprints(doc: np.ndarray, s: np.ndarray, n: int) -> list[np.ndarray]:
+    """Two sums of 64 bits that tell the set of each document."""
+    return [_sums(doc, _mix(s ^ _U(c)), n).view(np.int64) for c in (0x243F6A8885A308D3, 0x13198A2E03707344)]
+
+
 def sign(docs: DataFrame, *, shingle: int, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, rows: int = ROWS) -> DataFrame:
     """(id, n, f1, f2, *SKETCH, keys): set size, 128-bit fingerprint of the set, a sketch of the slots, and one key a band (null for an empty set)."""
 
@@ -139,7 +145,7 @@ def sign(docs: DataFrame, *, shingle: int, id_col: str = "doc_id", text_col: str
             lists = pa.array([None], lists.type).take(pa.array([0] * count)) if not n.any() else pc.if_else(pa.array(n > 0), lists, pa.scalar(None, lists.type))
             four = (_mix(top) & _U(15)).reshape(count, len(SKETCH), -1) << (_U(4) * np.arange(slots // len(SKETCH), dtype=_U))
             sketch = [pa.array(c) for c in np.bitwise_or.reduce(four, axis=2).view(np.int64).T]
-            f1, f2 = (_sums(doc, _mix(s ^ _U(c)), count).view(np.int64) for c in (0x243F6A8885A308D3, 0x13198A2E03707344))
+            f1, f2 = _fingerprints(doc, s, count)
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(n.astype(np.int64)), pa.array(f1), pa.array(f2), *sketch, lists], ["id", "n", "f1", "f2", *SKETCH, "keys"])
         _hashes().clear()  # workers go on to other tasks
         release()
@@ -148,19 +154,20 @@ def sign(docs: DataFrame, *, shingle: int, id_col: str = "doc_id", text_col: str
     return picked.mapInArrow(run, "id long, n long, f1 long, f2 long, " + " long, ".join(SKETCH) + " long, keys array<long>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, *, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, shingles) for the documents whose id is in ids."""
+def full_sets(docs: DataFrame, ids: DataFrame, *, shingle: int, id_col: str, text_col: str, told: bool = False) -> DataFrame:
+    """(id, shingles) for the documents whose id is in ids, with f1 and f2 where `told`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches, "text"):
             doc, s = shingle_sets(b["text"].to_pylist(), shingle)
             offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b.num_rows))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b["id"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(s.view(np.int64)))], ["id", "shingles"])
+            marks = [pa.array(f) for f in _fingerprints(doc, s, b.num_rows)] if told else []
+            yield pa.RecordBatch.from_arrays([b["id"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(s.view(np.int64))), *marks], ["id", "shingles", *("f1", "f2")[: len(marks)]])
         _hashes().clear()
         release()
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return picked.join(ids, "id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
+    return picked.join(ids, "id", "left_semi").mapInArrow(run, "id long, shingles array<long>" + ", f1 long, f2 long" * told)
 
 
 def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
@@ -197,6 +204,27 @@ def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
     return sets.mapInArrow(first, "rep long, rarer int, shingle long")
 
 
+def _classes(slim: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """((f1, f2, n, lead, rep), links (u, v) of representatives or None): the distinct sets of slim (id, n, f1, f2), with the least id that has them.
+
+    Where every id has one set, the least id represents it. Else each set is represented by a number of its own that is no id, and the sets of one id are linked.
+    """
+    own = slim.where("n > 0 and id is not null")
+    several = own.groupBy("id").agg(*(f(c).alias(f"{k}{c}") for c in ("f1", "f2", "n") for k, f in (("a", F.min), ("b", F.max)))).where("af1 <> bf1 or af2 <> bf2 or an <> bn").select("id")
+    several = write_table(several, "several-sets")
+    classes = own.groupBy("f1", "f2", "n").agg(F.min("id").alias("lead"))
+    if several.isEmpty():
+        drop_table(several)
+        return write_table(classes.withColumn("rep", F.col("lead")), "classes"), None
+    numbers = write_table(classes, "sets-of-ids")
+    start, step = unused(own, "id")
+    classes = write_table(numbers.withColumn("rep", F.lit(start) + step * F.monotonically_increasing_id()), "classes")
+    both = write_table(own.join(several, "id", "left_semi").join(classes, ["f1", "f2", "n"]).select("id", "rep").distinct(), "sets-by-id")
+    tied = write_table(both.join(both.groupBy("id").agg(F.min("rep").alias("v")), "id").where("rep <> v").select(F.col("rep").alias("u"), "v"), "tied")
+    drop_table(several, numbers, both)
+    return classes, tied
+
+
 def near_duplicates(
     docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, rows: int = ROWS
 ) -> DataFrame:
@@ -204,25 +232,34 @@ def near_duplicates(
 
     With 32 bands of 4 slots a pair at similarity 0.8 shares no band once in 2 * 10**7; every pair that shares one is
     decided on its full sets, unless links already join the two. Sets are held as 64-bit hashes of shingles.
-    Defined cases: null and empty texts have no shingles and link with nothing; ids name documents, rows repeated with one
-    id are one document; a row without id links with nothing and is kept; an empty table gives an empty result; other columns are ignored.
+    Defined cases: null and empty texts have no shingles and link with nothing; ids name documents: rows with one id are one document, which all
+    its texts link, also where they differ, and each row tells the size of its own set; a row without id links with nothing and is kept; an empty table gives an empty result; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     signed = write_table(sign(docs, shingle=shingle, id_col=id_col, text_col=text_col, slots=slots, rows=rows), "signed")
     own = signed.where("n > 0 and id is not null")
-    classes = write_table(own.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), "classes")
-    reps = write_table(own.join(classes, ["f1", "f2", "n"]).where("id = rep").select("rep", "n", *SKETCH, "keys").dropDuplicates(["rep"]), "reps")
     slim = write_table(signed.select("id", "n", "f1", "f2"), "fingerprints")
+    classes, tied = _classes(slim)
+    reps = write_table(own.join(classes, ["f1", "f2", "n"]).where("id = lead").select("rep", "n", *SKETCH, "keys").dropDuplicates(["rep"]), "reps")
     drop_table(signed)
     bands = reps.select("rep", "n", *SKETCH, F.explode("keys").alias("key"))
     shared = write_table(bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", "hub"), "buckets")
     members = write_table(bands.join(shared, "key").select("key", "rep", "n", *SKETCH, "hub"), "members")
     drop_table(reps, shared)
 
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """(id, shingles) of the representatives in ids (id)."""
+        if tied is None:  # an id tells its text
+            return full_sets(docs, ids, shingle=shingle, id_col=id_col, text_col=text_col).dropDuplicates(["id"])
+        wanted = classes.join(ids.select(F.col("id").alias("rep")), "rep", "left_semi")
+        found = full_sets(docs, wanted.select(F.col("lead").alias("id")).distinct(), shingle=shingle, id_col=id_col, text_col=text_col, told=True)
+        found = found.withColumn("n", F.size("shingles").cast("long")).join(wanted.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"])
+        return found.select(F.col("rep").alias("id"), "shingles").dropDuplicates(["id"])
+
     def links(pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) that are similar enough."""
         ids = write_table(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), "pair-ids")
-        sets = write_table(full_sets(docs, ids, shingle=shingle, id_col=id_col, text_col=text_col).dropDuplicates(["id"]), "sets")
+        sets = write_table(sets_of(ids), "sets")
         with_u = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u")
         both = with_u.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
         both = both.withColumn("common", F.size(F.array_intersect("a", "b")))
@@ -232,6 +269,7 @@ def near_duplicates(
 
     hubs = write_table(members.where("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct(), "hub-pairs")
     found = links(hubs)
+    found = found if tied is None else found.union(tied)
     comp = write_table(components(found), "components")
     at = members.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("hub", "component")
     at = write_table(at, "placed")
@@ -252,8 +290,7 @@ def near_duplicates(
 
     # sets this similar share one of their 20 % rarest shingles, whatever the order of shingles is, if only it is one for all sets
     crowd = write_table(unsettled.where("not direct").select("rep", "n", *SKETCH, "c").distinct(), "crowd")
-    told = full_sets(docs, crowd.select(F.col("rep").alias("id")), shingle=shingle, id_col=id_col, text_col=text_col).dropDuplicates(["id"])
-    told = write_table(told, "crowd-sets")
+    told = write_table(sets_of(crowd.select(F.col("rep").alias("id"))), "crowd-sets")
     rare = rare_shingles(told, percent)
     rare = write_table(rare.join(crowd, "rep"), "rare")
     drop_table(told, crowd)
@@ -262,9 +299,13 @@ def near_duplicates(
     more = links(fresh)
     drop_table(unsettled, rare, fresh)
     comp = write_table(components(found.union(more)), "components")
-    placed = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id"))
-    placed = write_table(placed, "placed")
-    drop_table(hubs, found, more, classes, comp)
+    placed = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", "n", "lead", F.coalesce("component", "rep").alias("component_id"))
+    if tied is not None:  # representatives aren't ids
+        placed = write_table(placed, "unnamed")
+        names = placed.groupBy("component_id").agg(F.min("lead").alias("named"))
+        placed = placed.join(names, "component_id").withColumn("component_id", F.col("named"))
+    placed = write_table(placed.select("f1", "f2", "n", "component_id"), "placed")
+    drop_table(hubs, found, more, classes, comp, tied)
     out = slim.join(placed, ["f1", "f2", "n"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(

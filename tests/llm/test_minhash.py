@@ -28,6 +28,10 @@ def brute(rows, k, percent=80):
             both = len(sets[a] & sets[b])
             if rows[a][0] is not None and rows[b][0] is not None and both and 100 * both >= percent * len(sets[a] | sets[b]):
                 up[find(a)] = find(b)
+    first = {}
+    for a in range(len(rows)):
+        if rows[a][0] is not None and sets[a]:  # the rows of one id are one document
+            up[find(a)] = find(first.setdefault(rows[a][0], a))
     groups = {}
     for a in range(len(rows)):
         groups.setdefault(find(a), []).append(rows[a][0])
@@ -60,6 +64,37 @@ def test_groups_equal_brute_force(docs_of, monkeypatch, direct):
     assert answer(minhash.near_duplicates(docs_of(rows), shingle=4)) == brute(rows, 4)
 
 
+@pytest.mark.parametrize("direct", [0, 500])
+def test_one_id_with_several_texts(docs_of, monkeypatch, direct):
+    """Every text of an id links, and all of them are one document, whatever the order of rows."""
+    monkeypatch.setattr(minhash, "DIRECT", direct)
+    a, b = ([f"{x}{i}" for i in range(80)] for x in "ab")
+    rows = [(1, " ".join(a), "s"), (1, " ".join(b), "s"), (2, " ".join([*a[:-1], "z"]), "s"), (3, " ".join([*b[:-1], "z"]), "s"), (0, "another text of no other id at all", "s"), (1, "", "s")]
+    assert [r[2] for r in brute(rows, 4)] == [0, 1, 1, 1, 1, 1]
+    for order in (rows, rows[::-1]):
+        assert answer(minhash.near_duplicates(docs_of(order), shingle=4)) == brute(order, 4)
+    rng = random.Random(4)
+    more = [(rng.randrange(100, 150) if rng.random() < 0.3 else i, t, s) for i, t, s in copies(seed=6, groups=8, each=9)] + rows
+    rng.shuffle(more)
+    assert answer(minhash.near_duplicates(docs_of(more), shingle=4)) == brute(more, 4)
+
+
+def test_bands_and_sketches_keep_pairs_at_the_limit():
+    """20,000 pairs at similarity 0.8 with 4 of 5 to 80 of 100 shingles."""
+    rng = np.random.default_rng(12)
+    for common, n in ((4, 5), (8, 10), (16, 20), (80, 100)):
+        each, pairs = (common + n) // 2, 5000
+        left, right = (n - common + 1) // 2, (n - common) // 2
+        x = rng.integers(0, 2**63, (pairs, n)).astype(np.uint64)
+        sides = x[:, : common + left], np.concatenate([x[:, :common], x[:, common + left : common + left + right]], axis=1)
+        a, b = (minhash.signatures(np.repeat(np.arange(pairs), s.shape[1]), s.reshape(-1), pairs) for s in sides)
+        bands = (a == b).reshape(pairs, minhash.ROWS, -1).all(axis=1)
+        mixed = [(minhash._mix(t) & np.uint64(15)) for t in (a, b)]
+        apart = (mixed[0] != mixed[1]).sum(axis=1)
+        assert each >= common and bands.any(axis=1).all() and apart.max() <= minhash.DIFFER
+        print(f"{common} of {n}: slots that differ {apart.max()} at most")
+
+
 def test_odd_rows(docs_of):
     for k in (4, 5):
         got = minhash.near_duplicates(docs_of(ODD, extra=True), shingle=k)
