@@ -1,9 +1,9 @@
 """Personal data by pattern, and terms that give it away by information-theoretic sanitisation.
 
 Patterns find the protected entities. Over the whole corpus, the different contexts of an entity that hold a term are counted against
-the documents that hold the term away from the entity; a term discloses the share PMI(term, entity) / IC(entity) of what
-there is to know about the entity. The chance of the entity given the term is smoothed, so that few observations count for less but
-rare entities can have terms. Terms that disclose more than the threshold are marked wherever they stand.
+the documents that hold the term away from the entity. What a term discloses is the chance of the entity given the term, that is 2 to the power of its pointwise mutual information with the
+entity less the entity's own information content; of that chance the lower end of a confidence interval counts, which means the same in a corpus of any size and which few observations can't raise. Terms
+from a first threshold on are generalised, those from a second on removed, wherever they stand.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from .base import drop_table, release, small_batches, table, write_table
 from .bpe import _slices
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side that count as near, and the share of an entity's information that a term may give.
-NEAR, DISCLOSED = 6, 0.9
-#: What is added to the observations for and against an entity given a term (Jeffreys' prior).
-PRIOR = 0.5
+#: Words on each side that count as near, and the chances of an entity given a term from which the term is generalised, and removed.
+NEAR, DISCLOSED, REMOVED = 6, 0.5, 0.8
+#: Deviates of the lower end of the chance's interval (Wilson's, 90 % one-sided), and different contexts that a term needs at least.
+DEVIATES, CONTEXTS = 1.2816, 2
 #: Positions of the table of word hashes that workers get: 4 MB at most, whatever the corpus.
 POSITIONS = 1 << 22
 
@@ -122,11 +122,17 @@ class _Held(dict):
         return got
 
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", disclosed: float = DISCLOSED, redacted: bool = False) -> DataFrame:
+def disclosure(contexts, away):
+    """The lower end of the chance of an entity given a term that stands in so many contexts of it and so many documents away from it."""
+    n, z = contexts + away, DEVIATES * DEVIATES
+    return (contexts + z / 2 - DEVIATES * (contexts * away / n + z / 4) ** 0.5) / (n + z)
+
+
+def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", disclosed: float = DISCLOSED, removed: float = REMOVED, redacted: bool = False) -> DataFrame:
     """(id_col, n_email, n_ip, n_card, n_phone, base, spans[, clean]) for every row.
 
-    base and spans are comma-joined kind:start:end; spans adds term:start:end after the others. With `redacted`, clean is the text
-    with entities and terms replaced by their kind in brackets. Defined cases: null is read as the empty text and has no
+    base and spans are comma-joined kind:start:end; spans adds hint:start:end and term:start:end after the others, for terms that disclose from `disclosed` and from `removed` on. With `redacted`, clean is the text
+    with entities and hints replaced by their kind in brackets, and terms left out. Defined cases: null is read as the empty text and has no
     spans (clean stays null); rows without id keep theirs; repeated rows get equal results and each counts as a document; an entity that
     every document holds is no secret; an empty table gives an empty result; other columns are ignored.
     """
@@ -178,10 +184,9 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dis
         terms = write_table(rows.mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("with_term")), "terms")
         entities = joint.where("term = ''").select("entity", F.col("both").alias("with_entity"))
         told = pairs.join(entities, "entity").join(terms, "term").where(F.col("with_entity") < total)
-        # the entity given the term: different contexts of both (copies are one) against documents with the term away from the entity
-        given = (F.col("contexts") + PRIOR) / (F.col("contexts") + F.col("with_term") - F.col("both") + 2 * PRIOR)
-        pmi = F.log(F.lit(float(total)) * given / F.col("with_entity"))
-        told = write_table(told.where(pmi >= disclosed * F.log(F.lit(float(total)) / F.col("with_entity"))).select("term").distinct(), "disclosing")
+        # different contexts of both (copies are one) against documents with the term away from the entity
+        told = told.where(F.col("contexts") >= CONTEXTS).select("term", disclosure(F.col("contexts"), F.greatest(F.col("with_term") - F.col("both"), F.lit(0))).alias("chance"))
+        told = write_table(told.where(F.col("chance") >= disclosed).groupBy("term").agg((F.max("chance") >= removed).alias("out")), "disclosing")
         if (few := _positions(told)) is not None:
             narrow = spark.sparkContext.broadcast(few)  # POSITIONS bytes
 
@@ -192,8 +197,8 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dis
                     at = pa.array([o[0] for o in out], pa.int64())
                     yield pa.RecordBatch.from_arrays([b["id"].take(at), b["th"].take(at), *(pa.array([o[c] for o in out], t) for c, t in ((1, pa.string()), (2, pa.int64()), (3, pa.int64())))], ["id", "th", "term", "a", "b"])
 
-            hits = rows.mapInArrow(mark, f"id {id_type}, th long, term string, a long, b long").join(told, "term").select("id", "th", "a", "b").distinct()
-            marks = hits.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("marks"))
+            hits = rows.mapInArrow(mark, f"id {id_type}, th long, term string, a long, b long").join(told, "term").select("id", "th", "a", "b", "out").distinct()
+            marks = hits.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("a", "b", "out"))).alias("marks"))
         drop_table(terms)
     drop_table(joint)
     if marks is None:
@@ -201,7 +206,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dis
     else:
         marks = write_table(marks, "marks").select(F.col("id").alias("mark_id"), F.col("th").alias("mark_th"), "marks")
         out = found.join(marks, F.col("id").eqNullSafe(F.col("mark_id")) & (F.col("th") == F.col("mark_th")), "left")
-        more = F.array_join(F.transform("marks", lambda m: F.concat(F.lit("term:"), m["a"], F.lit(":"), m["b"])), ",")
+        more = F.array_join(F.transform("marks", lambda m: F.concat(F.when(m["out"], "term:").otherwise("hint:"), m["a"], F.lit(":"), m["b"])), ",")
         out = out.withColumn("spans", F.concat_ws(",", F.nullif("base", F.lit("")), more))
     cols = [*(f"n_{k}" for k in KINDS), "base", "spans"]
     if redacted:
@@ -219,7 +224,7 @@ def _redact(text: pd.Series, spans: pd.Series) -> pd.Series:
         out, at = [], 0
         for a, b, kind in sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in s.split(","))):
             if a >= at:
-                out += [t[at:a], f"[{kind.upper()}]"]
+                out += [t[at:a], "" if kind == "term" else f"[{kind.upper()}]"]
             at = max(at, b)
         return "".join([*out, t[at:]])
 
