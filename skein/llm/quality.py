@@ -169,9 +169,9 @@ def held_out(id_: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = LABELLED) -> Additive:
-    """Fit on at most `most` labelled rows (a documented bound), the smallest by hash of the id, held-out ids left out.
+    """Fit on at most `most` labelled ids and at most as many rows (documented bounds), both the smallest by hash, held-out ids left out.
 
-    Rows without label or id are ignored; repeated rows count as often as they stand there.
+    Rows without label or id are ignored; texts of one id with equal features and label are one row, so that an id that stands often doesn't outweigh the others.
     """
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("y is not null and id is not null").where(~held_out(F.col("id")))
     marks = write_table(marks.orderBy(F.xxhash64("id"), "id", "y").limit(most), "labelled")
@@ -182,9 +182,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([b["id"], b["y"], pa.array(rows, pa.list_(pa.float64()))], ["id", "y", "x"])
 
     small_batches(docs.sparkSession)
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "id")  # at most `most` ids
+    picked = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).join(F.broadcast(marks), "id")  # at most `most` ids
     id_type = docs.schema[id_col].dataType.simpleString()
-    got = picked.mapInArrow(run, f"id {id_type}, y double, x array<double>").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
+    told = picked.mapInArrow(run, f"id {id_type}, y double, x array<double>").dropDuplicates(["id", "y", "x"])
+    got = told.orderBy(F.xxhash64("id", "y", "x"), "id", "y", "x").limit(most).toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
     rows = np.array(got["x"].to_pylist(), dtype=float).reshape(-1, len(FEATURES))
     order = np.lexsort((*rows.T[::-1], got["y"].to_numpy()))  # sums of doubles then don't depend on the order of rows
     return Additive().fit(rows[order], got["y"].to_numpy()[order])

@@ -48,3 +48,15 @@ def test_odd_rows(spark, docs_of):
     assert quality.classify(docs_of([]), model).collect() == []
     again = quality.classify(docs, quality.train(docs.repartition(7), labels.repartition(3))).collect()
     assert sorted((str(r.doc_id), r.score) for r in again) == sorted((str(r.doc_id), r.score) for r in got)
+
+
+def test_an_id_that_stands_often_is_bounded(spark, docs_of, monkeypatch):
+    """20,000 rows of one id, all different, and of another all equal: at most `most` rows reach the driver, whatever the partitioning."""
+    often = spark.range(20_000).selectExpr("1L as doc_id", "concat('word ', repeat('x ', cast(id % 300 as int)), id) as text").union(spark.range(5000).selectExpr("2L", "'the same words again'"))
+    docs = often.union(docs_of([(i, f"some text of {i} words here", "s") for i in range(3, 60)]).select("doc_id", "text"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, quality int")
+    seen, fit = [], quality.Additive.fit
+    monkeypatch.setattr(quality.Additive, "fit", lambda self, x, y: (seen.append((len(x), x.tolist())), fit(self, x, y))[1])
+    quality.train(docs, labels, most=100)
+    quality.train(docs.repartition(5), labels, most=100)
+    assert seen[0] == seen[1] and seen[0][0] <= 100
