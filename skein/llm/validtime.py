@@ -162,17 +162,21 @@ def _resolve(facts: pd.DataFrame, v: pd.DataFrame, batch: int) -> Iterator[pd.Da
         )
 
 
-def _cut(feed: DataFrame, most: int, grain: int) -> DataFrame | None:
-    """(key, grain_no, part) of the keys with more than `most` rows, their time cut into parts of about that many; None where there are none.
+#: Slots of the filter that tells rows of keys with many rows before they are counted by grain; a text of one character each.
+SLOTS = 1 << 15
+
+
+def _cut(feed: DataFrame, most: int) -> DataFrame:
+    """(key, grain_no, part) of the keys with more than `most` rows, their time cut into parts of about that many.
 
     A key's window holds a row for each grain of its time, whatever its rows. A row without time is dealt to one of 64 grains before all times.
     """
-    busy = feed.where("key is not null").groupBy("key").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > most).select("key")
-    busy = write_table(busy, "busy-keys")
-    if busy.isEmpty():
-        drop_table(busy)
-        return None
-    grains = feed.join(busy.hint("merge"), "key", "left_semi").groupBy("key", "grain_no").agg(F.count("*").alias("n_rows"))
+    slot = F.pmod(F.xxhash64("key"), F.lit(SLOTS)).cast("int")
+    busy = write_table(feed.where("key is not null").groupBy("key").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > most).select("key"), "busy-keys")
+    marks = ["0"] * SLOTS
+    for (x,) in busy.select(slot).distinct().collect():  # SLOTS at most
+        marks[x] = "1"
+    grains = feed.where(F.substring(F.lit("".join(marks)), slot + 1, F.lit(1)) == "1").groupBy("key", "grain_no").agg(F.count("*").alias("n_rows")).join(busy.hint("merge"), "key", "left_semi")
     before = F.sum("n_rows").over(Window.partitionBy("key").orderBy("grain_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_rows")
     parts = write_table(grains.select("key", "grain_no", F.floor(before / most).cast("int").alias("part")), "slices")
     drop_table(busy)
@@ -213,8 +217,9 @@ def enrich(
         ticks.append((before, below[VERSION], until))
         before = until
         seen = {k: max([x for x in (t, largest.get((k, b), (None, 0))[0]) if x is not None], default=None) for k, t in seen.items()}
-    cuts = _cut(rows, most, grain_s)
-    dealt = rows.join(cuts.hint("merge"), ["key", "grain_no"], "left") if cuts else rows.withColumn("part", none("int"))
+    cuts = _cut(rows, most)
+    sliced = not cuts.isEmpty()
+    dealt = rows.join(cuts.hint("merge"), ["key", "grain_no"], "left")
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(n for _, n in largest.values()) // most))
     flags = sum((F.when(F.col(c).isNotNull(), bit).otherwise(0) for c, bit in (("id", ID), ("seq", SEQ), ("key", KEY), ("at", AT), ("part", SLICED))), F.lit(0))
     zero = lambda c, t: F.coalesce(F.col(c), F.lit(0)).cast(t).alias(c)
@@ -226,12 +231,11 @@ def enrich(
     tick = tick.select("batch", "bucket", at(0).alias("p"), at(1).alias("c"), at(2).alias("h"))
     bits = F.when(F.col("p").isNotNull(), ID).otherwise(0) + F.when(F.col("c").isNotNull(), SEQ).otherwise(0) + F.when(F.col("h").isNotNull(), AT).otherwise(0) + F.when(F.col("batch") == batches - 1, LAST).otherwise(0)
     feed = feed.unionByName(tick.select(F.lit(TICK).alias("kind"), "bucket", zero("p", "long").alias("id"), F.lit(0).cast("long").alias("key"), F.lit(0).alias("part"), zero("h", "long").alias("at"), zero("c", "long").alias("seq"), bits.alias("flags"), none("string").alias("payload"), "batch"))
-    found = _stream(spark, feed, batches)
-    drop_table(rows, cuts)
+    found = _stream(spark, feed, batches, (rows, cuts))
     fields = StructType([f for f in versions.select(*(c.alias(n) for n, c in payload.items())).schema])
     own = free(["rec", "id", "batch", "n_held", "version_id", *payload], "taken")[0]
     whole = found.where("rec <> 'slice' and not sliced")
-    if cuts is not None:
+    if sliced:
         whole = whole.select("rec", "id", "batch", "n", "version_id", "payload").union(_joined(found))
     out = whole.select("rec", "id", "batch", F.when(F.col("rec") == "fact", F.col("n")).alias("n_held"), "version_id", F.from_json("payload", fields).alias(own))
     return out.select("rec", "id", "batch", "n_held", "version_id", *(F.col(own)[n].alias(n) for n in payload))
@@ -258,10 +262,11 @@ def _joined(found: DataFrame) -> DataFrame:
     return both.select("rec", "id", "batch", F.col("held").alias("n"), F.when(here, F.col("version_id")).otherwise(F.when(F.col("timed"), F.col("earlier.version_id"))).alias("version_id"), F.when(here, F.col("payload")).otherwise(F.when(F.col("timed"), F.col("earlier.payload"))).alias("payload"))
 
 
-def _stream(spark: SparkSession, feed: DataFrame, batches: int) -> DataFrame:
-    """FOUND of the feed: each batch's files are moved into the folder that the query reads, and the query is started once more."""
+def _stream(spark: SparkSession, feed: DataFrame, batches: int, used: tuple[DataFrame, ...]) -> DataFrame:
+    """FOUND of the feed, which is written, so that the tables it was made of can go: each batch's files are moved into the folder that the query reads, and the query is started once more."""
     own = f"{shared_dir(spark)}/skein/{spark.sparkContext.applicationId}/valid-time-{uuid.uuid4().hex}"
     feed.write.partitionBy("batch").parquet(f"{own}/staged")
+    drop_table(*used)
     files, target = _file_system(spark, own)
     files.deleteOnExit(target)
     path = lambda *at: _file_system(spark, "/".join((own, *at)))[1]
