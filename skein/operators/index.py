@@ -17,8 +17,12 @@ class Index:
     Deleting adds the files' names with the segments they hold for; nothing is rewritten until compact().
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, model: str = "", template: int = SCHEMA_VERSION):
-        self.spark, self.path, self.schema, self.model, self.template = spark, path.rstrip("/"), schema, model, template
+    def __init__(self, spark: SparkSession, path: str, schema: str, model: str = "", template: int = SCHEMA_VERSION, by: str | None = None):
+        """`by`: the column whose values are folders of a segment."""
+        self.spark, self.path, self.schema, self.model, self.template, self.by = spark, path.rstrip("/"), schema, model, template, by
+
+    def _write(self, rows: DataFrame, name: str) -> None:
+        (rows.write.partitionBy(self.by) if self.by else rows.write).parquet(f"{self.path}/{name}")
 
     def manifest(self) -> dict:
         fs = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
@@ -48,7 +52,7 @@ class Index:
         m = self.manifest()
         name = f"segment-{m['version'] + 1}"
         dims = self._dims(rows, vector, None)
-        rows.write.parquet(f"{self.path}/{name}")
+        self._write(rows, name)
         self._commit(m, segments=[name], tombstones=[], dims=dims)
 
     def add(self, rows: DataFrame, vector: str | None = None) -> None:
@@ -58,7 +62,7 @@ class Index:
         if self.needs_rebuild() or (m["dims"] is not None and dims != m["dims"]):
             return self.rebuild(rows, vector)
         name = f"segment-{m['version'] + 1}"
-        rows.write.parquet(f"{self.path}/{name}")
+        self._write(rows, name)
         self._commit(m, segments=[*m["segments"], name], dims=dims)
 
     def rows(self) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import SPACE, json_slice
+from skein.operators.phrases import phrase_hits
 from skein.operators.retrieval import word_matches
 
 
@@ -21,13 +22,14 @@ def _share(n: Column, of: Column, empty: float) -> Column:
 def coverage(names: DataFrame, pages: DataFrame) -> DataFrame:
     """One row (total, found, ratio): distinct names (name) that some page (text) contains; without names the ratio is 1.
 
-    A name without white space lies within one word, so the distinct words of all pages are asked once; other names are looked for on the pages.
+    A name without white space lies within one word, so the distinct words of all pages are asked once; other names are looked for on the pages by automata.
     """
     n = names.select("name").distinct()
-    odd = F.col("name").rlike(SPACE) | (F.col("name") == "")
+    odd = F.col("name").rlike(SPACE)
+    empty = n.where("name = ''").join(pages.where("text is not null").select("text").limit(1), F.lit(True)).select("name")  # one page that has a text holds it
     words = pages.select(F.explode(F.split("text", SPACE)).alias("word")).distinct()
-    hit = word_matches(words, n.where(~odd).withColumnRenamed("name", "keyword")).select(F.col("keyword").alias("name")).distinct()
-    hit = hit.union(n.where(odd).join(pages.select("text"), F.col("text").contains(F.col("name")), "left_semi"))
+    hit = word_matches(words, n.where(~odd & (F.col("name") != "")).withColumnRenamed("name", "keyword")).select(F.col("keyword").alias("name")).distinct()
+    hit = hit.union(phrase_hits(pages.select(F.lit(0).alias("page"), "text"), n.where(odd).withColumnRenamed("name", "keyword")).select("keyword").distinct()).union(empty)
     return n.agg(F.count("*").alias("total")).join(hit.agg(F.count("*").alias("found")), F.lit(True), "cross").select("total", "found", _share(F.col("found"), F.col("total"), 1.0).alias("ratio"))
 
 

@@ -118,8 +118,11 @@ def path_escape(path: Column, roots: list[str]) -> Column:
 
 def resolve(paths: DataFrame, roots: DataFrame, files: DataFrame) -> DataFrame:
     """(path, file): the path below the first root (place, root) that has it among files (file); null without."""
-    at = paths.select("path").distinct().crossJoin(F.broadcast(roots.limit(1000))).withColumn("file", F.concat(F.rtrim(F.regexp_replace("root", "/+$", "")), F.lit("/"), "path"))  # roots are a command's arguments
-    found = at.join(files.select("file"), "file", "left_semi").groupBy("path").agg(F.min_by("file", "place").alias("file"))
+    # each slash of a file may stand between a root and a path
+    cut = files.select("file").distinct().select("file", F.explode(F.filter(F.sequence(F.lit(1), F.greatest(F.length("file"), F.lit(1))), lambda i: F.substring("file", i, F.lit(1)) == "/")).alias("i"))
+    cut = cut.select("file", F.substring("file", F.lit(1), F.col("i") - 1).alias("root"), F.substring("file", F.col("i") + 1, F.length("file")).alias("path"))
+    at = cut.join(paths.select("path").distinct(), "path").join(roots.select("place", F.rtrim(F.regexp_replace("root", "/+$", "")).alias("root")), "root")
+    found = at.groupBy("path").agg(F.min_by("file", "place").alias("file"))
     return paths.join(found, "path", "left").select("path", "file")
 
 

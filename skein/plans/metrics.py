@@ -168,8 +168,8 @@ def rubric_leaves(spark, d):
     return M.leaves(M.rubric_nodes(c.select("tree", text.alias("text"))))
 
 
-@query("gamma_sweep", """with m as (select r_regionkey as gamma, p_partkey % (10 * (r_regionkey + 1)) as community, p_brand as domain from part, region where p_partkey < 500 and p_partkey % 7 > r_regionkey), c as (select gamma, community, count(*) as n, count(distinct domain) as d from m group by all)
+@query("gamma_sweep", """with m as (select r_regionkey as gamma, p_partkey % (10 * (r_regionkey + 1)) as community, p_brand as domain from part, region where p_partkey % 7 > r_regionkey), c as (select gamma, community, count(*) as n, count(distinct domain) as d from m group by all)
 select gamma, count(*) as communities, count(*) filter (n = 1) as singletons, max(n) as largest, round(avg(n), 6) as mean, count(*) filter (d > 1) as mixed from c group by gamma""")
 def gamma_sweep(spark, d):
-    x = table(spark, d, "part").where("p_partkey < 500").crossJoin(F.broadcast(table(spark, d, "region"))).where("p_partkey % 7 > r_regionkey")  # five regions
+    x = table(spark, d, "part").crossJoin(F.broadcast(table(spark, d, "region"))).where("p_partkey % 7 > r_regionkey")  # five regions
     return M.sweep(x.selectExpr("r_regionkey as gamma", "p_partkey % (10 * (r_regionkey + 1)) as community", "p_brand as domain"))

@@ -119,13 +119,13 @@ def resolved_paths(spark, d):
 _KEYS = "case p_partkey % 3 when 0 then 'p' || p_partkey when 1 then '/repo/p' || p_partkey else '/other/p' || p_partkey end"
 
 
-@query("recorded_hashes", f"""with s as (select p_partkey, {_KEYS} as path from part where p_partkey < 1000),
+@query("recorded_hashes", f"""with s as (select p_partkey, {_KEYS} as path from part),
 k as (select case p_partkey % 5 when 0 then 'p' || p_partkey when 1 then '/repo/p' || p_partkey when 2 then '/other/p' || p_partkey else 'q' || p_partkey end as key, p_name as hash from part)
 select path, coalesce(a.hash, b.hash, c.hash) as hash from s left join k a on a.key = path left join k b on b.key = case when starts_with(path, '/repo/') then path[7:] else path end left join k c on c.key = case when starts_with(path, '/') then path else '/repo/' || path end""")
 def recorded_hashes(spark, d):
     p = table(spark, d, "part")
     k = p.selectExpr("case p_partkey % 5 when 0 then 'p' || p_partkey when 1 then '/repo/p' || p_partkey when 2 then '/other/p' || p_partkey else 'q' || p_partkey end as path", "p_name as hash")
-    return O.recorded_hash(p.where("p_partkey < 1000").selectExpr(f"{_KEYS} as path"), k, "/repo")
+    return O.recorded_hash(p.selectExpr(f"{_KEYS} as path"), k, "/repo")
 
 
 @query("allowed_names", """with o as (select 'm' || n_regionkey as page, 'm' || (n_regionkey + 1) as name from nation union select 'm' || n_regionkey, 'k' || n_nationkey from nation)

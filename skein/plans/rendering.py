@@ -159,10 +159,10 @@ def canonical_links(spark, d):
     return R.canonical_links(n.select(F.col("n_nationkey").alias("page"), F.expr(_GUIDE).alias("text")), n.where("n_nationkey % 3 = 0").selectExpr("'src::' || n_name as module"), "en")
 
 
-@query("stack_card", """with e as (select p_brand as category, 'k' || p_partkey as name, case when p_size % 2 = 0 then '' else '1.' || p_size end as version, 'm' || p_size % 4 as manifest from part where p_partkey <= 300)
+@query("stack_card", """with e as (select p_brand as category, 'k' || p_partkey as name, case when p_size % 2 = 0 then '' else '1.' || p_size end as version, 'm' || p_size % 4 as manifest from part)
 select '' as place, count(*) || ' dependencies in ' || count(distinct manifest) || ' manifests' as line from e having count(*) > 0 union all select category || '/' || name, name || case when version = '' then '' else '@' || version end || ' (' || category || ', ' || manifest || ')' from e""")
 def stack_card(spark, d):
-    return R.stack_card(table(spark, d, "part").where("p_partkey <= 300").selectExpr("p_brand as category", "'k' || p_partkey as name", "case when p_size % 2 = 0 then '' else '1.' || p_size end as version", "'m' || p_size % 4 as manifest"))
+    return R.stack_card(table(spark, d, "part").selectExpr("p_brand as category", "'k' || p_partkey as name", "case when p_size % 2 = 0 then '' else '1.' || p_size end as version", "'m' || p_size % 4 as manifest"))
 
 
 @query("parsed_cards", "select case when s_suppkey % 3 = 0 then s_name else 'm' || s_suppkey end as module, case when s_suppkey % 3 = 0 then 'lib' else 'module' end as type, case when s_suppkey % 3 = 2 then '' else 'about' end as summary, case when s_suppkey % 3 = 1 then 2 else 0 end as dependencies, case when s_suppkey % 3 = 0 then 'e' || s_nationkey || '/' end as entities from supplier")

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.operators import retrieval as R
+from skein.operators.postings import TextIndex
+from skein.operators.vector_index import VectorIndex
 from skein.plans.common import table
 from skein.registry import query
+from skein.sources.scratch import Scratch
 
 
 @query("tokenize_documents", "select doc_id, t as term, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) as t from documents) group by all")
@@ -112,6 +115,37 @@ def page_keyword_retrieval(spark, d):
     return R.page_hits(table(spark, d, "documents").select(F.col("doc_id").alias("page"), "text"), q).withColumn("snippet", F.md5("snippet"))
 
 
+@query("phrase_retrieval", """with w as (select item_id as query, regexp_extract_all(text, '[A-Za-z0-9]+ [A-Za-z0-9]+') as w from benchmark), q as (select query, unnest(w) as keyword from w), k as (select distinct keyword from q),
+c as (select doc_id as page, keyword, ((length(text) - length(replace(text, keyword, ''))) // length(keyword))::bigint as n from documents, k where contains(text, keyword)),
+h as (select query, page, sum(n)::bigint as hits from c join q using (keyword) group by all)
+select query, page, hits, rank, md5(left(text, 3000)) as snippet from (select query, page, hits, row_number() over (partition by query order by hits desc, page) as rank from h) join documents on doc_id = page where rank <= 10""")
+def phrase_retrieval(spark, d):
+    """Keywords with white space in them."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+ [A-Za-z0-9]+"), F.lit(0))).alias("keyword"))
+    return R.page_hits(table(spark, d, "documents").select(F.col("doc_id").alias("page"), "text"), q).withColumn("snippet", F.md5("snippet"))
+
+
+def _stored_text(spark, d):
+    ix = TextIndex(spark, Scratch(spark, "text-index").folder(), {"text": 1.0})
+    ix.add(table(spark, d, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("node"), "text"))
+    return ix
+
+
+@query("stored_bm25_topk", f"with {_DOCS}, {_BM25} select * from text_hits")
+def stored_bm25_topk(spark, d):
+    """Documents are indexed once; the searches read the blocks of their terms."""
+    return _stored_text(spark, d).search(_items(spark, d))
+
+
+@query("stored_knn", f"with {_NEAR} select * from near")
+def stored_knn(spark, d):
+    """Vectors are indexed once; the searches read lists that may hold near ones."""
+    v = table(spark, d, "embeddings").select(F.coalesce("label", F.lit(-1)).cast("string").alias("file"), F.col("vec_id").alias("node"), F.col("embedding").alias("v"))
+    ix = VectorIndex(spark, Scratch(spark, "vector-index").folder())
+    ix.add(v)
+    return ix.search(v.where("node % 20 = 0").select(F.col("node").alias("query"), F.col("v").alias("q")))
+
+
 @query("containing_block", """with n as (select l_orderkey * 10 + l_linenumber as node, l_suppkey as path, l_partkey as a, l_partkey + l_linenumber as b from lineitem),
 k as (select p_partkey as block, p_partkey % (select count(*) from supplier) + 1 as path, p_partkey // 2 as ba, p_partkey + p_size as bb from part),
 i as (select n.node, arg_min(block, (bb - ba, block)) as block from n join k on n.path = k.path and ba <= a and bb >= b group by n.node) select n.node, block from n left join i using (node)""")

@@ -46,6 +46,14 @@ class Scratch:
         back._scratch = path
         return back
 
+    def folder(self) -> str:
+        """A folder for files of another kind."""
+        self._n += 1
+        files, target = self._files(f"{self.path}/{self._n}")
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+        return f"{self.path}/{self._n}"
+
     def drop(self, *tables: DataFrame | None) -> None:
         for df in tables:
             if getattr(df, "_scratch", None):
