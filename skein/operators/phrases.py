@@ -59,6 +59,7 @@ def phrase_hits(pages: DataFrame, phrases: DataFrame) -> DataFrame:
         return run
 
     for i in range(blocks if n else 0):
-        held = spark.sparkContext.broadcast(tuple(sorted(r[0] for r in phrases.where(F.pmod(F.xxhash64("keyword"), F.lit(blocks)) == i).collect())))  # one block
-        out = out.union(pages.select("page", "text").mapInArrow(scan(held), f"page {page}, keyword string, n long"))
+        block = tuple(sorted(r[0] for r in phrases.where(F.pmod(F.xxhash64("keyword"), F.lit(blocks)) == i).collect()))
+        if block:
+            out = out.union(pages.select("page", "text").mapInArrow(scan(spark.sparkContext.broadcast(block)), f"page {page}, keyword string, n long"))
     return out
