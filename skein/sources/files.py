@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.sources.ignore import Ignored, Rule, rules
 from skein.sources.output import Folder
 
 # Limits, extensions and directory names that scans go by. Noise is left out at any depth, root noise only right below the root.
@@ -63,38 +68,66 @@ def in_scope(path: Column, include: list[str], exclude: list[str]) -> Column:
     return ok & ~path.rlike("|".join(map(glob_regex, exclude))) if exclude else ok
 
 
-def _listing(spark: SparkSession, root: str, include: list[str], exclude: list[str]) -> DataFrame:
-    """(path, language, length, content) of source files below a root, of any size; paths are relative."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def _listing(spark: SparkSession, root: str, include: list[str], exclude: list[str], ignored: list[str] | None) -> DataFrame:
+    """(path, language, length, at) of source files below a root, of any size, by their names alone: nothing is opened. Paths are relative; `at` is where the file lies."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
     base = root.rstrip("/").split("://", 1)[-1]
     path = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", "^[a-z]+:(//)?", ""), "^/+", "/"), "^" + "".join("\\" + c if not c.isalnum() and c not in "/_-" else c for c in base) + "/*", "")
-    files = raw.select(T.normal_path(path).alias("path"), "length", "content").withColumn("language", language(F.col("path")))
-    return files.where(F.col("language").isNotNull() & ~is_binary(F.col("path")) & ~is_noise(F.col("path")) & in_scope(F.col("path"), list(include), exclude))
-
-
-def ignored_patterns(spark: SparkSession, root: str) -> list[str]:
-    """The patterns of the root's .gitignore, comments, blanks and exceptions left out."""
-    lines = (Folder(spark, root).get(".gitignore") or "").splitlines()  # Spark's readers pass over names that begin with a dot
-    return [x.strip() for x in lines if x.strip() and x.strip()[0] not in "#!"]
+    files = raw.select(T.normal_path(path).alias("path"), "length", F.col("path").alias("at")).withColumn("language", language(F.col("path")))
+    files = files.where(F.col("language").isNotNull() & ~is_binary(F.col("path")) & ~is_noise(F.col("path")) & in_scope(F.col("path"), list(include), exclude))
+    held = ignore_rules(spark, root) if ignored is None else {"": rules("\n".join(ignored))}
+    if not any(held.values()):
+        return files
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Ignored(held)
+        for b in batches:
+            yield b.filter(pa.array([not known.file(p) for p in b["path"].to_pylist()], pa.bool_()))
+
+    return files.mapInArrow(keep, files.schema)
+
+
+def ignore_rules(spark: SparkSession, root: str) -> dict[str, list[Rule]]:
+    """The rules of all ignore files below a root by their directory, noise left out: one look a level, as Spark's readers pass over names that begin with a dot."""
+    folder, out, level = Folder(spark, root), {}, ""
+    while True:
+        found = [str(f.getPath().toString()) for f in folder.glob(f"{level}.gitignore")]
+        for where in found:
+            below = where.rpartition("/")[0].removeprefix(folder.whole()).strip("/")
+            if not set(below.split("/")) & set(NOISE):
+                out[below] = rules(folder.get(f"{below}/.gitignore".lstrip("/")) or "")
+        level += "*/"
+        if not folder.glob(level):
+            return out
+
+
+def _contents(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """files (path, language, length, at) with their content; only these are opened. There are MOST_FILES at most."""
+    named = files.select("path", "language", "at").limit(MOST_FILES + 1).collect()
+    if len(named) > MOST_FILES:
+        raise ValueError(f"more than {MOST_FILES} source files; at most as many are read")
+    schema = "path string, language string, length long, content binary"
+    if not named:
+        return spark.createDataFrame([], schema)
+    raw = spark.read.format("binaryFile").load([re.sub(r"([\\\[\]{}*?,])", r"\\\1", r["at"]) for r in named])
+    own = spark.createDataFrame([tuple(r) for r in named], "path string, language string, at string")
+    return raw.select(F.col("path").alias("at"), "length", "content").join(F.broadcast(own), "at").select("path", "language", "length", "content")
 
 
 def scan(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = (), ignored: list[str] | None = None) -> DataFrame:
     """(path, language, length, source, sha256) of the supported source files below a root; ignored paths, oversized files and those that are no text are left
-    out (skipped() has the latter), and too many files are an error."""
-    ignored = ignored_patterns(spark, root) if ignored is None else ignored
-    files = _listing(spark, root, include, [*exclude, *ignored]).where(F.col("length") <= MOST_BYTES)
-    if (n := files.select("path").count()) > MOST_FILES:
-        raise ValueError(f"{n} source files; at most {MOST_FILES} are read")
+    out (skipped() has the latter), and too many files are an error. Ignore files count at every level, unless `ignored` has patterns instead; what is left out by its name or size is never opened."""
+    files = _contents(spark, _listing(spark, root, include, list(exclude), ignored).where(F.col("length") <= MOST_BYTES))
     source = F.expr("try_validate_utf8(content)")
     return files.select("path", "language", "length", source.alias("source"), F.sha2("content", 256).alias("sha256")).where("source is not null")
 
 
 def skipped(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = (), ignored: list[str] | None = None) -> DataFrame:
     """(path, reason) of source files that a scan leaves out: oversized, or no UTF-8 text. They count as failed."""
-    ignored = ignored_patterns(spark, root) if ignored is None else ignored
-    files = _listing(spark, root, include, [*exclude, *ignored])
-    reason = F.when(F.col("length") > MOST_BYTES, "oversized").when(F.expr("try_validate_utf8(content)").isNull(), "no text")
-    return files.select("path", reason.alias("reason")).where("reason is not null")
+    files = _listing(spark, root, include, list(exclude), ignored)
+    large = files.where(F.col("length") > MOST_BYTES).select("path", F.lit("oversized").alias("reason"))
+    odd = _contents(spark, files.where(F.col("length") <= MOST_BYTES)).where(F.expr("try_validate_utf8(content)").isNull())
+    return large.union(odd.select("path", F.lit("no text")))
 
 
 def sql_files(paths: DataFrame) -> DataFrame:

@@ -34,10 +34,10 @@ class Folder:
             out.hsync()
         finally:
             out.close()
-        if not self.files.rename(draft, target):
-            self.files.delete(target, False)
-            if not self.files.rename(draft, target):
-                raise OSError(f"{target} can't be put in place")
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.files.getUri(), self.files.getConf())
+        options = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+        options[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.valueOf("OVERWRITE")
+        context.rename(self.files.makeQualified(draft), self.files.makeQualified(target), options)
 
     def get(self, name: str) -> str | None:
         if not self.files.exists(self._path(name)):
@@ -48,6 +48,14 @@ class Folder:
         finally:
             stream.close()
 
+    def glob(self, pattern: str) -> list:
+        """Hadoop's statuses of what fits a pattern below the folder."""
+        return list(self.files.globStatus(self._path(pattern)) or ())
+
+    def whole(self) -> str:
+        """The folder's path as statuses have it."""
+        return self.files.makeQualified(self._path("")).toString().rstrip("/")
+
     def remove(self, name: str) -> bool:
         return self.files.delete(self._path(name), False)
 
