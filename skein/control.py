@@ -198,7 +198,7 @@ def run(spark: SparkSession, root: str, out: str, force: bool = False) -> Run |
         if not held:
             return None
         folder = output.Folder(spark, out)
-        known = state.load_state(f"{out}/state.json")
+        known = state.parse_state(folder.get("state.json"))
         sources = S.scan(spark, root, exclude=[os.path.relpath(out, root)] if out.startswith(root) else [])
         now = state.state_of(sources)
         old = state.fingerprints(spark, known)

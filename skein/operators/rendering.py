@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.operators.ownership import GLOBAL
+from skein.sources.scratch import Scratch
 
 
 def budget_prefix(sections: DataFrame, by: str, budget: int, order: str = "pos") -> DataFrame:
@@ -106,22 +107,56 @@ def module_sections(cards_: DataFrame, entities: DataFrame) -> DataFrame:
     return cards_.join(x, "module", "left").select("module", F.posexplode(F.array(*[F.concat(head, t) for t in texts])).alias("level", "text"))
 
 
+def greedy(items: DataFrame, budget: int, parts: int = 0) -> list[tuple[tuple, tuple | None, int]]:
+    """Which of items (bytes, module, tokens) are kept where each, the largest first, is kept if its tokens fit what is left of the budget: rounds (after, before, most), each of which keeps the
+    items between two places that have at most so many tokens.
+
+    Items are dealt to ranges of their order once. A round adds up the ranges' tokens, and goes into the one range where the budget ends; what doesn't fit there closes the round, and with it all items
+    that are larger than what is left. Only sums of ranges and one place a round reach the driver.
+    """
+    spark = items.sparkSession
+    order = (F.col("bytes").desc(), F.col("module"))
+    scratch = Scratch(spark, "budget")
+    dealt = items.select("bytes", "module", "tokens").repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+    dealt = scratch.save(dealt.withColumn("part", F.spark_partition_id()))
+    rounds, left, after = [], budget, None
+    while True:
+        rest = dealt.where(F.col("tokens") <= left)
+        if after is not None:
+            rest = rest.where((F.col("bytes") < after[0]) | ((F.col("bytes") == after[0]) & (F.col("module") > after[1])))
+        total, crossing = 0, None
+        for r in sorted(rest.groupBy("part").agg(F.sum("tokens").alias("n")).collect()):  # one row a range
+            if total + r["n"] > left:
+                crossing = r["part"]
+                break
+            total += r["n"]
+        if crossing is None:
+            rounds.append((after, None, left))
+            scratch.drop(dealt)
+            return rounds
+        sums = rest.where(F.col("part") == crossing).withColumn("upto", F.sum("tokens").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        stop = sums.where(F.col("upto") > left - total).orderBy("upto", *order).select("bytes", "module", "tokens", "upto").first()
+        here = (stop["bytes"], stop["module"])
+        rounds.append((after, here, left))
+        left, after = left - total - (stop["upto"] - stop["tokens"]), here
+
+
 def full_index(sections: DataFrame, budget: int, head: int = 0) -> DataFrame:
     """(module, level, text): the sections (module, level, text) of the first level whose characters, a quarter of them a token, fit the budget less the head's tokens.
 
-    Where none fits, sections of level 3 are put in as long as they fit, the longest first; the others keep their module with a null text at level 4. That
-    pass goes over one number for each module, in one task.
+    Where none fits, sections of level 3 are put in as long as they fit, the longest first; the others keep their module with a null text at level 4.
     """
     sizes = sections.groupBy("level").agg(F.floor(F.sum(F.length("text")) / 4).alias("tokens"))
-    chosen = F.broadcast(sizes.agg(F.min(F.when(F.col("tokens") + head <= budget, F.col("level"))).alias("chosen")))  # one row
-    last = sections.where("level = 3").select("module", F.floor(F.length("text") / 4).alias("tokens"), F.octet_length("text").alias("bytes"))
-    step = lambda s, x: F.when(x["tokens"] <= s["left"], F.struct((s["left"] - x["tokens"]).alias("left"), F.array_append(s["kept"], x["module"]).alias("kept"))).otherwise(s)
-    start = F.struct(F.lit(max(0, budget - head)).cast("long").alias("left"), F.array().cast("array<string>").alias("kept"))
-    order = F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("bytes"), "module", "tokens")))
-    kept = last.agg(order.alias("xs")).select(F.explode(F.aggregate("xs", start, step, lambda s: s["kept"])).alias("module")).withColumn("kept", F.lit(True))
-    x = sections.join(chosen, F.lit(True)).where(F.col("level") == F.coalesce("chosen", F.lit(3))).join(kept, "module", "left")
-    fits = F.col("chosen").isNotNull() | F.col("kept").isNotNull()
-    return x.select("module", F.when(fits, F.col("level")).otherwise(4).alias("level"), F.when(fits, F.col("text")).alias("text"))
+    chosen = sizes.agg(F.min(F.when(F.col("tokens") + head <= budget, F.col("level"))).alias("chosen")).first()["chosen"]
+    if chosen is not None:
+        return sections.where(F.col("level") == chosen).select("module", "level", "text")
+    last = sections.where("level = 3").select("module", F.floor(F.length("text") / 4).alias("tokens"), F.octet_length("text").alias("bytes"), "text")
+    fits = F.lit(False)
+    for after, before, most in greedy(last, max(0, budget - head)):
+        behind = F.lit(True) if after is None else (F.col("bytes") < after[0]) | ((F.col("bytes") == after[0]) & (F.col("module") > after[1]))
+        ahead = F.lit(True) if before is None else (F.col("bytes") > before[0]) | ((F.col("bytes") == before[0]) & (F.col("module") < before[1]))
+        fits = fits | (behind & ahead & (F.col("tokens") <= most))
+    return last.select("module", F.when(fits, F.lit(3)).otherwise(4).alias("level"), F.when(fits, F.col("text")).alias("text"))
 
 
 def dependency_diagram(edges: DataFrame, cyclic: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,15 @@ class Folder:
             out.hsync()
         finally:
             out.close()
+        self._rename(draft, target)
+
+    def place(self, draft: str, name: str) -> None:
+        """Rename a draft over what is there; one that is gone has been renamed before."""
+        if self.files.exists(self._path(draft)):
+            self.files.mkdirs(self._path(name).getParent())
+            self._rename(self._path(draft), self._path(name))
+
+    def _rename(self, draft, target) -> None:
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.files.getUri(), self.files.getConf())
         options = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
         options[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.valueOf("OVERWRITE")
@@ -56,17 +66,52 @@ class Folder:
         """The folder's path as statuses have it."""
         return self.files.makeQualified(self._path("")).toString().rstrip("/")
 
-    def remove(self, name: str) -> bool:
-        return self.files.delete(self._path(name), False)
+    def remove(self, name: str, whole: bool = False) -> bool:
+        return self.files.delete(self._path(name), whole)
+
+
+#: Where names of drafts that wait for their places are kept.
+PENDING = ".pending.json"
 
 
 def write_files(files: DataFrame, root: str) -> int:
-    """Write files (path: relative, content) below a root; they come to the driver one after the other, not all at once. Gives how many there were."""
-    folder, n = Folder(files.sparkSession, root), 0
-    for row in files.select("path", "content").toLocalIterator():
-        folder.put(row.path, row.content or "")
-        n += 1
-    return n
+    """Write files (path: relative, content) below a root; of rows that repeat a path the greatest content. Gives how many there were.
+
+    Executors write the contents as drafts, a folder each, under Spark's commit protocol: what a failed or repeated task attempt leaves doesn't count, and without all of them
+    nothing goes on. Then a manifest names each draft's place, the drafts are renamed, and the manifest goes; a writer that finds one left behind ends its work first. Only names reach the driver. Spark's text writer ends a row with a separator,
+    so files are written by their last character, each without it; empty ones are made by name.
+    """
+    spark, folder = files.sparkSession, Folder(files.sparkSession, root)
+    finish(folder)
+    drafts = f".drafts-{uuid.uuid4().hex}"
+    rows = files.groupBy("path").agg(F.coalesce(F.max("content"), F.lit("")).alias("content")).withColumn("last", F.right("content", F.lit(1)))
+    kinds = {r["last"]: r["n"] for r in rows.groupBy("last").agg(F.count("*").alias("n")).collect()}  # one row a character that files end in
+    for last in kinds:
+        if last:
+            some = rows.where(F.col("last") == last).select(F.sha2("path", 256).alias("name"), F.left("content", F.length("content") - 1).alias("value"))
+            some.write.mode("append").option("lineSep", last).partitionBy("name").text(f"{folder.root}/{drafts}")
+    names = [r["path"] for r in rows.select("path").toLocalIterator()]
+    empty = {r["path"] for r in rows.where("last = ''").select("path").toLocalIterator()}
+    at = {hashlib.sha256(n.encode()).hexdigest(): n for n in names if n not in empty}
+    where = {}
+    for status in folder.glob(f"{drafts}/name=*/part-*"):
+        _, name, part = str(status.getPath().toString()).rsplit("/", 2)
+        where[f"{drafts}/{name}/{part}"] = at[name.removeprefix("name=")]
+    folder.put(PENDING, json.dumps({"drafts": drafts, "files": where, "empty": sorted(empty)}))
+    finish(folder)
+    return sum(kinds.values())
+
+
+def finish(folder: Folder) -> None:
+    """Put pending drafts in place; those that are there already are left."""
+    pending = json.loads(folder.get(PENDING) or "null")
+    if pending:
+        for draft, name in pending["files"].items():
+            folder.place(draft, name)
+        for name in pending["empty"]:
+            folder.put(name, "")
+        folder.remove(PENDING)
+        folder.remove(pending["drafts"], True)
 
 
 def write_lines(lines: DataFrame, root: str, name: str, head: str = "") -> None:

@@ -37,11 +37,20 @@ def as_json(state: dict) -> str:
 def load_state(path: str) -> dict:
     """The state, empty where there is none or it cannot be read."""
     try:
-        return json.loads(Path(path).read_text())
+        return parse_state(Path(path).read_text())
     except (OSError, ValueError):
         return {}
 
 
+def parse_state(text: str | None) -> dict:
+    """The state in a document, empty where there is none or it is no JSON object."""
+    try:
+        got = json.loads(text or "{}")
+    except ValueError:
+        return {}
+    return got if isinstance(got, dict) else {}
+
+
 def fingerprints(spark: SparkSession, state: dict, name: str = "file_fingerprints") -> DataFrame:
     return spark.createDataFrame(sorted(state.get(name, {}).items()), "path string, hash string")
 
