@@ -6,6 +6,7 @@ import importlib.util
 import os
 import random
 import shutil
+import socket
 import time
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
@@ -95,16 +96,33 @@ class Busy(Exception):
     """Another run holds the lock."""
 
 
+def _left_behind(path: Path) -> bool:
+    """Whether a lock's owner was a process of this machine that is no more."""
+    try:
+        host, _, process = path.read_text().partition(" ")
+        os.kill(int(process), 0)
+    except ProcessLookupError:
+        return host == socket.gethostname()
+    except (OSError, ValueError):
+        return False
+    return False
+
+
 @contextmanager
 def run_lock(folder: str, wait_s: float = 0.0, skip: bool = False) -> Iterator[bool]:
-    """Hold the lock of an output folder: True while it is held. Where another run holds it: wait up to wait_s, then give False (skip) or raise Busy."""
+    """Hold the lock of an output folder: True while it is held. Where another run holds it: wait up to wait_s, then give False (skip) or raise Busy.
+    The lock of a run of this machine whose process is gone is taken over."""
     path, until = Path(folder) / ".lock", time.monotonic() + wait_s
     path.parent.mkdir(parents=True, exist_ok=True)
     while True:
         try:
-            os.close(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+            with os.fdopen(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY), "w") as f:
+                f.write(f"{socket.gethostname()} {os.getpid()}")
             break
         except FileExistsError:
+            if _left_behind(path):
+                path.unlink(missing_ok=True)
+                continue
             if time.monotonic() >= until:
                 if skip:
                     yield False

@@ -1,6 +1,9 @@
 """Retries, locks, caches, outputs, histories, and a run from sources to pages that an incremental run leaves as a full one would."""
 
+import os
+import socket
 import subprocess
+import sys
 
 import pytest
 
@@ -172,3 +175,12 @@ def test_jaccard_of_pairs(spark):
     e = spark.createDataFrame([(1, 7), (1, 8), (2, 8), (2, 8), (3, 9)], "node int, neighbor int")
     p = spark.createDataFrame([(1, 2), (1, 3), (3, 4)], "a int, b int")
     assert {(r.a, r.b): r.jaccard for r in G.neighbor_jaccard(e, p).collect()} == {(1, 2): 0.5, (1, 3): 0.0, (3, 4): 0.0}
+
+
+def test_a_dead_runs_lock_is_taken_over(tmp_path):
+    gone = subprocess.run([sys.executable, "-c", "import os; print(os.getpid())"], capture_output=True, text=True).stdout.strip()
+    for owner, free in ((f"{socket.gethostname()} {gone}", True), (f"elsewhere {gone}", False), (f"{socket.gethostname()} {os.getpid()}", False), ("", False)):
+        (tmp_path / ".lock").write_text(owner)
+        with control.run_lock(str(tmp_path), skip=True) as held:
+            assert held is free
+        (tmp_path / ".lock").unlink(missing_ok=True)
