@@ -162,8 +162,8 @@ def _resolve(facts: pd.DataFrame, v: pd.DataFrame, batch: int) -> Iterator[pd.Da
         )
 
 
-#: Slots of the filter that tells rows of keys with many rows before they are counted by grain; a text of one character each.
-SLOTS = 1 << 15
+#: Slots of the filter that tells rows of keys with many rows before they are counted by grain; a bit each.
+SLOTS = 1 << 13
 
 
 def _cut(feed: DataFrame, most: int) -> DataFrame:
@@ -173,10 +173,12 @@ def _cut(feed: DataFrame, most: int) -> DataFrame:
     """
     slot = F.pmod(F.xxhash64("key"), F.lit(SLOTS)).cast("int")
     busy = write_table(feed.where("key is not null").groupBy("key").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > most).select("key"), "busy-keys")
-    marks = ["0"] * SLOTS
+    marks = [0] * (SLOTS // 32)
     for (x,) in busy.select(slot).distinct().collect():  # SLOTS at most
-        marks[x] = "1"
-    grains = feed.where(F.substring(F.lit("".join(marks)), slot + 1, F.lit(1)) == "1").groupBy("key", "grain_no").agg(F.count("*").alias("n_rows")).join(busy.hint("merge"), "key", "left_semi")
+        marks[x // 32] |= 1 << x % 32
+    words = F.array(*(F.lit(m).cast("long") for m in marks))
+    told = feed.where("key is not null").withColumn("slot", slot).withColumn("word", F.get(words, F.floor(F.col("slot") / 32).cast("int")))
+    grains = told.where(F.col("word").bitwiseAND(F.expr("shiftleft(1L, slot % 32)")) != 0).groupBy("key", "grain_no").agg(F.count("*").alias("n_rows")).join(busy.hint("merge"), "key", "left_semi")
     before = F.sum("n_rows").over(Window.partitionBy("key").orderBy("grain_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_rows")
     parts = write_table(grains.select("key", "grain_no", F.floor(before / most).cast("int").alias("part")), "slices")
     drop_table(busy)
