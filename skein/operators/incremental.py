@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.operators import links as L
+from skein.operators.links import Links
 
 
 def fingerprint_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -136,23 +138,13 @@ def project_inputs_changed(changed: DataFrame) -> DataFrame:
     return changed.where(F.regexp_extract(T.normal_path(F.col("path")), "([^/]*)$", 1).isin(*PROJECT_INPUTS)).select("path")
 
 
-def reach(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
-    """(node): nodes within `depth` steps of any start (node), edges (src, dst) taken both ways."""
-    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).union(edges.select("dst", "src")).distinct()
-    seen = front = starts.select("node").distinct()
-    for _ in range(depth):
-        front = front.join(both, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti")
-        seen = seen.union(front)
-    return seen
-
-
-def impact_semantic(changed: DataFrame, changes: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
-    """(module): modules that changed files (change) reach, given entity changes (file, change), nodes (node, path, module) and edges (src, dst, kind).
+def impact_semantic(changed: DataFrame, changes: DataFrame, nodes: DataFrame, edges: DataFrame | Links, depth: int = 3) -> DataFrame:
+    """(module): modules that changed files (change) reach, given entity changes (file, change), nodes (node, path, module) and edges (src, dst, kind), or the links that they are.
 
     A file with a changed interface reaches what lies within `depth` imports and calls either way; any other only the modules of its own nodes. A changed body
     also reaches its direct callers. Without any entity change at all every file counts as a changed interface.
     """
-    used = edges.where("kind in ('Imports', 'Calls')")
+    links = edges if isinstance(edges, Links) else L.of_edges(edges)
     starts = prefix_starts(nodes.where("path is not null"), changed)
     some = changes.limit(1).select(F.lit(1).alias("one"))  # one row
     interface = changes.where("change <> 'BodyChanged'").select(F.col("file").alias("change")).distinct()
@@ -160,9 +152,8 @@ def impact_semantic(changed: DataFrame, changes: DataFrame, nodes: DataFrame, ed
     wide = starts.join(interface, "change", "left_semi").union(every).select("node")
     narrow = starts.join(F.broadcast(some), F.lit(True), "left_semi").join(interface, "change", "left_anti").select("node")
     bodies = changes.where("change = 'BodyChanged'").select(F.col("file").alias("change")).distinct()
-    called = starts.join(bodies, "change", "left_semi").select(F.col("node").alias("dst"))
-    callers = edges.where("kind = 'Calls'").join(called.distinct(), "dst", "left_semi").select(F.col("src").alias("node"))
-    hit = reach(used, wide, depth).union(narrow).union(callers).distinct()
+    called = starts.join(bodies, "change", "left_semi").select("node")
+    hit = L.reach(links.of("Imports", "Calls"), wide, depth).union(narrow).union(L.sources(links.of("Calls"), called.distinct())).distinct()
     return nodes.join(hit, "node", "left_semi").where("module <> ''").select("module").distinct()
 
 
@@ -183,7 +174,7 @@ def survivors(changed: DataFrame, cards: DataFrame, files: DataFrame) -> DataFra
     return files.select("path").join(cards.join(hit, "module", "left_semi").select("path").distinct(), "path", "left_semi")
 
 
-def update_scope(old: DataFrame, new: DataFrame, changes: DataFrame, nodes: DataFrame, edges: DataFrame, cards: DataFrame, failed: DataFrame, pages: DataFrame, watched: DataFrame, depth: int = 3) -> DataFrame:
+def update_scope(old: DataFrame, new: DataFrame, changes: DataFrame, nodes: DataFrame, edges: DataFrame | Links, cards: DataFrame, failed: DataFrame, pages: DataFrame, watched: DataFrame, depth: int = 3) -> DataFrame:
     """(path, reason): what an incremental run has to do again, each path once by its first reason.
 
     old and new are (path, hash). Reasons: changed (or new, or named by watched: path), removed, failed (files of modules, module, that failed before), impact

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skein.operators import codegraph as C
 from skein.operators import incremental as I
 from skein.operators import index as X
-from skein.plans.codegraph import _EDGES, PARSED, parsed, written_graph
+from skein.plans.codegraph import _EDGES, PARSED, parsed, written_links
 from skein.plans.common import table
 from skein.registry import query
 
@@ -169,17 +169,17 @@ aff as (select distinct module from nodes where id in (select node from hit) and
 
 
 def _changed(spark, d):
-    """(changed files, entity changes, nodes, edges) of the code graph."""
-    files, every, edges = written_graph(spark, d)
+    """(files, changed files, entity changes, nodes, links) of the code graph."""
+    files, _, _, every, links = written_links(spark, d)
     changed = files.where("file % 13 = 5").select(F.col("path").alias("change"))
     changes = files.where("file % 13 = 5 and file % 3 <> 0").select(F.col("path").alias("file"), F.when(F.col("file") % 2 == 0, "BodyChanged").otherwise("SignatureChanged").alias("change"))
-    return files, changed, changes, every.select(F.col("id").alias("node"), "path", "module"), edges
+    return files, changed, changes, every.select(F.col("id").alias("node"), "path", "module"), links
 
 
 @query("impact_semantic", f"with {PARSED}, {_EDGES}, {_CHANGED}, {_reach('chg')} select module from aff")
 def impact_semantic(spark, d):
-    _, changed, changes, every, edges = _changed(spark, d)
-    return I.impact_semantic(changed, changes, every, edges)
+    _, changed, changes, every, links = _changed(spark, d)
+    return I.impact_semantic(changed, changes, every, links)
 
 
 @query("module_files", f"with {PARSED} select distinct path from nodes where path is not null and module in (select 'src::m' || n_nationkey from nation where n_nationkey % 3 = 0)")
@@ -211,11 +211,11 @@ r as (select path, 0 as place, 'changed' as reason from t union all select path,
   union all select path, 5, 'reference' from card where module in (select page from pg where path in (select path from gone)))
 select path, arg_min(reason, place) as reason from r where reason = 'removed' or path in (select path from np) group by path""")
 def update_scope(spark, d):
-    files, _, changes, every, edges = _changed(spark, d)
+    files, _, changes, every, links = _changed(spark, d)
     old = files.where("file % 29 <> 3").selectExpr("path", "'a' as hash")
     new = files.where("file % 31 <> 4").selectExpr("path", "case when file % 13 = 5 then 'b' else 'a' end as hash")
     cards = files.join(table(spark, d, "supplier").selectExpr("s_suppkey as file", "s_nationkey as module"), "file").select("path", "module")
-    return I.update_scope(old, new, changes, every, edges, cards, spark.createDataFrame([(5,)], "module int"), _citing(spark, d, files), files.where("file % 41 = 7"))
+    return I.update_scope(old, new, changes, every, links, cards, spark.createDataFrame([(5,)], "module int"), _citing(spark, d, files), files.where("file % 41 = 7"))
 
 
 def _citing(spark, d, files):
