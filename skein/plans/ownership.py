@@ -12,12 +12,20 @@ from skein.registry import query
 
 
 def _api(spark, d):
-    """The reference page: a heading for each nation, the parts as entities below it."""
-    h = table(spark, d, "nation").selectExpr("'api' as page", "cast(n_nationkey * 100000 as long) as line", "'## src::m' || n_nationkey as text", "false as fenced")
-    e = table(spark, d, "part").selectExpr("'api' as page", "p_partkey % 25 * 100000 + p_partkey as line", "'- `pub fn fn_' || p_partkey % 997 || '(x: u8)` (fn) — src/m' || p_partkey % 25 || '.rs:' || (p_size + 1) as text", "false as fenced")
+    """The reference page in sheets: a heading for each nation, the parts as entities below it. A module's lines are 100,000 apart, so a sheet holds as many keys at most, or a part would fall below another module's heading."""
+    p = table(spark, d, "part")
+    sheets = p.selectExpr("p_partkey div 100000 as sheet").union(spark.range(1)).distinct()
+    page = "'api ' || sheet as page"
+    h = table(spark, d, "nation").crossJoin(F.broadcast(sheets)).selectExpr(page, "(n_nationkey + sheet) * 100000 - 1 as line", "'## src::m' || n_nationkey as text", "false as fenced")
+    e = p.selectExpr("p_partkey div 100000 as sheet", "*").selectExpr(page, "p_partkey % 25 * 100000 + p_partkey as line", "'- `pub fn fn_' || p_partkey % 997 || '(x: u8)` (fn) — src/m' || p_partkey % 25 || '.rs:' || (p_size + 1) as text", "false as fenced")
     return h.union(e)
 
 
+def _entries(spark, d):
+    """What the reference page lists; lines count through its sheets."""
+    return O.api_entries(_api(spark, d)).withColumn("page", F.lit("api"))
+
+
 _API = "api as (select p_partkey % 25 * 100000 + p_partkey as line, 'src::m' || p_partkey % 25 as module, 'fn_' || p_partkey % 997 as name, p_size + 1 as spot from part), own as (select name, arg_max(module, line) as owner from api group by name), mods as (select 'src::m' || n_nationkey as module from nation)"
 
 _LINE = """case c_custkey % 8 when 0 then '- `fn_' || c_custkey % 1500 || '` does' when 1 then '- `fn_' || c_custkey % 997 || '` see src/x.rs:' || (c_custkey % 60 + 1) when 2 then '- `src::m3`'
@@ -47,12 +55,12 @@ def _defined(spark, d):
 
 @query("api_entries", f"with {_API} select line, module, name, 1 as cites, spot from api")
 def api_entries(spark, d):
-    return O.api_entries(_api(spark, d)).select("line", "module", "name", F.size("cites").alias("cites"), F.col("cites")[0]["start"].alias("spot"))
+    return _entries(spark, d).select("line", "module", "name", F.size("cites").alias("cites"), F.col("cites")[0]["start"].alias("spot"))
 
 
 @query("entity_modules", f"with {_API} select name, owner as module from own")
 def entity_modules(spark, d):
-    return O.entity_modules(O.api_entries(_api(spark, d)))
+    return O.entity_modules(_entries(spark, d))
 
 
 @query("api_modules", f"with {_API} select module from mods")
@@ -85,13 +93,13 @@ def entity_ownership(spark, d):
     modules = O.api_modules(api)
     cites = view.select("page", F.explode(T.citations(F.col("text"))).alias("c")).select("page", "c.start", "c.end")
     names = table(spark, d, "nation").selectExpr("'p' || n_nationkey as name")
-    return O.ownership(O.entity_claims(view, modules), O.api_entries(api), modules, cites, O.listed_sources(view), _defined(spark, d), names)
+    return O.ownership(O.entity_claims(view, modules), _entries(spark, d), modules, cites, O.listed_sources(view), _defined(spark, d), names)
 
 
 @query("stale_entities", f"with {_API}, {_CLAIMS}, g as (select distinct name from api where name not in (select name from def where name < 'fn_5')), o as (select distinct page, name from cl join g using (name)) select * from o union all select 'api', name from g where name not in (select name from o)")
 def stale_entities(spark, d):
     api = _api(spark, d)
-    return O.stale_entities(O.api_entries(api), _defined(spark, d).where("name < 'fn_5'"), O.entity_claims(_view(spark, d), O.api_modules(api)))
+    return O.stale_entities(_entries(spark, d), _defined(spark, d).where("name < 'fn_5'"), O.entity_claims(_view(spark, d), O.api_modules(api)))
 
 
 @query("primary_language", "select min(lang) as language from documents where source in ('src1', 'src2') and lang > 'de'")
