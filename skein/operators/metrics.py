@@ -163,11 +163,12 @@ DIMENSIONS = ("clarity", "readability", "conciseness", "richness", "structure")
 def score_pairs(c: Column, dims: tuple[str, ...] = DIMENSIONS) -> Column:
     """struct<a, b: array<double>> of a JSON answer with the scores of two documents A and B on every dimension, between 0 and 10; null where any is missing."""
 
-    def side(name: str) -> Column:
-        return F.array(*[_clamped(F.get_json_object(json_slice(c), f"$.{name}.{d}").try_cast("double")) for d in dims])
+    def side(j: Column, name: str) -> Column:
+        return F.transform(F.array(*[F.get_json_object(j, f"$.{name}.{d}").try_cast("double") for d in dims]), _clamped)
 
-    a, b = side("A"), side("B")
-    return F.when(~F.exists(F.concat(a, b), lambda x: x.isNull()), F.struct(a.alias("a"), b.alias("b")))
+    # every step is a list that the next one reads as a variable: written out as expressions each would be worked out again wherever it is named
+    one = F.transform(F.array(json_slice(c)), lambda j: F.struct(side(j, "A").alias("a"), side(j, "B").alias("b")))
+    return F.get(F.filter(one, lambda s: ~F.exists(F.concat(s["a"], s["b"]), lambda x: x.isNull())), F.lit(0))
 
 
 def _clamped(x: Column) -> Column:
