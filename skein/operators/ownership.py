@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,12 @@ OTHER_SECTIONS = ("dependenc", "usage", "依赖", "使用方式")
 
 def _item(text: Column) -> Column:
     """What stands in backticks at the start of a list item; null without."""
-    return F.nullif(F.regexp_extract(F.trim(text), "^- `([^`]*)`", 1), F.lit(""))
+    return T.once(F.regexp_extract(F.trim(text), "^- `([^`]*)`", 1), lambda x: F.nullif(x, F.lit("")))
+
+
+def _kept(rows: DataFrame, name: str, value: Column, keep: Callable[[Column], Column]) -> DataFrame:
+    """rows with a column `name` of the value, where it is to be kept. It comes out of a list, so that what reads it doesn't work it out again."""
+    return rows.withColumn(name, F.explode(F.filter(F.array(value), keep)))
 
 
 def _sections(view: DataFrame) -> DataFrame:
@@ -31,8 +38,8 @@ def code_path(path: Column) -> Column:
 
 def api_entries(view: DataFrame) -> DataFrame:
     """(page, line, module, name, cites) of a reference page's view (page, line, text): its listed entities, under the heading that names their module."""
-    x = _sections(view).where(~F.col("is_heading")).withColumn("name", T.signature_name(_item(F.col("text"))))
-    return x.where("name is not null").select("page", "line", F.col("heading").alias("module"), "name", T.citations(F.col("text")).alias("cites"))
+    x = _kept(_sections(view).where(~F.col("is_heading")), "name", T.signature_name(_item(F.col("text"))), lambda n: n.isNotNull())
+    return x.select("page", "line", F.col("heading").alias("module"), "name", T.citations(F.col("text")).alias("cites"))
 
 
 def api_modules(view: DataFrame) -> DataFrame:
@@ -49,9 +56,10 @@ def entity_claims(view: DataFrame, modules: DataFrame) -> DataFrame:
     other = F.lit(False)
     for word in OTHER_SECTIONS:
         other = other | F.lower("heading").contains(word)
-    x = _sections(view).where(~F.col("is_heading") & ~other).withColumn("item", _item(F.col("text"))).where("item is not null")
-    x = x.where(~F.col("item").rlike(r"[/\\]") & ~code_path(F.col("item"))).join(modules.select(F.col("module").alias("item")).distinct(), "item", "left_anti")
-    return x.withColumn("name", T.signature_name(F.col("item"))).where("name is not null").select("page", "line", "name", "text")
+    x = _sections(view).where(~F.col("is_heading") & ~other)
+    x = _kept(x, "item", _item(F.col("text")), lambda i: i.isNotNull() & ~i.rlike(r"[/\\]") & ~code_path(i))
+    x = x.join(modules.select(F.col("module").alias("item")).distinct(), "item", "left_anti")
+    return _kept(x, "name", T.signature_name(F.col("item")), lambda n: n.isNotNull()).select("page", "line", "name", "text")
 
 
 def listed_sources(view: DataFrame) -> DataFrame:
@@ -65,6 +73,14 @@ def begins(names: DataFrame) -> DataFrame:
     return names.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.left("name", n))).alias("name")).where(F.col("name").endswith("_")).distinct()
 
 
+def _runs(spans: DataFrame, by: str) -> DataFrame:
+    """(by, start, end): the lines of spans (by, start, end: not below start) as runs that don't touch; lines meet a run where they meet one of its spans."""
+    w = Window.partitionBy(by).orderBy("start", "end")
+    x = spans.where("start <= end").distinct().withColumn("reach", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    x = x.withColumn("run", F.count(F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach") + 1), 1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return x.groupBy(by, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
+
+
 def ownership(claims: DataFrame, entries: DataFrame, modules: DataFrame, page_cites: DataFrame, related: DataFrame, defined: DataFrame, path_names: DataFrame) -> DataFrame:
     """(page, line, name, kind, severity) of claims (page, line, name, text) on module pages that don't hold.
 
@@ -75,8 +91,8 @@ def ownership(claims: DataFrame, entries: DataFrame, modules: DataFrame, page_ci
     """
     listed = entity_modules(entries)
     c = claims.select("page", "line", "name", "text").join(listed.withColumnRenamed("module", "owner"), "name", "left")
-    spans = entries.select("name", F.explode("cites").alias("x")).select("name", F.col("x.start").alias("a"), F.col("x.end").alias("b")).distinct()
-    cited = claims.select("page", "name").distinct().join(spans, "name").join(page_cites.select("page", "start", "end"), "page").where("start <= b and end >= a").select("page", "name").distinct().withColumn("cited", F.lit(True))
+    spans = _runs(entries.select("name", F.explode("cites").alias("x")).select("name", "x.start", "x.end"), "name").withColumnsRenamed({"start": "a", "end": "b"})
+    cited = claims.select("page", "name").distinct().join(spans, "name").join(_runs(page_cites.select("page", "start", "end"), "page"), "page").where("start <= b and end >= a").select("page", "name").distinct().withColumn("cited", F.lit(True))
     base = lambda p: F.regexp_extract(T.normal_path(p), "([^/]*)$", 1)  # noqa: E731  a path that ends in another has its last name
     files = claims.select("page", "name").distinct().join(defined.select("name", "path").distinct(), "name")
     has_related = related.select("page").distinct().withColumn("related", F.lit(True))
