@@ -177,11 +177,6 @@ def _counts():
 @query("lint_union_histogram", f"select kind, severity, count(*) as n from ({' union all '.join(_counts())}) group by all")
 def lint_union_histogram(spark, d):
     """All checks over their pages, counted by kind."""
-    parts = []
-    for kind, severity, name in _CHECKS:
-        df = registry._QUERIES[name](spark, d)
-        if name == "entity_ownership":
-            parts += [(k, s, df.where((F.col("kind") == k) & (F.col("severity") == s))) for k in ("entity-ownership", "entity-coverage") for s in ("Warning", "Error")]
-        else:
-            parts.append((kind, severity, df))
-    return A.issues(*parts).groupBy("kind", "severity").agg(F.count("*").alias("n"))
+    own = registry._QUERIES["entity_ownership"](spark, d).select("kind", "severity", F.col("page").cast("string").alias("page"))
+    parts = [(kind, severity, registry._QUERIES[name](spark, d)) for kind, severity, name in _CHECKS if name != "entity_ownership"]
+    return A.issues(*parts).unionByName(own).groupBy("kind", "severity").agg(F.count("*").alias("n"))
