@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -205,30 +206,38 @@ def leaves(nodes: DataFrame) -> DataFrame:
     return x.select("tree", "node", F.row_number().over(Window.partitionBy("tree").orderBy("pre")).cast("long").alias("place"))
 
 
+#: Rows of rubrics that are there at once.
+CHUNK = 10_000
+
+
 def rubric_nodes(answers: DataFrame) -> DataFrame:
     """(tree, node, parent, pre, level, weight, requirement) of JSON answers (tree, text): a list of nodes, an object with rubrics, or one node; fences are dropped, and
     an answer that is none of these gives no rows. Nodes are numbered in pre-order, from 0."""
     tree_type = answers.schema["tree"].dataType.simpleString()
 
+    def rows(text: str | None) -> Iterator[tuple]:
+        body = re.sub(r"^```(?:json)?|```$", "", (text or "").strip()).strip()
+        try:
+            found = json.loads(body)
+        except ValueError:
+            return
+        found = found if isinstance(found, list) else found.get("rubrics", [found]) if isinstance(found, dict) else []
+        todo, n = [(x, None, 0) for x in reversed(found)], 0
+        while todo:
+            x, parent, level = todo.pop()
+            if isinstance(x, dict) and isinstance(x.get("requirement"), str):
+                yield n, parent, n, level, float(x.get("weight") or 1), x["requirement"]
+                todo += [(y, n, level + 1) for y in reversed(x.pop("sub_tasks", None) or [])]
+                n += 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string())
         for b in batches:
-            out = []
-            for tree, text in zip(b["tree"].to_pylist(), b["text"].to_pylist(), strict=True):
-                body = re.sub(r"^```(?:json)?|```$", "", (text or "").strip()).strip()
-                try:
-                    found = json.loads(body)
-                except ValueError:
-                    continue
-                found = found if isinstance(found, list) else found.get("rubrics", [found]) if isinstance(found, dict) else []
-                todo, n = [(x, None, 0) for x in reversed(found)], 0
-                while todo:
-                    x, parent, level = todo.pop()
-                    if isinstance(x, dict) and isinstance(x.get("requirement"), str):
-                        out.append((tree, n, parent, n, level, float(x.get("weight") or 1), x["requirement"]))
-                        todo += [(y, n, level + 1) for y in reversed(x.get("sub_tasks") or [])]
-                        n += 1
-            types = (b["tree"].type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], ["tree", "node", "parent", "pre", "level", "weight", "requirement"])
+            for at in range(b.num_rows):  # one answer's nodes are there at once, and CHUNK of its rows
+                found = rows(b["text"][at].as_py())
+                while part := list(islice(found, CHUNK)):
+                    tree = b["tree"].take(pa.array([at] * len(part)))
+                    yield pa.RecordBatch.from_arrays([tree, *(pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True))], ["tree", "node", "parent", "pre", "level", "weight", "requirement"])
 
     return answers.select("tree", "text").mapInArrow(run, f"tree {tree_type}, node long, parent long, pre long, level long, weight double, requirement string")
 
