@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import ahocorasick
@@ -24,6 +24,15 @@ def _automaton(phrases: tuple[str, ...]) -> ahocorasick.Automaton:
     return a
 
 
+def numbered(phrases: Iterable[tuple[str, int]]) -> ahocorasick.Automaton:
+    """An automaton that tells of each match where it ends and its phrase's number."""
+    a = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for p, i in phrases:
+        a.add_word(p, i)
+    a.make_automaton()
+    return a
+
+
 def occurrences(automaton: ahocorasick.Automaton, text: str) -> dict[str, int]:
     """How often each phrase occurs without overlapping itself, from the left, in one pass over the text."""
     count: dict[str, int] = {}
