@@ -43,6 +43,43 @@ def fit(sample: np.ndarray, lists: int, seed: int = 5) -> np.ndarray:
     return centres
 
 
+def _pieces(b: pa.RecordBatch, cells: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces whose rows have R.CELLS cells at most together, `cells` each."""
+    step = max(1, R.CELLS // max(1, cells))
+    for at in range(0, b.num_rows, step):
+        yield b.slice(at, step)
+
+
+def placed(batch: pa.RecordBatch, centres: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(file, node, v, far, list) of vectors (file, node, v): the nearest centre and the distance from it."""
+    for b in _pieces(batch, centres.size):
+        x = _matrix(b["v"])
+        u = _unit(x)
+        near = np.argmin((centres * centres).sum(axis=1)[None] - 2 * u @ centres.T, axis=1)
+        far = np.linalg.norm(u - centres[near], axis=1)
+        near = np.where(np.abs(x).max(axis=1) > 0, near, NOWHERE).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([b["file"], b["node"], b["v"], pa.array(far), pa.array(near)], ["file", "node", "v", "far", "list"])
+
+
+def reached(batch: pa.RecordBatch, centres: np.ndarray, radii: dict[int, float], farthest: float) -> Iterator[pa.RecordBatch]:
+    """(query, q, list, low, place) of queries (query, q): the lists that may hold vectors within `farthest`, by how near these could be."""
+    lists = np.array(sorted(x for x in radii if x != NOWHERE), dtype=np.int64)
+    r = np.array([radii[x] for x in lists.tolist()])
+    for b in _pieces(batch, centres.size):
+        x = _matrix(b["q"])
+        d = np.sqrt(np.maximum(0, ((_unit(x)[:, None] - centres[lists][None]) ** 2).sum(axis=2))) if len(lists) else np.zeros((len(x), 0))
+        low = np.maximum(0, d - r[None] - 1e-9) ** 2 / 2
+        low[np.abs(x).max(axis=1) == 0] = 1.0  # a query without direction is at distance 1 from all
+        order = np.argsort(np.argsort(low + 1e-12 * d, axis=1, kind="stable"), axis=1)
+        i, j = np.nonzero(low <= farthest + 1e-6)
+        which, bound, place = lists[j], low[i, j], order[i, j]
+        if NOWHERE in radii and farthest >= 1:
+            i, which = np.append(i, np.arange(len(x))), np.append(which, np.full(len(x), NOWHERE))
+            bound, place = np.append(bound, np.ones(len(x))), np.append(place, np.full(len(x), len(lists)))
+        at = pa.array(i)
+        yield pa.RecordBatch.from_arrays([b["query"].take(at), b["q"].take(at), pa.array(which.astype(np.int32)), pa.array(bound.astype(float)), pa.array(place.astype(np.int32))], ["query", "q", "list", "low", "place"])
+
+
 class VectorIndex:
     """Vectors (file, node, v) of one length below a folder, in segments whose folders are lists.
 
@@ -64,13 +101,7 @@ class VectorIndex:
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if b.num_rows:
-                    x = _matrix(b["v"])
-                    u, c = _unit(x), shared.value
-                    near = np.argmin((c * c).sum(axis=1)[None] - 2 * u @ c.T, axis=1)
-                    far = np.linalg.norm(u - c[near], axis=1)
-                    near = np.where(np.abs(x).max(axis=1) > 0, near, NOWHERE).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([b["file"], b["node"], b["v"], pa.array(far), pa.array(near)], ["file", "node", "v", "far", "list"])
+                yield from placed(b, shared.value)
 
         v = F.transform("v", lambda x: x.cast("double"))
         return rows.select("file", "node", v.alias("v")).where("v is not null").mapInArrow(place, f"file string, node {node}, v array<double>, far double, list int")
@@ -141,24 +172,8 @@ class VectorIndex:
         query_type = asked.schema["query"].dataType.simpleString()
 
         def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            centres, radii = shared.value
-            lists = np.array(sorted(x for x in radii if x != NOWHERE), dtype=np.int64)
-            r = np.array([radii[x] for x in lists.tolist()])
             for b in batches:
-                if not b.num_rows:
-                    continue
-                x = _matrix(b["q"])
-                d = np.sqrt(np.maximum(0, ((_unit(x)[:, None] - centres[lists][None]) ** 2).sum(axis=2))) if len(lists) else np.zeros((len(x), 0))
-                low = np.maximum(0, d - r[None] - 1e-9) ** 2 / 2
-                low[np.abs(x).max(axis=1) == 0] = 1.0  # a query without direction is at distance 1 from all
-                order = np.argsort(np.argsort(low + 1e-12 * d, axis=1, kind="stable"), axis=1)
-                i, j = np.nonzero(low <= farthest + 1e-6)
-                which, bound, place = lists[j], low[i, j], order[i, j]
-                if NOWHERE in radii and farthest >= 1:
-                    i, which = np.append(i, np.arange(len(x))), np.append(which, np.full(len(x), NOWHERE))
-                    bound, place = np.append(bound, np.ones(len(x))), np.append(place, np.full(len(x), len(lists)))
-                at = pa.array(i)
-                yield pa.RecordBatch.from_arrays([b["query"].take(at), b["q"].take(at), pa.array(which.astype(np.int32)), pa.array(bound.astype(float)), pa.array(place.astype(np.int32))], ["query", "q", "list", "low", "place"])
+                yield from reached(b, *shared.value, farthest)
 
         pairs = scratch.save(asked.repartition(max(1, self.spark.sparkContext.defaultParallelism)).mapInArrow(reach, f"query {query_type}, q array<double>, list int, low double, place int"))
         per = F.element_at(F.create_map(*(F.lit(x) for p in blocks.items() for x in p)), F.col("list"))
