@@ -242,10 +242,11 @@ def near_duplicates(
     classes, tied = _classes(slim)
     reps = write_table(own.join(classes, ["f1", "f2", "n"]).where("id = lead").select("rep", "n", *SKETCH, "keys").dropDuplicates(["rep"]), "reps")
     drop_table(signed)
-    bands = reps.select("rep", "n", *SKETCH, F.explode("keys").alias("key"))
+    # sizes and sketches stay with the representatives: 32 keys of each are shuffled here, and few share a bucket
+    bands = reps.select("rep", F.explode("keys").alias("key"))
     shared = write_table(bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", "hub"), "buckets")
-    members = write_table(bands.join(shared, "key").select("key", "rep", "n", *SKETCH, "hub"), "members")
-    drop_table(reps, shared)
+    members = write_table(bands.join(shared, "key").select("key", "rep", "hub"), "members")
+    drop_table(shared)
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """(id, shingles) of the representatives in ids (id)."""
@@ -276,8 +277,8 @@ def near_duplicates(
     drop_table(members, comp)
     per = at.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"))
     mixed = write_table(per.where("all * all > same").select("key", (F.col("all") * F.col("all") - F.col("same") <= 2 * DIRECT).alias("direct")), "mixed")
-    unsettled = write_table(at.join(mixed, "key"), "unsettled")
-    drop_table(at, mixed)
+    unsettled = write_table(at.join(mixed, "key").join(reps.select("rep", "n", *SKETCH), "rep"), "unsettled")
+    drop_table(at, mixed, reps)
     differ = [f"(({c} ^ t{c}) | shiftrightunsigned({c} ^ t{c}, 1))" for c in SKETCH]  # bits 0 and 2 of 4: whether two of them differ
     differ = " + ".join(f"bit_count(({d} | shiftrightunsigned({d}, 2)) & 1229782938247303441)" for d in differ)  # 0x1111...
     alike = f"u > v and cu <> cv and 100 * least(n, m) >= {percent} * greatest(n, m) and {100 + percent} * least(n - rarer, m - rarer_too) >= {percent} * (n + m) and {differ} <= {DIFFER}"

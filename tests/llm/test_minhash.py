@@ -134,3 +134,14 @@ def test_components(spark, local):
     got = comp.components(spark.createDataFrame(links, "u long, v long"), local=local)
     assert {r.id: r.component for r in got.collect()} == {x: find(x) for x in list(up)}
     assert comp.components(spark.createDataFrame([], "u long, v long"), local=local).collect() == []
+
+
+def test_sketches_are_not_shuffled_with_every_band(spark, monkeypatch):
+    """Pipeline, near-duplicate removal: of 32 keys a document only those shared are joined with its sketch."""
+    written = {}
+    monkeypatch.setattr(minhash, "write_table", lambda df, name, write=minhash.write_table: written.setdefault(name, df) and write(df, name))
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " x"), (3, text[::-1]), (4, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert written["members"].columns == ["key", "rep", "hub"] and "s0" in written["unsettled"].columns
